@@ -10,10 +10,13 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: White space for Python, but not for the vocabularies.
+_RARE = re.compile(r"[\x1c-\x1f]")
 _TAIL = ".,;:!?*#%$&"
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -27,7 +30,7 @@ def vocabulary_path(name: str) -> str:
 class Encoder:
     """Encodes texts in slices: a slice's new pieces are encoded together, all others come from the cache."""
 
-    def __init__(self, path: str, cache: int = 500_000, slice_chars: int = 1_000_000) -> None:
+    def __init__(self, path: str, cache: int = 700_000, slice_chars: int = 3_000_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -79,7 +82,9 @@ class Encoder:
                 pieces[key] = self.whole(text if key[:1] == "\n" else " " + text)
                 return
             whole = key[: len(key) - len(text) + len(head)]
-            if whole not in pieces:
+            if whole not in pieces and (ready := older.get(whole)) is not None:
+                pieces[whole] = ready
+            elif whole not in pieces:
                 (bare if key[:1] == "\n" else plain).add(whole)
             if len(head) < len(text):
                 tailed.append((key, whole, text[len(head) :]))
@@ -106,16 +111,22 @@ class Encoder:
         for piece, keys in lines:
             pieces[piece] = self.newline.join([pieces[k] for k in keys])
 
+    def parts(self, text: str) -> list[str]:
+        """The text's pieces; but for vocabularies that drop white space, the first follows nothing."""
+        words = text.split()
+        if self.ends and not self.newline:
+            return words if not _RARE.search(text) else [text]
+        return text.split(" ") if len(words) == text.count(" ") + text.count("\n") + 1 else _CUT.split(text)
+
     def slice(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") if len(t.split()) == t.count(" ") + t.count("\n") + 1 else _CUT.split(t) for t in texts]
         if len(self.pieces) > self.limit:
             self.older, self.pieces, self.tails = self.pieces, {}, {}
-        known = self.pieces
-        fresh: set[str] = set()
-        for p in parts:
-            fresh.update([x for x in p[1:] if x not in known])
-        self.learn(fresh)
-        return [(self.whole(p[0]) if p[0] else b"") + b"".join([known[x] for x in p[1:]]) for p in parts]
+        known, parts, firsts = self.pieces, list(map(self.parts, texts)), [b""] * len(texts)
+        if not self.ends:
+            firsts = [self.whole(p[0]) if p[0] else b"" for p in parts]
+            parts = [p[1:] for p in parts]
+        self.learn([x for x in set(chain.from_iterable(parts)) if x not in known])
+        return [first + b"".join(map(known.__getitem__, p)) for first, p in zip(firsts, parts)]
 
     def batch(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes; null is empty."""

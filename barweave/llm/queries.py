@@ -6,11 +6,13 @@ from barweave.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from barweave.llm.packing import op4_best_fit_packing
 from barweave.llm.pii import op9_personal_data
 from barweave.llm.quality import op2_quality_divergence
+from barweave.llm.simhash import op5_simhash_golay
 from barweave.llm.token_files import op10_bit_packed_tokens
 
 QUERIES = {
     "op2_quality_divergence": op2_quality_divergence,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_simhash_golay": op5_simhash_golay,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_personal_data": op9_personal_data,
     "op10_bit_packed_tokens": op10_bit_packed_tokens,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from barweave.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from barweave.llm.html_text import op7_main_text
+from barweave.llm.mixing import op1_source_mixing
 from barweave.llm.packing import op4_best_fit_packing
 from barweave.llm.pii import op9_personal_data
 from barweave.llm.quality import op2_quality_divergence
@@ -10,6 +12,8 @@ from barweave.llm.simhash import op5_simhash_golay
 from barweave.llm.token_files import op10_bit_packed_tokens
 
 QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
+    "op7_main_text": op7_main_text,
     "op2_quality_divergence": op2_quality_divergence,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash_golay": op5_simhash_golay,

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.llm.common import read_table, stage
+from barweave.llm.common import lower_ascii, read_table, stage
 from barweave.llm.components import components
 
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # lowest bit, bits
@@ -40,25 +40,25 @@ def shingles(words: list[bytes], n: int) -> list[bytes]:
     return [b" ".join(x) for x in zip(*(words[i:] for i in range(n)))]
 
 
-def fingerprint(text: str | None, n: int = 3) -> int:
+def fingerprint(text: str | None, n: int = 3, seed: int = 42) -> int:
     """A bit is set if it is in over half of the shingles' hashes."""
     parts = shingles((text or "").encode("utf-8", "surrogatepass").lower().split(), n)
     counts = np.zeros(64, np.int64)
     for i in range(0, len(parts), 1 << 16):
-        hashes = np.array([xxhash.xxh64_intdigest(x, 42) for x in parts[i : i + (1 << 16)]], "<u8")
+        hashes = np.array([xxhash.xxh64_intdigest(x, seed) for x in parts[i : i + (1 << 16)]], "<u8")
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(parts), bitorder="little").view("<u8")[0]) if parts else 0
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """docs with fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, name: str = "fp") -> DataFrame:
+    """docs with the fingerprint as a signed long."""
 
     @F.pandas_udf("long")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
-            yield pd.Series([fingerprint(t, words) for t in part], dtype="uint64").astype("int64")
+            yield pd.Series([fingerprint(t, words, seed) for t in part], dtype="uint64").astype("int64")
 
-    return docs.withColumn("fp", of(F.col("text")))
+    return docs.withColumn(name, of(F.col("text")))
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -141,15 +141,64 @@ def near_components(docs: DataFrame, words: int = 3) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component; of rows that repeat that id, one.
+def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, cells: int = 8, prints: int = 2) -> DataFrame:
+    """doc_id, digest and component (long) of every distinct row (doc_id, digest of the lower-cased text) of docs.
 
-    Five-word shingles by default: fingerprints at two differing bits or fewer stand for a similarity of well over 0.8.
-    A component of null ids alone keeps one row.
+    Fingerprints of single words, of which near copies share nearly all, group the texts by Golay keys as above, once for
+    each of ``prints`` hash seeds.  In a
+    group, texts that agree on one of ``cells`` least shingle hashes meet the first of them, and stay linked if the exact
+    Jaccard similarity of their sets of five-word shingles is at least ``similarity``.  Each text meets ``cells`` others
+    at most, so a large group makes no more pairs than it has texts times cells.
     """
-    found = near_components(docs, words).select(F.col("doc_id").alias("_id"), "component_id").distinct()
-    stay = found.where(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id")
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi").dropDuplicates(["doc_id"])
+    names = [f"fp{i}" for i in range(prints)]
+    marked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    for i, name in enumerate(names):
+        marked = fingerprints(marked, 1, 42 + i, name)
+    digest = F.md5(lower_ascii(F.coalesce("text", F.lit(""))).cast("binary"))
+    rows = stage(marked.select("doc_id", *names, digest.alias("digest")), "marked")
+    least = F.coalesce(F.min("doc_id"), -1 - F.abs(F.xxhash64("digest") % (1 << 62)))
+    texts = stage(rows.groupBy("digest", *names).agg(least.alias("node")), "texts")
+    placed = None
+    for i, name in enumerate(names):
+        roots = components(near_links(texts.select(F.col(name).alias("fp")).distinct())).withColumnRenamed("node", name)
+        part = texts.select("digest", "node", name).join(roots, name, "left").select("digest", "node", F.xxhash64(F.lit(i), F.coalesce("root", name)).alias("grp"))
+        placed = part if placed is None else placed.unionByName(part)
+    placed = stage(placed, "placed")
+    groups = placed.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
+    inside = stage(placed.join(groups, "grp", "left_semi"), "inside")
+
+    @F.pandas_udf("array<long>")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in batches:
+            yield pd.Series([np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in shingles((t or "").encode("utf-8", "surrogatepass").lower().split(), words)], "<u8").view("<i8")) for t in part])
+
+    own = inside.groupBy("digest", "node").agg(F.collect_set("grp").alias("grps"))
+    whole = docs.select(digest.alias("digest"), "text").join(own, "digest").dropDuplicates(["digest"])
+    hashed = stage(whole.select("node", "grps", sets("text").alias("s")), "sets")
+    mins = [F.array_min(F.transform("s", lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(cells)]
+    cell = hashed.select("node", "grps", F.posexplode(F.array(*mins)).alias("k", "least"))
+    cell = cell.select("node", F.explode("grps").alias("grp"), "k", F.coalesce("least", F.lit(0).cast("bigint")).alias("least"))
+    cell = stage(cell.select("node", F.xxhash64("grp", "k", "least").alias("cell")), "cells")
+    lead = cell.groupBy("cell").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    pairs = stage(cell.join(lead, "cell").where("node != lead").select("node", "lead").distinct(), "meet")
+    side = hashed.select("node", "s")
+    both = pairs.join(side, "node").join(side.select(F.col("node").alias("lead"), F.col("s").alias("t")), "lead")
+    common = F.size(F.array_intersect("s", "t"))
+    alike = both.where(common >= similarity * (F.size("s") + F.size("t") - common))
+    linked = components(alike.select(F.col("node").alias("u"), F.col("lead").alias("v")))
+    named = stage(texts.join(linked.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("digest", F.coalesce("root", "node").alias("component")), "named")
+    return rows.select("doc_id", "digest").join(named, "digest")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of docs for each component: that with the smallest doc_id; of rows alike in id and text, one."""
+    found = similar_components(docs, words, similarity)
+    ordered = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "digest")
+    stay = found.groupBy("component").agg(F.min(ordered).alias("m"))
+    key = F.concat_ws("/", F.col("m.doc_id").cast("string"), "m.digest")
+    own = F.concat_ws("/", F.col("doc_id").cast("bigint").cast("string"), F.md5(lower_ascii(F.coalesce("text", F.lit(""))).cast("binary")))
+    kept = docs.withColumn("_own", own).join(stay.select(key.alias("_own")).distinct(), "_own", "left_semi")
+    return kept.dropDuplicates(["_own"]).select(*docs.columns)
 
 
 def hex_digits(fp: Column) -> Column:

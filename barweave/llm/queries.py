@@ -9,12 +9,16 @@ from barweave.llm.packing import op4_best_fit_packing
 from barweave.llm.pii import op9_personal_data
 from barweave.llm.quality import op2_quality_divergence
 from barweave.llm.simhash import op5_simhash_golay
+from barweave.llm.substrings import op6_paragraph_minhash
+from barweave.llm.templates import op3_line_templates
 from barweave.llm.token_files import op10_bit_packed_tokens
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
+    "op6_paragraph_minhash": op6_paragraph_minhash,
     "op7_main_text": op7_main_text,
     "op2_quality_divergence": op2_quality_divergence,
+    "op3_line_templates": op3_line_templates,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash_golay": op5_simhash_golay,
     "op8_exact_dedup": op8_exact_dedup,

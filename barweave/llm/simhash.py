@@ -141,14 +141,14 @@ def near_components(docs: DataFrame, words: int = 3) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, cells: int = 8, prints: int = 2) -> DataFrame:
+def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, cells: int = 8, prints: int = 1) -> DataFrame:
     """doc_id, digest and component (long) of every distinct row (doc_id, digest of the lower-cased text) of docs.
 
     Fingerprints of single words, of which near copies share nearly all, group the texts by Golay keys as above, once for
     each of ``prints`` hash seeds.  In a
-    group, texts that agree on one of ``cells`` least shingle hashes meet the first of them, and stay linked if the exact
-    Jaccard similarity of their sets of five-word shingles is at least ``similarity``.  Each text meets ``cells`` others
-    at most, so a large group makes no more pairs than it has texts times cells.
+    group, texts that agree on one of ``cells`` least shingle hashes meet two of them, the first and one by chance, and stay linked if the exact
+    Jaccard similarity of their sets of five-word shingles is at least ``similarity``.  Each text meets 2 * ``cells``
+    others at most, so a large group makes no more pairs than it has texts times that.
     """
     names = [f"fp{i}" for i in range(prints)]
     marked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -175,12 +175,15 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     own = inside.groupBy("digest", "node").agg(F.collect_set("grp").alias("grps"))
     whole = docs.select(digest.alias("digest"), "text").join(own, "digest").dropDuplicates(["digest"])
     hashed = stage(whole.select("node", "grps", sets("text").alias("s")), "sets")
-    mins = [F.array_min(F.transform("s", lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(cells)]
+    # a lambda with two parameters would get the place as the second
+    mins = [F.array_min(F.transform("s", (lambda k: lambda x: F.xxhash64(x, F.lit(k)))(k))) for k in range(cells)]
     cell = hashed.select("node", "grps", F.posexplode(F.array(*mins)).alias("k", "least"))
     cell = cell.select("node", F.explode("grps").alias("grp"), "k", F.coalesce("least", F.lit(0).cast("bigint")).alias("least"))
     cell = stage(cell.select("node", F.xxhash64("grp", "k", "least").alias("cell")), "cells")
-    lead = cell.groupBy("cell").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    pairs = stage(cell.join(lead, "cell").where("node != lead").select("node", "lead").distinct(), "meet")
+    # the first text by id, for short chains, and one by chance, a different one in each cell
+    leads = F.array(F.min("node"), F.min_by("node", F.xxhash64("node", "cell")))
+    lead = cell.groupBy("cell").agg(leads.alias("leads"), F.count("*").alias("n")).where("n > 1")
+    pairs = stage(cell.join(lead, "cell").select("node", F.explode("leads").alias("lead")).where("node != lead").select("node", "lead").distinct(), "meet")
     side = hashed.select("node", "s")
     both = pairs.join(side, "node").join(side.select(F.col("node").alias("lead"), F.col("s").alias("t")), "lead")
     common = F.size(F.array_intersect("s", "t"))

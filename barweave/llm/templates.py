@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.llm.common import SPACES, read_table, stage
+from barweave.llm.common import SPACES, read_table, stage, words_of
 
 FIELD = "<*>"
 
@@ -32,22 +32,20 @@ def _masked(words: Column) -> Column:
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     """doc, line (its text) and n, for lines of min_words words or more."""
     one = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1).cast("bigint")).alias("doc"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    counted = one.withColumn("n", F.size(F.filter(F.split("line", SPACES), lambda w: w != "")))
+    counted = one.withColumn("n", F.size(words_of(F.col("line"))))
     return counted.where(F.col("n") >= min_words)
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(line, SPACES), lambda w: w != "")
-
-
 def recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 10, min_words: int = 4, min_constant: float = 0.6, mostly: float = 0.5) -> DataFrame:
     """doc, key (xxhash64 of the line) of every line of a recurring template, once a document."""
     lines = _lines(docs, min_words)
-    leaf = F.xxhash64("n", _masked(F.slice(_words(F.col("line")), 1, depth)))
-    placed = lines.select("doc", "n", "line", leaf.alias("leaf"))
-    leaves = stage(placed.groupBy("leaf").agg(F.count("*").alias("k")).where(F.col("k") >= min_docs).select("leaf"), "leaves")
+    # the leading words need no more than the line's first few pieces
+    leading = F.slice(F.array_remove(F.split("line", SPACES, depth + 2), F.lit("")), 1, depth)
+    placed = lines.select("doc", "n", "line", F.xxhash64("n", _masked(leading)).alias("leaf"))
+    light = stage(placed.select("doc", "n", "leaf"), "places")
+    leaves = stage(light.groupBy("leaf").agg(F.count("*").alias("k")).where(F.col("k") >= min_docs).select("leaf"), "leaves")
     once = placed.join(leaves, "leaf", "left_semi").groupBy("doc", "leaf", F.xxhash64("line").alias("key")).agg(F.first("line").alias("line"), F.first("n").alias("n"))
-    candidates = stage(once.select("doc", "leaf", "key", "n", _masked(_words(F.col("line"))).alias("words")), "candidates")
+    candidates = stage(once.select("doc", "leaf", "key", "n", _masked(words_of(F.col("line"))).alias("words")), "candidates")
     # equal lines first: counts by distinct line keep what follows small however often a line stands
     distinct = candidates.groupBy("leaf", "key").agg(F.first("words").alias("words"), F.count("*").alias("docs"))
     distinct = stage(distinct, "lines")
@@ -59,7 +57,7 @@ def recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 10, min_wor
     often = shaped.groupBy("template").agg(F.sum("docs").alias("d")).where(F.col("d") >= min_docs)
     known = stage(shaped.join(often.select("template"), "template", "left_semi").select("key", "leaf", "template"), "known")
     hits = stage(candidates.join(known, ["leaf", "key"]).select("doc", "key", "template", "n"), "hits")
-    size = lines.groupBy("doc").agg(F.sum("n").alias("all"))
+    size = light.groupBy("doc").agg(F.sum("n").alias("all"))
     share = hits.groupBy("doc").agg(F.sum("n").alias("in")).join(size, "doc")
     evidence = share.where(F.col("in") < mostly * F.col("all")).select("doc")
     proven = hits.join(evidence, "doc", "left_semi").groupBy("template").agg(F.count_distinct("doc").alias("d")).where(F.col("d") >= min_docs)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.llm.common import SPACES, read_table, stage
+from barweave.llm.common import read_table, stage, words_of
 
 #: Frequent function words of four languages.
 COMMON = {
@@ -26,27 +26,25 @@ COMMON = {
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para", "es", "al", "lo", "como"],
 }
 #: Characters that are neither white space, ASCII punctuation, digits nor ASCII letters form the last class.
-CLASSES = ["[a-z]", "[A-Z]", "[0-9]", "[.,;:'\"()!?-]", "[#*$%&|<>]", "[/@\\[\\]{}_=+^~`\\\\]", "[\\x20\\x09-\\x0D]"]
+CLASSES = ["[a-z]", "[A-Z]", "[0-9]", "[.,;:'\"()!?-]", "[#*$%&|<>]", "[/@\\[\\]{}_=+^~`\\\\]", "[\\x20\\x09-\\x0D]"]
 MAX_CLASS, MAX_WORDS = 0.24, 0.265
 
 
 def _counts(text: Column) -> Column:
-    """How many characters of each class."""
-    known = [F.length(text) - F.length(F.regexp_replace(text, c, "")) for c in CLASSES]
-    rest = F.length(F.regexp_replace(text, "[\\x09-\\x0D\\x20-\\x7E]", ""))
-    return F.array(*known, rest)
+    """How many characters of each class: runs of the rare classes are cut out, letters are what cutting the rest
+    leaves, and white space is what the others leave."""
+    letters = F.length(F.regexp_replace(text, "[^a-z]+", ""))
+    rare = [F.length(text) - F.length(F.regexp_replace(text, c + "+", "")) for c in CLASSES[1:6]]
+    other = F.length(F.regexp_replace(text, "[\\x09-\\x0D\\x20-\\x7E]+", ""))
+    return F.array(letters, *rare, other)
 
 
 def _repeated(grams: Column) -> Column:
-    """Words inside three-word windows found twice or more: windows sorted by hash, those beside an equal one counted
-    as the union of their places."""
-    placed = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("h"), i.alias("i"))))
-    n = F.size(grams)
-    before = F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), F.slice(placed, 1, F.greatest(n - 1, F.lit(0))))
-    after = F.concat(F.slice(placed, 2, n), F.array(F.lit(None).cast("struct<h:bigint,i:int>")))
-    marked = F.arrays_zip(placed.alias("x"), before.alias("b"), after.alias("a"))
-    twice = F.filter(marked, lambda m: F.coalesce(m["x"]["h"] == m["b"]["h"], F.lit(False)) | F.coalesce(m["x"]["h"] == m["a"]["h"], F.lit(False)))
-    at = F.array_sort(F.transform(twice, lambda m: m["x"]["i"]))
+    """Words inside three-word windows found twice or more: windows sorted by hash, the places of neighbours that are
+    equal, and of each place the words that the next one does not cover."""
+    placed = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("h"), i.alias("i"))))
+    twins = F.zip_with(F.slice(placed, 1, F.size(grams) - 1), F.slice(placed, 2, F.size(grams)), lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"])))
+    at = F.sort_array(F.array_distinct(F.flatten(F.array_compact(twins))))
     gaps = F.zip_with(at, F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), lambda x, y: F.least(F.lit(3), F.coalesce(y - x, F.lit(3))))
     return F.aggregate(gaps, F.lit(0).cast("bigint"), lambda s, g: s + g)
 
@@ -57,27 +55,28 @@ def quality_signals(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     lists = F.create_map(*[x for k, v in COMMON.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     union = sorted({w for v in COMMON.values() for w in v})
-    split = docs.select("doc_id", "lang", text.alias("text"), F.filter(F.split(text, SPACES), lambda w: w != "").alias("w"))
+    split = docs.select("doc_id", "lang", text.alias("text"), words_of(text).alias("w"))
     hashed = split.select(
         "doc_id",
         "lang",
         F.size("w").cast("bigint").alias("n_words"),
-        (F.length("text") - F.length(F.regexp_replace("text", SPACES, ""))).alias("n_space"),
         F.length("text").cast("bigint").alias("n_chars"),
-        _counts(F.col("text")).alias("classes"),
+        _counts(F.col("text")).alias("seven"),
         F.filter(F.split("text", "\n"), lambda x: F.trim(F.translate(x, "\t\x0b\f\r", "    ")) != "").alias("lines"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
-        F.filter(F.transform("w", F.lower), lambda x: x.isin(*union)).alias("c"),
+        F.transform(F.filter("w", lambda x: F.lower(x).isin(*union)), F.lower).alias("c"),
         F.element_at(lists, F.coalesce("lang", F.lit(""))).alias("list"),
     )
     n = F.size("h")
     pairs = F.zip_with(F.slice("h", 1, F.greatest(n - 2, F.lit(0))), F.slice("h", 2, F.greatest(n - 2, F.lit(0))), lambda a, b: F.xxhash64(a, b))
     grams = F.zip_with(pairs, F.slice("h", 3, F.greatest(n - 2, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    measured = hashed.withColumn("grams", grams).select(
+    space = (F.col("n_chars") - F.aggregate("seven", F.lit(0), lambda s, x: s + x)).cast("int")
+    classes = F.concat(F.slice("seven", 1, 6), F.array(space), F.slice("seven", 7, 1))
+    measured = hashed.withColumns({"grams": grams, "classes": classes}).select(
         "doc_id",
         "lang",
         "n_words",
-        (F.col("n_chars") - F.col("n_space")).cast("bigint").alias("word_chars"),
+        (F.col("n_chars") - F.col("classes")[6]).cast("bigint").alias("word_chars"),
         F.col("classes")[4].cast("bigint").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         F.when(F.size("grams") == F.size(F.array_distinct("grams")), F.lit(0).cast("bigint")).otherwise(_repeated(F.col("grams"))).alias("n_repeat_words"),

@@ -31,12 +31,11 @@ MAX_CLASS, MAX_WORDS = 0.24, 0.265
 
 
 def _counts(text: Column) -> Column:
-    """How many characters of each class: runs of the rare classes are cut out, letters are what cutting the rest
-    leaves, and white space is what the others leave."""
-    letters = F.length(F.regexp_replace(text, "[^a-z]+", ""))
+    """How many characters of the second class to the sixth and of the last: their runs are cut out.  White space is
+    what the words leave, small letters what all others leave."""
     rare = [F.length(text) - F.length(F.regexp_replace(text, c + "+", "")) for c in CLASSES[1:6]]
     other = F.length(F.regexp_replace(text, "[\\x09-\\x0D\\x20-\\x7E]+", ""))
-    return F.array(letters, *rare, other)
+    return F.array(*rare, other)
 
 
 def _repeated(grams: Column) -> Column:
@@ -54,29 +53,31 @@ def quality_signals(docs: DataFrame) -> DataFrame:
     other words last."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lists = F.create_map(*[x for k, v in COMMON.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    union = sorted({w for v in COMMON.values() for w in v})
+    union = sorted({x for v in COMMON.values() for w in v for x in (w, w.capitalize(), w.upper())})
     split = docs.select("doc_id", "lang", text.alias("text"), words_of(text).alias("w"))
     hashed = split.select(
         "doc_id",
         "lang",
         F.size("w").cast("bigint").alias("n_words"),
         F.length("text").cast("bigint").alias("n_chars"),
-        _counts(F.col("text")).alias("seven"),
+        _counts(F.col("text")).alias("six"),
+        F.length(F.array_join("w", "")).alias("word_chars"),
         F.filter(F.split("text", "\n"), lambda x: F.trim(F.translate(x, "\t\x0b\f\r", "    ")) != "").alias("lines"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
-        F.transform(F.filter("w", lambda x: F.lower(x).isin(*union)), F.lower).alias("c"),
+        F.transform(F.filter("w", lambda x: x.isin(*union)), F.lower).alias("c"),
         F.element_at(lists, F.coalesce("lang", F.lit(""))).alias("list"),
     )
     n = F.size("h")
     pairs = F.zip_with(F.slice("h", 1, F.greatest(n - 2, F.lit(0))), F.slice("h", 2, F.greatest(n - 2, F.lit(0))), lambda a, b: F.xxhash64(a, b))
     grams = F.zip_with(pairs, F.slice("h", 3, F.greatest(n - 2, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    space = (F.col("n_chars") - F.aggregate("seven", F.lit(0), lambda s, x: s + x)).cast("int")
-    classes = F.concat(F.slice("seven", 1, 6), F.array(space), F.slice("seven", 7, 1))
+    space = (F.col("n_chars") - F.col("word_chars")).cast("int")
+    letters = F.col("word_chars") - F.aggregate("six", F.lit(0), lambda s, x: s + x)
+    classes = F.concat(F.array(letters), F.slice("six", 1, 5), F.array(space), F.slice("six", 6, 1))
     measured = hashed.withColumns({"grams": grams, "classes": classes}).select(
         "doc_id",
         "lang",
         "n_words",
-        (F.col("n_chars") - F.col("classes")[6]).cast("bigint").alias("word_chars"),
+        F.col("word_chars").cast("bigint").alias("word_chars"),
         F.col("classes")[4].cast("bigint").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         F.when(F.size("grams") == F.size(F.array_distinct("grams")), F.lit(0).cast("bigint")).otherwise(_repeated(F.col("grams"))).alias("n_repeat_words"),

@@ -42,6 +42,7 @@ ATTRIBUTE = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 #: Prior counts, inside and outside of main text.
 PRIOR = {"word clutter": (1, 400), "word link": (20, 60), "word heading": (60, 30), "word prose": (90, 10), "word plain": (40, 40), "tag": (20, 60)}
+PRIOR |= {f"tag {t}": (60, 40) for t in PROSE | HEADINGS | INLINE - {"a"} | {"br"}}
 
 
 def _cluttered(name: str, attributes: str, in_main: bool) -> bool:

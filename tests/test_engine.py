@@ -5,6 +5,7 @@ import pytest
 
 from barweave.functions import features
 from barweave.operators import sequential
+from barweave.plans import study  # noqa: F401  registers its queries
 from barweave.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +49,57 @@ def test_fill_outside_candle_is_none(spark):
 
 def test_zscore_needs_a_window(spark):
     assert {r["action"] for r in sequential.zscore_schedule(_bars(spark, [10.0] * 30)).collect()} == {"CASH"}
+
+
+def _judged(spark, rows, **rule):
+    """rows: (index, state, close, low, p_trend, p_mean); one variant."""
+    from barweave.operators import arbitration as ar
+
+    made = spark.createDataFrame([("X", 0, i, c, low, 1.0, s, a, m, 0.05, 0.05, True) for i, s, c, low, a, m in rows], "symbol string, segment long, candle_index long, close double, low double, atr double, state string, p_trend double, p_mean double, e_trend double, e_mean double, stretch boolean")
+    return ar.arbitrate(ar.verdicts(ar.with_variants(made, {"v": rule}))).orderBy("candle_index").collect()
+
+
+def test_arbitration_enters_trails_and_cools_down(spark):
+    up = [(i, "TRENDING", 100.0 + i, 99.5 + i, 0.7, 0.6) for i in range(5)]
+    hit = [(5, "TRENDING", 101.0, 100.5, 0.7, 0.6)]  # peak 104, so the stop is 101
+    after = [(i, "TRENDING", 101.0, 100.9, 0.7, 0.6) for i in range(6, 10)]
+    got = [(r["action"], r["reason"]) for r in _judged(spark, up + hit + after)]
+    assert got == [("ENTER", "enter")] + [("HOLD", "hold")] * 4 + [("EXIT", "stop")] + [("CASH", "cooldown")] * 2 + [("ENTER", "enter"), ("EXIT", "boundary")]
+
+
+def test_arbitration_vetoes_and_gaps(spark):
+    rows = [(0, "TRENDING", 100.0, 99.9, 0.5, 0.2), (1, "UNSTABLE", 100.0, 99.9, 0.9, 0.9), (2, "INDETERMINATE", 100.0, 99.9, 0.9, 0.9), (3, "RANGING", 100.0, 99.9, 0.6, 0.7), (5, "RANGING", 100.0, 99.9, 0.6, 0.7)]
+    assert [r["reason"] for r in _judged(spark, rows)] == ["probability,companion,disagreement", "unstable", "indeterminate", "boundary", "boundary"]
+
+
+def test_arbitration_tolerates_one_indeterminate_bar(spark):
+    states = ["TRENDING", "INDETERMINATE", "TRENDING", "INDETERMINATE", "INDETERMINATE", "TRENDING"]
+    got = [(r["action"], r["reason"]) for r in _judged(spark, [(i, s, 100.0, 99.9, 0.7, 0.6) for i, s in enumerate(states)])]
+    assert got[:5] == [("ENTER", "enter"), ("HOLD", "hold"), ("HOLD", "hold"), ("HOLD", "hold"), ("EXIT", "indeterminate")]
+
+
+def test_bootstrap_matches_brute_force(spark):
+    import numpy as np
+
+    from barweave.operators.bootstrap import block_bootstrap
+
+    rng = np.random.default_rng(3)
+    c, base = rng.normal(0.001, 0.02, 50), rng.normal(0, 0.02, 50)
+    frame = spark.createDataFrame([("X", i, float(x), float(y)) for i, (x, y) in enumerate(zip(c, base))], "symbol string, candle_index long, candidate double, baseline double")
+    got = block_bootstrap(frame, replicates=40, block=8, seed=5).first()
+
+    def told(r):
+        wealth, peak, worst = 1.0, 1.0, 0.0
+        for x in r:
+            wealth *= 1 + x
+            peak = max(peak, wealth)
+            worst = max(worst, 1 - wealth / peak)
+        return np.array([wealth - 1, worst, (wealth - 1) / worst if worst else 0.0])
+
+    diffs = []
+    for row in np.random.Generator(np.random.PCG64(5)).integers(0, 43, size=(40, 7)):
+        at = [s + k for s in row for k in range(8)][:50]
+        diffs.append(told(c[at]) - told(base[at]))
+    for k, name in enumerate(("net_return", "drawdown", "return_to_drawdown")):
+        expected = np.percentile([d[k] for d in diffs], (5, 50, 95))
+        assert [got[f"{name}_{p}"] for p in ("p05", "median", "p95")] == pytest.approx(list(expected), rel=1e-9)

@@ -334,11 +334,11 @@ def regime_attribution(spark, d):
     return _trades(spark, d).join(r, ["symbol", "exit_index"], "left").groupBy(F.coalesce("state", F.lit("INDETERMINATE")).alias("state")).agg(F.count("*").alias("n"), _r(F.sum(F.col("exit_close") - F.col("entry_close")), 6).alias("pnl"))
 
 
-@query("cost_stress", f"{_TRD} SELECT symbol, multiple, round(sum((exit_close * (1 - 0.0025 * multiple) - entry_close * (1 + 0.0025 * multiple))), 4) AS pnl FROM trades, (VALUES (1.0::DOUBLE), (1.5), (2.0)) m(multiple) GROUP BY ALL")
+@query("cost_stress", f"{_TRD} SELECT symbol, multiple, round(sum((exit_close * (1 - 0.0025 * multiple) - entry_close * (1 + 0.0025 * multiple))), 8) AS pnl FROM trades, (VALUES (1.0::DOUBLE), (1.5), (2.0)) m(multiple) GROUP BY ALL")
 def cost_stress(spark, d):
     x = _trades(spark, d).withColumn("multiple", F.explode(F.array(*map(F.lit, (1.0, 1.5, 2.0)))))
     m = 0.0025 * F.col("multiple")
-    return x.groupBy("symbol", "multiple").agg(_r(F.sum(F.col("exit_close") * (1 - m) - F.col("entry_close") * (1 + m)), 4).alias("pnl"))
+    return x.groupBy("symbol", "multiple").agg(_r(F.sum(F.col("exit_close") * (1 - m) - F.col("entry_close") * (1 + m)), 8).alias("pnl"))
 
 
 # Folds ----------------------------------------------------------------------------------------------------------

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barweave.llm import jaccard
 from barweave.llm.common import lower_ascii, read_table, stage
 from barweave.llm.components import components
 
@@ -141,56 +142,63 @@ def near_components(docs: DataFrame, words: int = 3) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, cells: int = 8, prints: int = 1) -> DataFrame:
+def _common_shingles(docs: DataFrame, words: int, sample: int = 16, most: int = 1 << 16) -> np.ndarray:
+    """The shingles most texts of a sample have, at most ``most``, the most common first; only an order, see jaccard."""
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text in batch["text"]:
+                yield pd.DataFrame({"h": shingle_set(text, words)})
+
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0).where("text is not null")
+    some = some.dropDuplicates(["text"]).mapInPandas(take, "h long")
+    top = some.groupBy("h").agg(F.count("*").alias("n")).where("n >= 4").orderBy(F.desc("n"), "h").limit(most)
+    return np.array([r["h"] for r in top.collect()], np.int64)
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    parts = shingles((text or "").encode("utf-8", "surrogatepass").lower().split(), words)
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in parts], "<u8").view("<i8"))
+
+
+def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, digest and component (long) of every distinct row (doc_id, digest of the lower-cased text) of docs.
 
-    Fingerprints of single words, of which near copies share nearly all, group the texts by Golay keys as above, once for
-    each of ``prints`` hash seeds.  In a
-    group, texts that agree on one of ``cells`` least shingle hashes meet two of them, the first and one by chance, and stay linked if the exact
-    Jaccard similarity of their sets of five-word shingles is at least ``similarity``.  Each text meets 2 * ``cells``
-    others at most, so a large group makes no more pairs than it has texts times that.
+    The components are those of all pairs of texts whose sets of five-word shingles have a Jaccard similarity of at least
+    ``similarity``.  Fingerprints at two bits lose many such pairs, so candidates are the texts that share a shingle of
+    their prefixes, which is complete (see jaccard).
     """
-    names = [f"fp{i}" for i in range(prints)]
-    marked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    for i, name in enumerate(names):
-        marked = fingerprints(marked, 1, 42 + i, name)
-    digest = F.md5(lower_ascii(F.coalesce("text", F.lit(""))).cast("binary"))
-    rows = stage(marked.select("doc_id", *names, digest.alias("digest")), "marked")
-    least = F.coalesce(F.min("doc_id"), -1 - F.abs(F.xxhash64("digest") % (1 << 62)))
-    texts = stage(rows.groupBy("digest", *names).agg(least.alias("node")), "texts")
-    placed = None
-    for i, name in enumerate(names):
-        roots = components(near_links(texts.select(F.col(name).alias("fp")).distinct())).withColumnRenamed("node", name)
-        part = texts.select("digest", "node", name).join(roots, name, "left").select("digest", "node", F.xxhash64(F.lit(i), F.coalesce("root", name)).alias("grp"))
-        placed = part if placed is None else placed.unionByName(part)
-    placed = stage(placed, "placed")
-    groups = placed.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
-    inside = stage(placed.join(groups, "grp", "left_semi"), "inside")
+    common = _common_shingles(docs, words)
 
     @F.pandas_udf("array<long>")
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def keys_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in batches:
+            yield pd.Series([jaccard.prefix(shingle_set(t, words), common, similarity) for t in part])
+
+    @F.pandas_udf("struct<s:array<long>,bits:array<long>>")
+    def sets_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            yield pd.Series([np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in shingles((t or "").encode("utf-8", "surrogatepass").lower().split(), words)], "<u8").view("<i8")) for t in part])
+            sets = [shingle_set(t, words) for t in part]
+            yield pd.DataFrame({"s": sets, "bits": [jaccard.parities(s) for s in sets]})
 
-    own = inside.groupBy("digest", "node").agg(F.collect_set("grp").alias("grps"))
+    digest = F.md5(lower_ascii(F.coalesce("text", F.lit(""))).cast("binary"))
+    marked = stage(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), digest.alias("digest"), keys_of("text").alias("keys")), "marked")
+    rows = marked.select("doc_id", "digest")
+    least = F.coalesce(F.min("doc_id"), -1 - F.abs(F.xxhash64("digest") % (1 << 62)))
+    texts = stage(marked.groupBy("digest").agg(least.alias("node"), F.first("keys").alias("keys")), "texts")
+    # rows with one id and several texts: one node each
+    twice = texts.groupBy("node").agg(F.min("digest").alias("first"))
+    own_node = F.when(F.col("digest") == F.col("first"), F.col("node")).otherwise(-1 - F.abs(F.xxhash64("digest") % (1 << 62)))
+    texts = stage(texts.join(twice, "node").select("digest", own_node.alias("node"), "keys"), "nodes")
+    keys = texts.select("node", F.explode("keys").alias("key"))
+    shared = jaccard.shared_keys(keys)
+    wanted = keys.join(shared, "key", "left_semi").select("node").distinct()
+    own = texts.select("digest", "node").join(wanted, "node", "left_semi")
     whole = docs.select(digest.alias("digest"), "text").join(own, "digest").dropDuplicates(["digest"])
-    hashed = stage(whole.select("node", "grps", sets("text").alias("s")), "sets")
-    # a lambda with two parameters would get the place as the second
-    mins = [F.array_min(F.transform("s", (lambda k: lambda x: F.xxhash64(x, F.lit(k)))(k))) for k in range(cells)]
-    cell = hashed.select("node", "grps", F.posexplode(F.array(*mins)).alias("k", "least"))
-    cell = cell.select("node", F.explode("grps").alias("grp"), "k", F.coalesce("least", F.lit(0).cast("bigint")).alias("least"))
-    cell = stage(cell.select("node", F.xxhash64("grp", "k", "least").alias("cell")), "cells")
-    # the first text by id, for short chains, and one by chance, a different one in each cell
-    leads = F.array(F.min("node"), F.min_by("node", F.xxhash64("node", "cell")))
-    lead = cell.groupBy("cell").agg(leads.alias("leads"), F.count("*").alias("n")).where("n > 1")
-    pairs = stage(cell.join(lead, "cell").select("node", F.explode("leads").alias("lead")).where("node != lead").select("node", "lead").distinct(), "meet")
-    side = hashed.select("node", "s")
-    both = pairs.join(side, "node").join(side.select(F.col("node").alias("lead"), F.col("s").alias("t")), "lead")
-    common = F.size(F.array_intersect("s", "t"))
-    alike = both.where(common >= similarity * (F.size("s") + F.size("t") - common))
-    linked = components(alike.select(F.col("node").alias("u"), F.col("lead").alias("v")))
+    sets = stage(whole.select("node", sets_of("text").alias("x")).select("node", "x.s", "x.bits"), "sets")
+    linked = components(jaccard.similar_links(keys, shared, sets, similarity))
     named = stage(texts.join(linked.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("digest", F.coalesce("root", "node").alias("component")), "named")
-    return rows.select("doc_id", "digest").join(named, "digest")
+    return rows.join(named, "digest").select("doc_id", "digest", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

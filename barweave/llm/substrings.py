@@ -7,8 +7,8 @@ similarity asked for still collide with probability ``recall`` within the signat
 by the exact Jaccard similarity of their shingle sets, links make components, and in each component all paragraphs but
 the first (least doc_id, then place) are marked for removal.
 
-Equal paragraphs are one from the start, by digest.  In a band's bucket every paragraph meets two others
-by chance, so a bucket never makes more than two pairs a paragraph; the bands give each paragraph many such chances.
+Equal paragraphs are one from the start, by digest.  In a band's bucket no pair at the similarity is skipped: small ones
+are paired in full, crowded ones as jaccard says.
 
 Null and empty texts have no paragraphs, null ids count after all others, rows that repeat an id are read each, an empty
 table gives an empty result.  Other columns are not read.
@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barweave.llm import jaccard
 from barweave.llm.common import read_table, stage
 from barweave.llm.components import components
 from barweave.llm.simhash import shingles
@@ -76,7 +77,7 @@ def paragraphs(docs: DataFrame, words: int, min_words: int, bands: int, rows: in
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int, min_words: int) -> DataFrame:
-    """node and s, the shingle set, of the wanted paragraphs (doc_id, start, stop, node), read from the texts again."""
+    """node, s, the shingle set, and its bits of the wanted paragraphs (doc_id, start, stop, node), read from the texts again."""
     grouped = wanted.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start", "stop", "node", "digest")).alias("want"))  # paragraphs of one document
     texts = docs.select("doc_id", "text").join(grouped, F.col("doc_id").cast("bigint").eqNullSafe(F.col("id"))).select("text", "want")
 
@@ -84,16 +85,18 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, min_words: int) -> Dat
         for batch in batches:
             for low in range(0, batch.num_rows, 200):
                 part = batch.slice(low, 200)
-                nodes, sets = [], []
+                nodes, sets, bits = [], [], []
                 for text, want in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     for w in want:
                         line = (text or "")[w["start"] : w["stop"]]
                         if xxhash.xxh3_128_digest(b" ".join(line.encode("utf-8", "surrogatepass").lower().split())) == w["digest"]:
                             nodes.append(w["node"])
                             sets.append(_hashes(line, words).view("<i8"))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
+                            bits.append(jaccard.parities(sets[-1]))
+                kind = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, kind), pa.array(bits, kind)], ["node", "s", "bits"])
 
-    return texts.mapInArrow(take, "node bigint, s array<bigint>").dropDuplicates(["node"])
+    return texts.mapInArrow(take, "node bigint, s array<bigint>, bits array<bigint>").dropDuplicates(["node"])
 
 
 def duplicate_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, min_words: int = 15, signature: int = 56) -> DataFrame:
@@ -104,18 +107,11 @@ def duplicate_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start")
     ordered = found.groupBy("digest").agg(F.min(F.struct(place.alias("p"), "stop")).alias("m"), F.first("bands").alias("bands"), F.count("*").alias("n"))
     distinct = stage(ordered.select("digest", F.xxhash64("digest").alias("node"), F.col("m.p.doc_id").alias("doc_id"), F.col("m.p.start").alias("start"), F.col("m.stop").alias("stop"), "bands", "n"), "distinct")
-    # a band's value holds the band; turned by it, the least and largest node are two by chance, others in each bucket
-    keys = distinct.select("node", F.explode("bands").alias("value"))
-    turned = F.col("node").bitwiseXOR(F.col("value"))
-    leads = keys.groupBy("value").agg(F.min(turned).alias("a"), F.max(turned).alias("b")).where("a != b")
-    met = leads.select("value", F.explode(F.array(F.col("a").bitwiseXOR(F.col("value")), F.col("b").bitwiseXOR(F.col("value")))).alias("lead"))
-    pairs = keys.join(met, "value").where("node != lead")
-    pairs = stage(pairs.select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v")).distinct(), "meet")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    keys = distinct.select("node", F.explode("bands").alias("key")).distinct()
+    shared = jaccard.shared_keys(keys)
+    wanted = keys.join(shared, "key", "left_semi").select("node").distinct()
     sets = stage(_sets(docs, distinct.join(wanted, "node", "left_semi").select("doc_id", "start", "stop", "node", "digest"), words, min_words), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("t")), "v")
-    common = F.size(F.array_intersect("s", "t"))
-    links = both.where(common >= similarity * (F.size("s") + F.size("t") - common)).select("u", "v")
+    links = jaccard.similar_links(keys, shared, sets, similarity)
     roots = components(links)
     named = distinct.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("digest", "n", "doc_id", "start", F.coalesce("root", "node").alias("root"))
     first = named.groupBy("root").agg(F.min(place).alias("first"), F.sum("n").alias("size")).where("size > 1")

@@ -4,7 +4,7 @@ import itertools
 
 import numpy as np
 
-from barweave.llm import simhash
+from barweave.llm import simhash, substrings
 
 
 def shingle_sets(texts):
@@ -64,3 +64,20 @@ def test_crowded_template(spark):
             w[int(rng.integers(0, 120))] = "last"
             texts[2 * i + 1] = " ".join(w)
     assert same_groups(components_of(spark, texts), brute(shingle_sets(texts)))
+
+
+def test_crowded_bands(spark):
+    """A crowd of variants of one line at about 0.6: every pair of them at 0.85 is found, whoever leads its buckets."""
+    rng = np.random.default_rng(13)
+    texts = {}
+    for i in range(700):
+        w = [f"t{k}" for k in range(200)]
+        for k in rng.choice(200, 10, replace=False):
+            w[k] = f"x{rng.integers(0, 10**6)}"
+        texts[2 * i] = " ".join(w)
+        for k in rng.choice(200, 2, replace=False):
+            w[k] = f"y{rng.integers(0, 10**6)}"
+        texts[2 * i + 1] = " ".join(w)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["cluster_id"] for r in substrings.duplicate_paragraphs(rows).where("start = 0").collect()}
+    assert same_groups({i: got.get(i, i) for i in texts}, brute(shingle_sets(texts)))

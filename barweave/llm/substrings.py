@@ -1,6 +1,6 @@
 """Operator 6: substring deduplication by MinHash banding of paragraphs.
 
-A paragraph is a line of ``min_words`` words or more; a longer run of text repeats as its paragraphs.  Its set of
+A paragraph is a line of ``min_words`` words or more.  Its set of
 five-word shingles gets a MinHash signature of bands * rows values, and paragraphs that agree on a band collide.  Bands
 are tuned for recall: ``tune`` takes the most rows, so the fewest collisions by chance, at which paragraphs at the
 similarity asked for still collide with probability ``recall`` within the signature.  Colliding paragraphs are compared
@@ -10,26 +10,37 @@ the first (least doc_id, then place) are marked for removal.
 Equal paragraphs are one from the start, by digest.  In a band's bucket no pair at the similarity is skipped: small ones
 are paired in full, crowded ones as jaccard says.
 
+A passage may also repeat inside longer lines, or across lines that are wrapped elsewhere.  So texts are cut into units
+of 25 words besides, across lines, which start where the hash of three words is the least of 26 in sequence: whatever
+stands around it, a passage of 50 words or more holds a whole unit and its copies hold the same.  Units with equal words
+repeat; near copies are found as far as such units agree.  Of the repeats those that add to the paragraphs are merged to
+spans: units in sequence that have the same first document and the same verdict.  A unit that overlaps its own first
+stays.  Spans are listed once for rows that repeat both id and text.
+
 Null and empty texts have no paragraphs, null ids count after all others, rows that repeat an id are read each, an empty
 table gives an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barweave.llm import jaccard
-from barweave.llm.common import read_table, stage
+from barweave.llm.common import WORD, read_table, stage
 from barweave.llm.components import components
 from barweave.llm.simhash import shingles
 
 
+UNIT, WINDOW, GRAM = 25, 26, 3
+
+
 def tune(similarity: float, signature: int = 56, recall: float = 0.995) -> tuple[int, int]:
     """bands, rows."""
     rows = 1
@@ -44,7 +55,7 @@ def _hashes(line: str, words: int) -> np.ndarray:
 
 
 def paragraphs(docs: DataFrame, words: int, min_words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, start, stop (code points), digest, bands and, for verifying, the shingle set, of every paragraph."""
+    """doc_id, start, stop (code points), digest, bands and own, a hash of the whole text, of every paragraph."""
     rng = np.random.Generator(np.random.PCG64(7))
     odd = (rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
     mix = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
@@ -54,9 +65,9 @@ def paragraphs(docs: DataFrame, words: int, min_words: int, bands: int, rows: in
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], []]
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    at = 0
+                    at, own = 0, _text_hash(text)
                     for line in (text or "").split("\n"):
                         if line.count(" ") + line.count("\t") + 1 >= min_words and len(line.encode("utf-8", "surrogatepass").split()) >= min_words:
                             clean = b" ".join(line.encode("utf-8", "surrogatepass").lower().split())
@@ -67,13 +78,84 @@ def paragraphs(docs: DataFrame, words: int, min_words: int, bands: int, rows: in
                                 if len(known) > 50_000:
                                     known.clear()
                                 known[digest] = [xxhash.xxh64_intdigest(least[b * rows : (b + 1) * rows].tobytes(), b) >> 1 for b in range(bands)]
-                            for column, value in zip(out, (doc, at, at + len(line), digest, known[digest])):
+                            for column, value in zip(out, (doc, at, at + len(line), digest, known[digest], own)):
                                 column.append(value)
                         at += len(line) + 1
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["doc_id", "start", "stop", "digest", "bands"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["doc_id", "start", "stop", "digest", "bands", "own"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, "doc_id bigint, start bigint, stop bigint, digest binary, bands array<bigint>, own bigint")
+
+
+def _text_hash(text: str | None) -> int:
+    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) >> 1
+
+
+def anchors(grams: np.ndarray) -> np.ndarray:
+    """The places of the least of every WINDOW hashes in sequence, the first of equal ones."""
+    if len(grams) < WINDOW:
+        return np.zeros(0, np.int64)
+    seen = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
+    return np.unique(seen.argmin(1) + np.arange(len(seen)))
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, "doc_id bigint, start bigint, stop bigint, digest binary, bands array<bigint>")
+
+def units(docs: DataFrame) -> DataFrame:
+    """doc_id, own (see paragraphs), start, stop, line (the start of the line that holds it all, else -1) and digest."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        word = re.compile(WORD)
+        mix = np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
+                out: list[list] = [[], [], [], [], [], []]
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    found = [(m.group(), m.start()) for m in word.finditer(text or "")]
+                    if len(found) < UNIT + WINDOW - 1:
+                        continue
+                    if len(known) > 200_000:
+                        known.clear()
+                    for w, _ in found:
+                        if w not in known:
+                            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass").lower(), 7)
+                    hashes = np.array([known[w] for w, _ in found], np.uint64)
+                    n = len(hashes) - GRAM + 1
+                    grams = np.zeros(n, np.uint64)
+                    for i in range(GRAM):
+                        grams = (grams ^ hashes[i : i + n]) * mix
+                        grams ^= grams >> np.uint64(31)
+                    at = anchors(grams)
+                    at = at[at + UNIT <= len(hashes)]
+                    own = _text_hash(text)
+                    for p in at.tolist():
+                        start, last = found[p][1], found[p + UNIT - 1]
+                        stop = last[1] + len(last[0])
+                        line = -1 if text.find("\n", start, stop) >= 0 else text.rfind("\n", 0, start) + 1
+                        for column, value in zip(out, (doc, own, start, stop, line, xxhash.xxh3_128_digest(hashes[p : p + UNIT].tobytes()))):
+                            column.append(value)
+                kinds = (*[pa.int64()] * 5, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["doc_id", "own", "start", "stop", "line", "digest"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, "doc_id bigint, own bigint, start bigint, stop bigint, line bigint, digest binary")
+
+
+def repeated_spans(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """doc_id, start, stop, cluster_id and removed of spans of repeated units that paragraphs (marked) do not hold."""
+    found = stage(units(docs), "units")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start")
+    first = found.groupBy("digest").agg(F.min(F.struct(place.alias("p"), "stop", "own")).alias("m"), F.count("*").alias("n")).where("n > 1")
+    member = found.join(first.select("digest", "m"), "digest").distinct()
+    there = F.col("doc_id").eqNullSafe(F.col("m.p.doc_id")) & (F.col("own") == F.col("m.own")) & (F.col("start") < F.col("m.stop"))
+    member = member.select("doc_id", "own", "start", "stop", "line", F.col("m.p.doc_id").alias("cluster_id"), (~there).alias("removed"))
+    lines = marked.select(F.col("doc_id").alias("_doc"), F.col("own").alias("_own"), F.col("start").alias("_start"), F.col("removed").alias("_removed")).distinct()
+    held = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("own") == F.col("_own")) & (F.col("line") == F.col("_start")) & (F.col("_removed") | ~F.col("removed"))
+    extra = member.join(lines, held, "left_anti")
+    text = Window.partitionBy("doc_id", "own", "cluster_id", "removed").orderBy("start", "stop")
+    before = F.max("stop").over(text.rowsBetween(Window.unboundedPreceding, -1))
+    split = extra.withColumn("new", F.when(before >= F.col("start") - 1, 0).otherwise(1)).withColumn("part", F.sum("new").over(text))
+    spans = split.groupBy("doc_id", "own", "cluster_id", "removed", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return spans.select("doc_id", "start", "stop", "cluster_id", "removed")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int, min_words: int) -> DataFrame:
@@ -100,8 +182,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, min_words: int) -> Dat
 
 
 def duplicate_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, min_words: int = 15, signature: int = 56) -> DataFrame:
-    """doc_id, start, stop, cluster_id and removed of every paragraph that has a duplicate; cluster_id is the least
-    doc_id of the component."""
+    """doc_id, start, stop, cluster_id and removed of every paragraph that has a duplicate, and of repeated spans
+    besides; cluster_id is the least doc_id of the component."""
     bands, rows = tune(similarity, signature)
     found = stage(paragraphs(docs, words, min_words, bands, rows), "paragraphs")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start")
@@ -116,9 +198,10 @@ def duplicate_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.
     named = distinct.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("digest", "n", "doc_id", "start", F.coalesce("root", "node").alias("root"))
     first = named.groupBy("root").agg(F.min(place).alias("first"), F.sum("n").alias("size")).where("size > 1")
     clusters = stage(named.join(first, "root").select("digest", "first"), "clusters")
-    member = found.select("doc_id", "start", "stop", "digest").join(clusters, "digest")
+    member = found.select("doc_id", "own", "start", "stop", "digest").join(clusters, "digest")
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))
-    return member.select("doc_id", "start", "stop", F.col("first.doc_id").alias("cluster_id"), (~same).alias("removed"))
+    marked = stage(member.select("doc_id", "own", "start", "stop", F.col("first.doc_id").alias("cluster_id"), (~same).alias("removed")), "marked")
+    return marked.drop("own").unionByName(repeated_spans(docs, marked))
 
 
 def op6_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

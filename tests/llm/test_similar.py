@@ -81,3 +81,19 @@ def test_crowded_bands(spark):
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: r["cluster_id"] for r in substrings.duplicate_paragraphs(rows).where("start = 0").collect()}
     assert same_groups({i: got.get(i, i) for i in texts}, brute(shingle_sets(texts)))
+
+
+def test_passage_inside_longer_lines(spark):
+    """A passage of 51 words in lines of other words, in a text without line breaks and wrapped elsewhere."""
+    rng = np.random.default_rng(14)
+
+    def other(n):
+        return " ".join(f"o{x}" for x in rng.integers(0, 10**6, n))
+
+    words = [f"p{i}" for i in range(51)]
+    passage = " ".join(words)
+    wrapped = "\n".join(" ".join(words[i : i + 9]) for i in range(0, 51, 9))
+    texts = {1: f"{other(200)} {passage} {other(150)}", 2: f"head\n{other(90)} {passage} {other(300)}\nend", 3: f"{other(40)}\n{wrapped}\n{other(40)}", 4: other(400)}
+    got = substrings.duplicate_paragraphs(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["cluster_id"], r["removed"]) for r in got} == {(1, 1, False), (2, 1, True), (3, 1, True)}
+    assert all(set(texts[r["doc_id"]][r["start"] : r["stop"]].split()) <= set(words) and len(texts[r["doc_id"]][r["start"] : r["stop"]].split()) >= 25 for r in got)

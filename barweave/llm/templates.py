@@ -1,82 +1,144 @@
 """Operator 3: line deduplication with a fixed-depth log-template tree.
 
 A line's words pass a tree of fixed depth: first by their number, then by the leading ``depth`` words, in which words
-with digits count as a variable field.  Below a leaf, a word is constant if at least ``min_docs`` documents have it in
-its place there, else it is a variable field; what is left is the line's template.  A template is recurring if at least
-``min_docs`` documents have it and at least ``min_constant`` of its words are constant; shorter lines than ``min_words``
-are no templates.
-
-Copies of whole documents repeat all their lines, which are text and no boilerplate.  So documents most of whose words
-lie in recurring templates do not count as evidence: a template must recur in ``min_docs`` of the others.  Lines of
-templates that pass are dropped wherever they stand.
-
-Leaves and templates are counted with map-side combining, never collected; only lines in leaves of ``min_docs`` or more
-documents are looked at word by word.  Null text stays null, empty lines stay, a null or repeated id counts as one
-document, an empty table gives an empty result, other columns pass through.
+with digits count as a variable field.  Below a leaf the rest of the line has ``PLACES`` - 1 places of one or more
+words, as many in each as the line's length gives.  What stands in a place is constant if at least ``min_docs`` rows
+have it there in that leaf, else the place is a variable field; what is left is the line's template.  A template is
+recurring if at least ``min_docs`` texts have it and at least ``min_constant`` of its words are constant; in lines of
+fewer than ``short`` words all words must be.
+
+Copies of whole documents repeat all their lines, which are text and no boilerplate.  So equal texts count once, and
+texts most of whose words lie in recurring templates do not count as evidence: a template must recur in ``min_docs`` of
+the others.  Lines of templates that pass are dropped wherever they stand.
+
+A line is a few hashes from the start: its text and words are never exchanged, every count is combined before it is,
+and all that is exchanged grows as the input does, however many leaves recur.  The texts themselves are exchanged once,
+to meet the lines that they lose.
+
+Null text stays null, empty lines and lines of white space stay; ids are not read, so null and repeated ones change
+nothing; an empty table gives an empty result; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.llm.common import SPACES, read_table, stage, words_of
-
-FIELD = "<*>"
-
-
-def _masked(words: Column) -> Column:
-    return F.transform(words, lambda w: F.when(F.regexp_like(w, F.lit("[0-9]")), F.lit(FIELD)).otherwise(w))
-
-
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc, line (its text) and n, for lines of min_words words or more."""
-    one = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1).cast("bigint")).alias("doc"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    counted = one.withColumn("n", F.size(words_of(F.col("line"))))
-    return counted.where(F.col("n") >= min_words)
-
-
-def recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 10, min_words: int = 4, min_constant: float = 0.6, mostly: float = 0.5) -> DataFrame:
-    """doc, key (xxhash64 of the line) of every line of a recurring template, once a document."""
-    lines = _lines(docs, min_words)
-    # the leading words need no more than the line's first few pieces
-    leading = F.slice(F.array_remove(F.split("line", SPACES, depth + 2), F.lit("")), 1, depth)
-    placed = lines.select("doc", "n", "line", F.xxhash64("n", _masked(leading)).alias("leaf"))
-    light = stage(placed.select("doc", "n", "leaf"), "places")
-    leaves = stage(light.groupBy("leaf").agg(F.count("*").alias("k")).where(F.col("k") >= min_docs).select("leaf"), "leaves")
-    once = placed.join(leaves, "leaf", "left_semi").groupBy("doc", "leaf", F.xxhash64("line").alias("key")).agg(F.first("line").alias("line"), F.first("n").alias("n"))
-    candidates = stage(once.select("doc", "leaf", "key", "n", _masked(words_of(F.col("line"))).alias("words")), "candidates")
-    # equal lines first: counts by distinct line keep what follows small however often a line stands
-    distinct = candidates.groupBy("leaf", "key").agg(F.first("words").alias("words"), F.count("*").alias("docs"))
-    distinct = stage(distinct, "lines")
-    tokens = distinct.select("leaf", "key", "docs", F.posexplode("words").alias("at", "word"))
-    constant = tokens.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("d")).where((F.col("d") >= min_docs) & (F.col("word") != FIELD))
-    marked = tokens.join(constant.drop("d"), ["leaf", "at", "word"], "left_semi").groupBy("leaf", "key").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("fixed"))
-    shaped = distinct.join(marked, ["leaf", "key"]).where(F.size("fixed") >= min_constant * F.size("words"))
-    shaped = stage(shaped.select("leaf", "key", "docs", F.xxhash64("leaf", "fixed").alias("template")), "shaped")
-    often = shaped.groupBy("template").agg(F.sum("docs").alias("d")).where(F.col("d") >= min_docs)
-    known = stage(shaped.join(often.select("template"), "template", "left_semi").select("key", "leaf", "template"), "known")
-    hits = stage(candidates.join(known, ["leaf", "key"]).select("doc", "key", "template", "n"), "hits")
-    size = light.groupBy("doc").agg(F.sum("n").alias("all"))
-    share = hits.groupBy("doc").agg(F.sum("n").alias("in")).join(size, "doc")
-    evidence = share.where(F.col("in") < mostly * F.col("all")).select("doc")
-    proven = hits.join(evidence, "doc", "left_semi").groupBy("template").agg(F.count_distinct("doc").alias("d")).where(F.col("d") >= min_docs)
-    return hits.join(stage(proven.select("template"), "proven"), "template", "left_semi").select("doc", "key")
-
-
-def drop_recurring_lines(docs: DataFrame, **limits) -> DataFrame:
-    """docs with the recurring lines taken out of text, and n_dropped, how many lines that were."""
-    if clash := {"n_dropped", "_doc", "_keys"} & set(docs.columns):
-        raise ValueError(f"rename the columns {sorted(clash)} first")
-    drop = recurring_lines(docs, **limits).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("key").alias("_keys"))  # lines of one document
-    own = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1).cast("bigint"))
-    joined = docs.withColumn("_own", own).join(drop, F.col("_own") == F.col("_doc"), "left")
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains("_keys", F.xxhash64(x)))
-    return joined.select(
-        *[F.when(F.col("_keys").isNotNull(), F.array_join(kept, "\n")).otherwise(docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns],
-        F.when(F.col("_keys").isNotNull(), F.size(lines) - F.size(kept)).otherwise(F.lit(0)).cast("bigint").alias("n_dropped"),
+from barweave.llm.common import read_table, stage, unused
+
+FIELD = b"<*>"
+PLACES = 6
+_NUMBER = re.compile(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*")
+
+
+def masked_words(line: bytes) -> list[bytes]:
+    """The words of a line; those with digits are fields."""
+    return _NUMBER.sub(FIELD, line).split()
+
+
+def places(words: list[bytes], depth: int) -> tuple[list[int], list[int]]:
+    """For each place of a line its hash, which depends on the leaf, and how many of its words are no fields.  The first
+    place is the leaf itself; places that a short line lacks are left out."""
+    n = len(words)
+    leaf = xxhash.xxh64_intdigest(b"%d " % n + b" ".join(words[:depth]), 0)
+    hashes, counts, low = [leaf], [min(n, depth) - words[:depth].count(FIELD)], depth
+    for i in range(1, PLACES):
+        high = depth + (n - depth) * i // (PLACES - 1)
+        if high > low:
+            hashes.append(xxhash.xxh64_intdigest(b" ".join(words[low:high]), (leaf + i) & (2**64 - 1)))
+            counts.append(high - low - words[low:high].count(FIELD))
+            low = high
+    return hashes, counts
+
+
+def pattern(hashes: list[int]) -> int:
+    """The name of lines that have the same in every place, as a signed long."""
+    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(np.array(hashes, "<u8").tobytes(), 1))))
+
+
+def line_patterns(docs: DataFrame, depth: int) -> DataFrame:
+    """own (the hash of the text), pattern, n (words of the line), words (those of all its lines in the text), whole
+    (those of the text), hashes and counts (see places): a row for each pattern of each text."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        names = ["own", "pattern", "n", "words", "whole", "hashes", "counts"]
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                out: list[list] = [[] for _ in kinds]
+                for text in batch.slice(low, 500).column(0).to_pylist():
+                    raw = (text or "").encode("utf-8", "surrogatepass")
+                    own = np.uint64(xxhash.xxh64_intdigest(raw, 42)).astype(np.int64)
+                    made, whole, times = {}, 0, Counter()
+                    for line in raw.split(b"\n"):
+                        if words := masked_words(line):
+                            hashes, counts = places(words, depth)
+                            whole += len(words)
+                            times[key := pattern(hashes)] += 1
+                            made[key] = (len(words), hashes, counts)
+                    for key, (n, hashes, counts) in made.items():
+                        for column, value in zip(out, (own, key, n, n * times[key], whole, np.array(hashes, "<u8").view("<i8"), counts)):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
+
+    return docs.select("text").mapInArrow(cut, "own bigint, pattern bigint, n int, words int, whole int, hashes array<bigint>, counts array<int>")
+
+
+def recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 10, min_constant: float = 0.6, short: int = 4, mostly: float = 0.5) -> DataFrame:
+    """own (xxhash64 of the text) and pattern of every line of a recurring template, once a text."""
+    lines = stage(line_patterns(docs, depth), "lines")
+    place = lines.select("pattern", "n", F.posexplode(F.arrays_zip("hashes", "counts")).alias("at", "x")).select("pattern", "n", "at", F.col("x.hashes").alias("h"), F.col("x.counts").alias("c"))
+    constant = place.groupBy("h").agg(F.count("*").alias("d")).where(F.col("d") >= min_docs).select("h")
+    at = range(PLACES)
+    marked = place.join(constant, "h").groupBy("pattern").agg(
+        F.max("n").alias("n"), *[F.max(F.when(F.col("at") == i, F.col("h"))).alias(f"h{i}") for i in at], *[F.max(F.when(F.col("at") == i, F.col("c"))).alias(f"c{i}") for i in at]
     )
+    fixed = sum((F.coalesce(f"c{i}", F.lit(0)) for i in at), F.lit(0))
+    need = F.when(F.col("n") < short, F.col("n").cast("double")).otherwise(min_constant * F.col("n"))
+    shaped = marked.where(fixed >= need).select("pattern", F.xxhash64("n", *[F.coalesce(f"h{i}", F.lit(0).cast("bigint")) for i in at]).alias("template"))
+    hits = lines.select("own", "pattern", "words", "whole").join(stage(shaped, "shaped"), "pattern")
+    hits = stage(hits.groupBy("own", "pattern").agg(F.max("words").alias("words"), F.max("whole").alias("whole"), F.max("template").alias("template")), "hits")
+
+    def recurring(rows: DataFrame) -> DataFrame:
+        return rows.select("template", "own").distinct().groupBy("template").agg(F.count("*").alias("d")).where(F.col("d") >= min_docs).select("template")
+
+    known = stage(hits.join(recurring(hits), "template", "left_semi"), "known")
+    evidence = known.groupBy("own").agg(F.sum("words").alias("in"), F.max("whole").alias("whole")).where(F.col("in") < mostly * F.col("whole")).select("own")
+    proven = recurring(known.join(evidence, "own", "left_semi"))
+    return known.join(stage(proven, "proven"), "template", "left_semi").select("own", "pattern")
+
+
+def drop_recurring_lines(docs: DataFrame, depth: int = 3, count: str | None = "n_dropped", **limits) -> DataFrame:
+    """docs with the recurring lines taken out of text, and in the column ``count`` (which takes the place of one of that
+    name; None for none) how many lines that were."""
+    own, drop, cut = (unused(docs.columns, c) for c in ("own", "drop", "cut"))
+
+    @F.pandas_udf("struct<text:string,n:bigint>")
+    def without(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, keys in zip(texts, drops):
+            if text is None or keys is None:
+                rows.append((None, 0))
+                continue
+            gone, lines = set(keys), text.split("\n")
+            kept = [x for x in lines if not (w := masked_words(x.encode("utf-8", "surrogatepass"))) or pattern(places(w, depth)[0]) not in gone]
+            rows.append(("\n".join(kept), len(lines) - len(kept)))
+        return pd.DataFrame(rows, columns=["text", "n"])
+
+    lost = recurring_lines(docs, depth, **limits).groupBy(F.col("own").alias(own)).agg(F.collect_list("pattern").alias(drop))  # lines of one text
+    joined = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit("")))).join(lost, own, "left")
+    hit = F.col(drop).isNotNull()
+    cleaned = joined.withColumn(cut, without(F.when(hit, F.col("text")), F.col(drop)))
+    kept = [F.when(hit, F.col(f"{cut}.text")).otherwise(F.col("text")).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != count]
+    return cleaned.select(*kept, *([F.coalesce(f"{cut}.n", F.lit(0)).cast("bigint").alias(count)] if count else []))
 
 
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,16 @@ def test_ids_equal_library(name):
     check()
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_every_character_equal_library(name):
+    """Every code point below U+3000 and of Hangul's start and the compatibility blocks, between several neighbours."""
+    enc = tokenise.Encoder(tokenise.vocabulary_path(name))
+    points = [c for c in [*range(1, 0x3000), *range(0xAC00, 0xAC40), *range(0xF900, 0x10000), *range(0x1D400, 0x1D500)] if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b {c} w{c}, {c}y\n{c}z Ko{c}. e{c}\u0301 {c}{c}\n" for c in map(chr, points)]
+    got = [np.frombuffer(b, "<u4").tolist() for b in enc.batch(texts)]
+    assert got == [x.ids for x in enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 @given(st.integers(1, 20), st.lists(st.integers(0, 2**20 - 1), max_size=60), st.data())
 @settings(max_examples=60, deadline=None)
 def test_bit_packing_round_trip(bits, ids, data):
@@ -57,8 +67,8 @@ def test_token_store(spark, docs):
     path, name = fresh_path(spark, "test-tokens"), tokenise.vocabulary_path("word_bpe_49k.json")
     token_files.write_tokens(docs, path, name, 2, block_ids=100)
     got = sorted(token_files.read_documents(spark, path, digest=True).collect(), key=lambda r: r["start"])
-    enc = tokenise.Encoder(name)
-    want = sorted((d[0] is not None, d[0] or 0, [*np.frombuffer(next(enc.batch([d[1]])), "<u4").tolist(), 2]) for d in DOCS)
+    library = tokenise.Encoder(name).tokenizer
+    want = sorted((d[0] is not None, d[0] or 0, [*library.encode(d[1] or "", add_special_tokens=False).ids, 2]) for d in DOCS)
     assert [r["n_tokens"] for r in got] == [len(w[2]) for w in want]
     assert [r["ids_crc32"] for r in got] == [zlib.crc32(np.array(w[2], "<u4").tobytes()) for w in want]
     flat = [i for w in want for i in w[2]]

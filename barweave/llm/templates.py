@@ -36,32 +36,42 @@ from barweave.llm.common import read_table, stage, unused
 
 FIELD = b"<*>"
 PLACES = 6
+_DIGIT = re.compile(rb"[0-9]")
 _NUMBER = re.compile(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*")
 
 
 def masked_words(line: bytes) -> list[bytes]:
     """The words of a line; those with digits are fields."""
-    return _NUMBER.sub(FIELD, line).split()
+    return (_NUMBER.sub(FIELD, line) if _DIGIT.search(line) else line).split()
 
 
-def places(words: list[bytes], depth: int) -> tuple[list[int], list[int]]:
-    """For each place of a line its hash, which depends on the leaf, and how many of its words are no fields.  The first
+def places(words: list[bytes], depth: int) -> tuple[list[bytes], list[int]]:
+    """For each place of a line its digest, which depends on the leaf, and how many of its words are no fields.  The first
     place is the leaf itself; places that a short line lacks are left out."""
     n = len(words)
-    leaf = xxhash.xxh64_intdigest(b"%d " % n + b" ".join(words[:depth]), 0)
-    hashes, counts, low = [leaf], [min(n, depth) - words[:depth].count(FIELD)], depth
+    digest, fields = xxhash.xxh64_digest, words.count(FIELD)
+    leaf = digest(b"%d " % n + b" ".join(words[:depth]))
+    digests, counts, low = [leaf], [min(n, depth)], depth
+    ends = [min(n, depth)]
     for i in range(1, PLACES):
         high = depth + (n - depth) * i // (PLACES - 1)
         if high > low:
-            hashes.append(xxhash.xxh64_intdigest(b" ".join(words[low:high]), (leaf + i) & (2**64 - 1)))
-            counts.append(high - low - words[low:high].count(FIELD))
+            digests.append(digest(b"%b%d %b" % (leaf, i, b" ".join(words[low:high]))))
+            counts.append(high - low)
+            ends.append(high)
             low = high
-    return hashes, counts
+    if fields:
+        counts = [c - words[e - c : e].count(FIELD) for c, e in zip(counts, ends)]
+    return digests, counts
 
 
-def pattern(hashes: list[int]) -> int:
-    """The name of lines that have the same in every place, as a signed long."""
-    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(np.array(hashes, "<u8").tobytes(), 1))))
+def pattern(digests: list[bytes]) -> bytes:
+    """The name of lines that have the same in every place."""
+    return xxhash.xxh64_digest(b"".join(digests))
+
+
+def _longs(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(digests), ">i8").astype("<i8")
 
 
 def line_patterns(docs: DataFrame, depth: int) -> DataFrame:
@@ -69,25 +79,32 @@ def line_patterns(docs: DataFrame, depth: int) -> DataFrame:
     (those of the text), hashes and counts (see places): a row for each pattern of each text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
         names = ["own", "pattern", "n", "words", "whole", "hashes", "counts"]
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
-                out: list[list] = [[] for _ in kinds]
+                own, keys, n, words, whole, digests, counts, ends = [], [], [], [], [], [], [], [0]
                 for text in batch.slice(low, 500).column(0).to_pylist():
                     raw = (text or "").encode("utf-8", "surrogatepass")
-                    own = np.uint64(xxhash.xxh64_intdigest(raw, 42)).astype(np.int64)
-                    made, whole, times = {}, 0, Counter()
+                    made, times, total = {}, Counter(), 0
                     for line in raw.split(b"\n"):
-                        if words := masked_words(line):
-                            hashes, counts = places(words, depth)
-                            whole += len(words)
-                            times[key := pattern(hashes)] += 1
-                            made[key] = (len(words), hashes, counts)
-                    for key, (n, hashes, counts) in made.items():
-                        for column, value in zip(out, (own, key, n, n * times[key], whole, np.array(hashes, "<u8").view("<i8"), counts)):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
+                        if found := masked_words(line):
+                            at = places(found, depth)
+                            total += len(found)
+                            times[key := pattern(at[0])] += 1
+                            made[key] = (len(found), *at)
+                    own += [xxhash.xxh64_intdigest(raw, 42)] * len(made)
+                    whole += [total] * len(made)
+                    for key, (size, d, c) in made.items():
+                        keys.append(key)
+                        n.append(size)
+                        words.append(size * times[key])
+                        digests += d
+                        counts += c
+                        ends.append(len(digests))
+                at = pa.array(ends, pa.int32())
+                lists = [pa.ListArray.from_arrays(at, pa.array(_longs(digests))), pa.ListArray.from_arrays(at, pa.array(counts, pa.int32()))]
+                plain = [pa.array(np.array(own, "<u8").view("<i8")), pa.array(_longs(keys)), *[pa.array(c, pa.int32()) for c in (n, words, whole)]]
+                yield pa.RecordBatch.from_arrays(plain + lists, names)
 
     return docs.select("text").mapInArrow(cut, "own bigint, pattern bigint, n int, words int, whole int, hashes array<bigint>, counts array<int>")
 
@@ -128,7 +145,7 @@ def drop_recurring_lines(docs: DataFrame, depth: int = 3, count: str | None = "n
             if text is None or keys is None:
                 rows.append((None, 0))
                 continue
-            gone, lines = set(keys), text.split("\n")
+            gone, lines = {int(k).to_bytes(8, "big", signed=True) for k in keys}, text.split("\n")
             kept = [x for x in lines if not (w := masked_words(x.encode("utf-8", "surrogatepass"))) or pattern(places(w, depth)[0]) not in gone]
             rows.append(("\n".join(kept), len(lines) - len(kept)))
         return pd.DataFrame(rows, columns=["text", "n"])

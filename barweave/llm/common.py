@@ -48,6 +48,22 @@ def unused(taken: list[str], name: str) -> str:
     return name
 
 
+def split_by(rows: DataFrame, key: str, keys: DataFrame, log_bits: int = 26) -> tuple[DataFrame, DataFrame]:
+    """rows whose long ``key`` is surely none of the longs in ``keys`` (one column), and all others.
+
+    keys become a bitmap of at most 2**log_bits bits (8 MB), whatever their number, which is broadcast.  The more keys, the
+    more rows may hold one; so this spares exchanges of rows and decides nothing: those that may hold a key are joined."""
+    at, part, bit, maps = (unused([*rows.columns, *keys.columns], n) for n in ("at", "part", "bit", "map"))
+    place = lambda name: F.pmod(F.xxhash64(F.col(f"`{name}`")), F.lit(1 << log_bits))
+    parts = keys.select(place(keys.columns[0]).alias(at)).select(F.shiftright(at, 15).alias(part), F.col(at).bitwiseAND(32767).alias(bit))
+    # at most 2**(log_bits - 15) rows of 4 KB each
+    table = stage(parts.groupBy(part).agg(F.bitmap_construct_agg(bit).alias(maps)), "bitmap")
+    joined = rows.withColumn(at, place(key)).join(F.broadcast(table), F.shiftright(at, 15) == F.col(part), "left")
+    byte = f"cast(conv(hex(substring({maps}, cast(shiftright({at} & 32767, 3) + 1 as int), 1)), 16, 10) as int)"
+    held = F.expr(f"coalesce(bit_get({byte}, cast({at} & 7 as int)) = 1, false)")
+    return joined.where(~held).drop(at, part, maps), joined.where(held).drop(at, part, maps)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,42 +1,59 @@
-"""All links at a Jaccard similarity between sets of shingle hashes that share a key.
+"""All links at a Jaccard similarity between sets of shingle hashes that share a MinHash band.
 
-Keys may come from prefixes, which are complete: put all shingles in one order, the same for every set, and two sets of
-that similarity share one of the first n - ceil(similarity * n) + 1 shingles of each.  Any order does; with the common
-ones last, texts that have only a template in common share no key.
+Bands are tuned for recall: ``tune`` takes the most rows, so the fewest collisions by chance, at which sets at the
+similarity asked for still share a band with the probability ``recall``.
 
-A bucket is the sets of one key.  Small ones are paired in full.  In a crowded one a few leads in turn meet all others
-and are done with; as only components are asked for, pairs that are in one component by then need no look, and what is
-left after ``rounds`` rounds is paired in full across components.  Nothing is skipped: a crowded bucket whose members
-are neither linked nor told apart by size and bits costs the square of its size.
+A bucket is the sets of one band.  Small ones are paired in full.  In a crowded one a lead meets all others, the same for
+all buckets that it is in; a bucket whose sets are all linked to it is done with, as only components are asked for.  In
+the others a second lead is taken, pairs that are in one component by then need no look, and what is left after
+``rounds`` rounds is paired in full across components.  Nothing is skipped: a crowded bucket whose members are neither
+linked nor told apart by size and bits costs the square of its size.
 
 Size and bits tell pairs apart without the sets: in 512 parities no more differ than the sets have elements that are in
-one alone, at the similarity asked for at most (1 - similarity) / (1 + similarity) of both sizes together.
+one alone, at the similarity asked for at most (1 - similarity) / (1 + similarity) of both sizes together.  The sets
+themselves are asked for by node, for the pairs that are left.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barweave.llm.common import stage
+from barweave.llm.common import split_by, stage
 from barweave.llm.components import components
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The keys of a set: its first shingles, those in ``common`` (the most common first) last; of no shingles, 0."""
-    if not len(hashes):
-        return np.zeros(1, hashes.dtype)
-    n = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
-    hashes = np.sort(hashes)
-    if len(common):
-        order = np.argsort(common)
-        at = np.minimum(np.searchsorted(common, hashes, sorter=order), len(common) - 1)
-        known = common[order[at]] == hashes
-        hashes = hashes[np.argsort(np.where(known, len(common) - order[at], 0), kind="stable")]
-    return hashes[:n]
+def tune(similarity: float, signature: int, recall: float) -> tuple[int, int]:
+    """bands, rows."""
+    rows = 1
+    while 1 - (1 - similarity ** (rows + 1)) ** (signature // (rows + 1)) >= recall:
+        rows += 1
+    return signature // rows, rows
+
+
+class MinHash:
+    """Keys of bands: of each band the hash of its rows' least hashes."""
+
+    def __init__(self, bands: int, rows: int) -> None:
+        rng = np.random.Generator(np.random.PCG64(7))
+        self.bands, self.rows = bands, rows
+        self.odd = (rng.integers(0, 1 << 63, (bands * rows, 1), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+        self.mix = rng.integers(0, 1 << 63, (bands * rows, 1), dtype=np.uint64)
+
+    def keys(self, hashes: np.ndarray) -> list[int]:
+        """Signed longs; sets without elements share all of theirs."""
+        least = np.full(len(self.odd), np.iinfo(np.uint64).max, np.uint64)
+        for i in range(0, len(hashes), 4096):
+            part = hashes[None, i : i + 4096].astype(np.uint64)
+            for low in range(0, len(least), 16):
+                block = slice(low, low + 16)
+                turned = (part ^ self.mix[block]) * self.odd[block]
+                least[block] = np.minimum(least[block], (turned >> np.uint64(16)).min(1))
+        return [xxhash.xxh64_intdigest(least[b * self.rows : (b + 1) * self.rows].tobytes(), b) >> 1 for b in range(self.bands)]
 
 
 def parities(hashes: np.ndarray) -> np.ndarray:
@@ -51,45 +68,53 @@ def _possible(similarity: float, a: str, b: str) -> Column:
     return (low >= similarity * high - 1e-6) & (apart <= (1 - similarity) / (1 + similarity) * (low + high) + 1e-6)
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of the pairs u, v those whose sets are similar."""
-    pairs = stage(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "meet")
+def alike(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """Of the pairs u, v (leads before others, if some node is in very many) those whose sets are similar."""
+    pairs = stage(pairs.select("u", "v").distinct(), "meet")
+    nodes = stage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "asked")
+    sets = stage(sets_of(nodes), "sets")
     both = pairs.join(sets.select(F.col("node").alias("u"), "s"), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("t")), "v")
     common = F.size(F.array_intersect("s", "t"))
     return stage(both.where(common >= similarity * (F.size("s") + F.size("t") - common)).select("u", "v"), "alike")
 
 
-def shared_keys(keys: DataFrame) -> DataFrame:
-    """key and n of the keys (node, key, each once) that more than one node has."""
-    return stage(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+def buckets(nodes: DataFrame) -> DataFrame:
+    """key, n (nodes that have it) and m (node, k, bits) for each key that more than one node has; nodes: node, k, bits
+    and keys, an array."""
+    keys = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), F.struct("node", "k", "bits").alias("m"))
+    shared = stage(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    likely = split_by(keys, "key", shared.select("key"))[1]
+    return stage(likely.join(shared, "key").select("key", "n", "m"), "members")
 
 
-def similar_links(keys: DataFrame, shared: DataFrame, sets: DataFrame, similarity: float, full: int = 32, rounds: int = 2) -> DataFrame:
-    """u, v: links whose components are those of all pairs that share a key and have the similarity.
+def similar_links(member: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, more: DataFrame | None = None, full: int = 32, rounds: int = 2) -> DataFrame:
+    """u, v: links whose components are those of all pairs that share a bucket and have the similarity.
 
-    keys: node, key; shared: of shared_keys; sets: node, s and bits of every node with a shared key."""
-    side = sets.select("node", F.size("s").alias("k"), "bits")
-    member = stage(keys.join(shared, "key").join(side, "node").select("key", "n", F.struct("node", "k", "bits").alias("m")), "members")
+    member: of ``buckets``; sets_of: node and s, the set, for a table of nodes; more: further pairs u, v to look at."""
     small = member.where(F.col("n") <= full)
-    pairs = small.select("key", F.col("m").alias("a")).join(small.select("key", F.col("m").alias("b")), "key")
-    links = _alike(pairs.where("a.node < b.node").where(_possible(similarity, "a", "b")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), sets, similarity)
-    crowd = member.where(F.col("n") > full).select("key", "m", F.col("m.node").alias("root"))
+    pairs = small.select("key", F.col("m").alias("a")).join(small.select("key", F.col("m").alias("b")), "key").where("a.node < b.node")
+    meet = pairs.where(_possible(similarity, "a", "b")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    if more is not None:
+        meet = meet.unionByName(more.select("u", "v"))
+    crowd, links = stage(member.where(F.col("n") > full).select("key", "m", F.col("m.node").alias("root")), "crowd"), None
     for turn in range(rounds):
-        if crowd.isEmpty():
+        leads = stage(crowd.groupBy("key").agg(F.min_by(F.struct("m", "root"), F.xxhash64("m.node", F.lit(turn))).alias("l")), "leads")
+        led = crowd.join(leads, "key").select("key", "m", "root", F.col("l.m").alias("a"), F.col("l.root").alias("lead"))
+        pairs = led.where("m.node != a.node and root != lead").where(_possible(similarity, "a", "m")).select(F.col("a.node").alias("u"), F.col("m.node").alias("v"))
+        found = alike(pairs if turn else meet.unionByName(pairs), sets_of, similarity)
+        links = found if links is None else links.unionByName(found)
+        # members that are not linked to the lead of a bucket leave it open
+        rest = led.where("m.node != a.node and root != lead").join(found.select(F.col("u").alias("_u"), F.col("v").alias("_v")), (F.col("a.node") == F.col("_u")) & (F.col("m.node") == F.col("_v")), "left_anti")
+        open_ = stage(rest.select("key").distinct(), "open")
+        if open_.isEmpty():
             return links
-        by = F.xxhash64("m.node", "key", F.lit(turn))
-        one = F.struct("m", "root")
-        leads = stage(crowd.groupBy("key").agg(F.min_by(one, by).alias("x"), F.max_by(one, by).alias("y")), "leads")
-        lead = leads.select("key", F.explode(F.array("x", "y")).alias("l")).select("key", F.col("l.m").alias("a"), F.col("l.root").alias("aroot"))
-        pairs = crowd.select("key", F.col("m").alias("b"), "root").join(lead, "key").where("a.node != b.node and root != aroot").where(_possible(similarity, "a", "b"))
-        links = links.unionByName(_alike(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), sets, similarity))
         roots = components(links).withColumnRenamed("root", "now")
-        rest = crowd.join(leads.select("key", F.col("x.m.node").alias("x"), F.col("y.m.node").alias("y")), "key").where("m.node != x and m.node != y")
+        rest = led.join(open_, "key", "left_semi").where("m.node != a.node").select("key", "m")
         rest = stage(rest.join(roots, F.col("m.node") == F.col("node"), "left").select("key", "m", F.coalesce("now", "m.node").alias("root")), "crowd")
         split = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
         crowd = stage(rest.join(split, "key", "left_semi"), "crowd")
-    if crowd.isEmpty():
-        return links
+        if crowd.isEmpty():
+            return links
     pairs = crowd.select("key", F.col("m").alias("a"), F.col("root").alias("aroot")).join(crowd.select("key", F.col("m").alias("b"), "root"), "key")
     pairs = pairs.where("a.node < b.node and root != aroot").where(_possible(similarity, "a", "b"))
-    return links.unionByName(_alike(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), sets, similarity))
+    return links.unionByName(alike(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), sets_of, similarity))

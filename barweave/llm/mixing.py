@@ -2,28 +2,33 @@
 
 Documents with the same set of sources form a pattern.  Words flow from patterns to the sources' quotas; the first copy
 of a pattern's words costs nothing and each further copy more than the last, so the cheapest flow repeats as little and
-as evenly as the quotas allow.  The network has a node for each pattern and source, never for a document.
+as evenly as the quotas allow.  The network has a node for each pattern and source, never for a document, and is solved
+on the driver.
 
 A pattern's flow is full copies of all its documents and a rest, which a seeded order fills: documents by hash, up to
-the hash where the rest is reached, found with two histograms of the hash (their size does not grow with the table), and
-then the largest untaken document that still fits.  Which documents are taken depends on seed, id and size alone.
-
-Null text has no words and is never taken; a null source is a source of its own, last in order; repeated rows are taken
-each; an empty table gives an empty result.  Other columns pass through ``mix_documents``.
+the hash at which the rest is reached, and then, up to ``FILLS`` times, the largest untaken document that still fits.
+That hash is found digit by digit, from sums by pattern and digit of the documents at the digits so far, of which each
+round leaves one in 256.  Which documents are taken depends on seed, id and size alone, so the plan is a row for each
+pattern, every document decides by itself, and no text or document is exchanged.
+
+Null text has no words and is never taken; a null source is a source of its own, last in order; rows alike in id, text
+and source share their fate, repeated ids otherwise do not; an empty table gives an empty result.  Other columns pass
+through ``mix_documents``, whatever their names.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barweave.llm.common import WORD, read_table, stage
+from barweave.llm.common import WORD, read_table, stage, unused
 
-#: Patterns that may come to the driver: sets of sources, not documents.
-MAX_PATTERNS = 100_000
-CELLS = 4096
+#: The plan is broadcast up to so many patterns, and joined beyond.
+BROADCAST_PATTERNS = 100_000
+FILLS = 3
+DIGITS = 8  # of 8 bits each
 
 
 def quotas(sizes: dict[str | None, int], weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> dict[str | None, float]:
@@ -44,143 +49,174 @@ def quotas(sizes: dict[str | None, int], weights: tuple[float, ...] = (3, 1, 2),
     return out
 
 
-def min_cost_flow(supply: dict[tuple, int], demand: dict, copies: int = 2) -> dict[tuple[tuple, object], float]:
+def min_cost_flow(supply: dict[tuple, int], demand: dict, copies: int = 2) -> dict[tuple[tuple, object], int]:
     """Words from each pattern to each of its sources.  supply: size of each pattern (a tuple of sources); demand: words
-    each source asks for.  The k-th copy of a pattern costs k - 1 a word.  Successive shortest paths with potentials."""
-    nodes = {("start",): 0, ("end",): 1}
-    for p in supply:
-        nodes[("p", p)] = len(nodes)
-    for s in demand:
-        nodes[("s", s)] = len(nodes)
-    edges: list[list] = []  # to, room, cost
-    at: list[list[int]] = [[] for _ in nodes]
-
-    def add(u: int, v: int, room: float, cost: float) -> int:
-        at[u].append(len(edges))
-        at[v].append(len(edges) + 1)
-        edges.extend(([v, room, cost], [u, 0.0, -cost]))
-        return len(edges) - 2
-
-    own = {}
-    for p, size in supply.items():
-        for k in range(copies):
-            add(0, nodes["p", p], float(size), float(k))
-        for s in set(p) & set(demand):
-            own[p, s] = add(nodes["p", p], nodes["s", s], float("inf"), 0.0)
-    for s, words in demand.items():
-        add(nodes["s", s], 1, float(words), 0.0)
-    potential = [0.0] * len(nodes)
-    while True:
-        far, via, heap = [float("inf")] * len(nodes), [-1] * len(nodes), [(0.0, 0)]
-        far[0] = 0.0
-        while heap:
-            d, u = heapq.heappop(heap)
-            if d > far[u]:
-                continue
-            for e in at[u]:
-                v, room, cost = edges[e]
-                if room > 1e-6 and (new := d + cost + potential[u] - potential[v]) < far[v] - 1e-9:
-                    far[v], via[v] = new, e
-                    heapq.heappush(heap, (new, v))
-        if far[1] == float("inf"):
-            break
-        potential = [p + (f if f < float("inf") else far[1]) for p, f in zip(potential, far)]
-        path, v = [], 1
-        while v != 0:
-            path.append(via[v])
-            v = edges[via[v] ^ 1][0]
-        push = min(edges[e][1] for e in path)
-        for e in path:
-            edges[e][1] -= push
-            edges[e ^ 1][1] += push
-    return {k: edges[e ^ 1][1] for k, e in own.items()}
-
-
-def _fill(rest: DataFrame) -> DataFrame:
-    """Of rows (row columns, pattern, size, h, rest) those that fill each pattern's rest; h spreads evenly over longs."""
-    cells = rest.withColumn("c1", F.pmod(F.shiftright("h", 40), F.lit(CELLS))).withColumn("c2", F.pmod(F.shiftright("h", 20), F.lit(CELLS)))
-    upto = Window.partitionBy("pattern").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
-
-    def border(rows: DataFrame, cell: str, need: str) -> DataFrame:
-        """pattern, the cell in which need is reached and what is still needed there: one row a pattern."""
-        sums = rows.groupBy("pattern", F.col(cell).alias("c")).agg(F.sum("size").alias("words"), F.first(need).alias("need"))
-        runs = sums.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))  # at most CELLS rows a pattern
-        hit = runs.where((F.col("before") <= F.col("need")) & (F.col("before") + F.col("words") > F.col("need")))
-        return hit.groupBy("pattern").agg(F.min("c").alias(f"b{cell}"), F.min(F.col("need") - F.col("before")).alias(f"n{cell}"))
-
-    first = stage(border(cells, "c1", "rest"), "border")
-    one = cells.join(first, "pattern", "left")
-    at_border = one.where(F.col("c1") == F.col("bc1"))
-    second = stage(border(at_border, "c2", "nc1"), "border")
-    two = one.join(second, "pattern", "left")
-    inside = (F.col("c1") < F.col("bc1")) | F.col("bc1").isNull() | ((F.col("c1") == F.col("bc1")) & (F.col("c2") < F.col("bc2")))
-    last = two.where((F.col("c1") == F.col("bc1")) & (F.col("c2") == F.col("bc2")))
-    run = Window.partitionBy("pattern").orderBy("h", "row").rowsBetween(Window.unboundedPreceding, 0)  # 1 in 16 million
-    tail = last.withColumn("sum", F.sum("size").over(run)).where(F.col("sum") <= F.col("nc2")).select("pattern", "row", "size")
-    taken = two.where(inside).select("pattern", "row", "size").unionByName(tail)
-    return taken
-
-
-def mix(sized: DataFrame, demand: dict, copies: int = 2, seed: int = 42, fills: int = 3) -> DataFrame:
-    """sized (row: a long that names the row, sources: array<string>, size: long) with taken, the words of each row's
-    copies.  demand: words each source asks for; null is a source."""
+    each source asks for.  The k-th copy of a pattern costs k - 1 a word.
+
+    Cheapest paths come in the order of their copies, so each further copy is opened in turn and the flow raised as far
+    as it goes, by blocking flows over shortest paths."""
+    patterns, sources = list(supply), list(demand)
+    start, end = len(patterns) + len(sources), len(patterns) + len(sources) + 1
+    place = {s: len(patterns) + i for i, s in enumerate(sources)}
+    to: list[int] = []
+    room: list[float] = []
+    at: list[list[int]] = [[] for _ in range(end + 1)]
+
+    def add(u: int, v: int, most: float) -> int:
+        at[u].append(len(to))
+        at[v].append(len(to) + 1)
+        to.extend((v, u))
+        room.extend((most, 0))
+        return len(to) - 2
+
+    opened = [add(start, i, 0) for i in range(len(patterns))]
+    own = {(p, s): add(i, place[s], float("inf")) for i, p in enumerate(patterns) for s in dict.fromkeys(p) if s in place}
+    for s in sources:
+        add(place[s], end, int(demand[s]))
+    for _ in range(copies):
+        for e, p in zip(opened, patterns):
+            room[e] += supply[p]
+        while True:
+            level, queue = [-1] * (end + 1), deque([start])
+            level[start] = 0
+            while queue:
+                u = queue.popleft()
+                for e in at[u]:
+                    if room[e] > 0 and level[to[e]] < 0:
+                        level[to[e]] = level[u] + 1
+                        queue.append(to[e])
+            if level[end] < 0:
+                break
+            tried, path = [0] * (end + 1), []
+            while True:
+                u = to[path[-1]] if path else start
+                if u == end:
+                    push = min(room[e] for e in path)
+                    for e in path:
+                        room[e] -= push
+                        room[e ^ 1] += push
+                    path = path[: next(i for i, e in enumerate(path) if room[e] == 0)]
+                    continue
+                step = next((k for k in range(tried[u], len(at[u])) if room[at[u][k]] > 0 and level[to[at[u][k]]] == level[u] + 1), None)
+                if step is not None:
+                    tried[u] = step
+                    path.append(at[u][step])
+                elif path:
+                    tried[to[path.pop() ^ 1]] += 1
+                else:
+                    break
+    return {k: room[e ^ 1] for k, e in own.items()}
+
+
+def _fill(rows: DataFrame) -> DataFrame:
+    """pattern, upto (a hash, null for none) and extra (hashes): of rows (pattern, size, h, rest) those below upto and
+    those with an extra hash fill each pattern's rest.  Rows with equal hashes are taken together."""
+    digit = lambda k: F.pmod(F.shiftright("h", 8 * (DIGITS - 1 - k)), F.lit(256))
+    before = Window.partitionBy("pattern").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows a pattern at most
+    left, known = rows.withColumn("need", F.col("rest")), None
+    for k in range(DIGITS):
+        # the digit at which need is passed, and what is left of need there
+        sums = left.groupBy("pattern", digit(k).alias("c")).agg(F.sum("size").alias("words"), F.first("need").alias("need"))
+        runs = sums.withColumn("sum", F.coalesce(F.sum("words").over(before), F.lit(0)))
+        hit = runs.where((F.col("sum") <= F.col("need")) & (F.col("sum") + F.col("words") > F.col("need"))).select("pattern", F.col("c").alias("digit"), (F.col("need") - F.col("sum")).alias("now"))
+        hit = stage(hit if known is None else known.join(hit, "pattern").select("pattern", "digit", "now", "before"), "border")
+        found = F.shiftleft("digit", 8 * (DIGITS - 1 - k)) if known is None else F.col("before").bitwiseOR(F.shiftleft("digit", 8 * (DIGITS - 1 - k)))
+        known = hit.select("pattern", found.alias("before"))
+        if k == DIGITS - 1:
+            return hit.select("pattern", found.alias("upto"), F.col("now").alias("open"))
+        inside = left.drop("need").join(hit.select("pattern", "digit", F.col("now").alias("need")), "pattern").where(digit(k) == F.col("digit")).drop("digit")
+        left = stage(inside, "inside") if k else inside
+    raise AssertionError
+
+
+def mix(sized: DataFrame, demand: dict, copies: int = 2, seed: int = 42) -> DataFrame:
+    """pattern, full, upto and extra: how often the mix takes the documents of sized (h: what names a row, sources:
+    array<string>, size), for ``copies_of``.  demand: words each source asks for; null is a source."""
     spark = sized.sparkSession
-    tagged = sized.withColumn("pattern", F.array_sort(F.array_distinct(F.transform("sources", lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("-"))))))
-    tagged = stage(tagged.withColumn("h", F.xxhash64("row", "size", F.lit(seed))), "tagged")
-    totals = tagged.groupBy("pattern").agg(F.sum("size").alias("words")).where("words > 0").limit(MAX_PATTERNS + 1).collect()
-    if len(totals) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} sets of sources")
+    tagged = sized.where("size > 0").select(_pattern().alias("pattern"), _hash(seed).alias("h"), "size")
+    totals = tagged.groupBy("pattern").agg(F.sum("size").alias("words")).collect()  # one row a pattern, as the flow needs
     tag = {s: "-" if s is None else "s" + s for s in demand}
     flow = min_cost_flow({tuple(r["pattern"]): r["words"] for r in totals}, {tag[s]: w for s, w in demand.items()}, copies)
-    sums: dict[tuple, float] = {}
+    sums: dict[tuple, int] = {}
     for (p, _), words in flow.items():
-        sums[p] = sums.get(p, 0) + words
-    plan = [(list(r["pattern"]), int(sums.get(tuple(r["pattern"]), 0) // r["words"]), int(sums.get(tuple(r["pattern"]), 0) % r["words"])) for r in totals]
-    # one row a pattern, at most MAX_PATTERNS
-    planned = tagged.join(F.broadcast(spark.createDataFrame(plan, "pattern array<string>, full int, rest long")), "pattern", "left")
-    open_rows = planned.where((F.col("rest") > 0) & (F.col("size") > 0)).select("pattern", "row", "size", "h", "rest")
-    taken = stage(_fill(open_rows), "filled")
-    for _ in range(fills):  # the largest untaken document of each pattern that still fits
-        have = taken.groupBy("pattern").agg(F.sum("size").alias("have"))
-        left = open_rows.join(taken.select("pattern", "row"), ["pattern", "row"], "left_anti").join(have, "pattern", "left")
-        fits = left.where(F.col("size") <= F.col("rest") - F.coalesce("have", F.lit(0)))
-        best = fits.groupBy("pattern").agg(F.max(F.struct("size", "h", "row")).alias("b")).select("pattern", "b.row", "b.size")
-        taken = stage(taken.unionByName(best), "filled")
-    extra = taken.select("row", F.lit(1).alias("extra")).distinct()
-    done = planned.join(extra, "row", "left")
-    return done.select(*sized.columns, (F.col("size") * (F.coalesce("full", F.lit(0)) + F.coalesce("extra", F.lit(0)))).cast("bigint").alias("taken"))
-
-
-def _row_number() -> F.Column:
+        sums[p] = sums.get(p, 0) + int(words)
+    plan = [(list(r["pattern"]), *map(int, divmod(sums.get(tuple(r["pattern"]), 0), r["words"]))) for r in totals]
+    few = len(plan) <= BROADCAST_PATTERNS
+    planned = stage(spark.createDataFrame(plan, "pattern array<string>, full long, rest long"), "plan")
+    known = lambda table: F.broadcast(table) if few else table  # noqa: E731  one row a pattern
+    rest = tagged.join(known(planned.where("rest > 0").select("pattern", "rest")), "pattern")
+    border = stage(_fill(rest), "upto")
+    full = planned.join(border, "pattern", "left").select("pattern", "full", "rest", "upto", F.coalesce("open", F.lit(0)).alias("open"), F.array().cast("array<bigint>").alias("extra"))
+    for _ in range(FILLS):  # the largest untaken document of each pattern that still fits
+        full = stage(full, "fill")
+        behind = rest.select("pattern", "h", "size").join(known(full.select("pattern", "upto", "open", "extra").where("open > 0")), "pattern")
+        behind = behind.where((F.col("h") >= F.col("upto")) & ~F.array_contains("extra", F.col("h")) & (F.col("size") <= F.col("open")))
+        alone = behind.groupBy("pattern", "h").agg(F.sum("size").alias("words"), F.first("open").alias("most")).where("words <= most")
+        best = alone.groupBy("pattern").agg(F.max(F.struct("words", "h")).alias("b"))
+        full = full.join(best, "pattern", "left").select(
+            "pattern", "full", "rest", "upto", (F.col("open") - F.coalesce("b.words", F.lit(0))).alias("open"), F.when(F.col("b").isNotNull(), F.concat("extra", F.array("b.h"))).otherwise(F.col("extra")).alias("extra")
+        )
+    full = stage(full, "fill").select("pattern", "full", "upto", "extra")
+    return F.broadcast(full) if few else full
+
+
+def _pattern() -> Column:
+    return F.array_sort(F.array_distinct(F.transform("sources", lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("-")))))
+
+
+def _hash(seed: int) -> Column:
+    """Spreads evenly over the longs from 0."""
+    return F.shiftrightunsigned(F.xxhash64("row", "size", F.lit(seed)), 1)
+
+
+def copies_of(rows: DataFrame, plan: DataFrame, seed: int = 42, name: str = "copies") -> DataFrame:
+    """rows (row, sources, size and others) with the number of copies that the plan takes, by each row alone."""
+    pattern, full, upto, extra = (unused(rows.columns, c) for c in ("pattern", "full", "upto", "extra"))
+    told = rows.withColumn(pattern, _pattern()).join(plan.toDF(pattern, full, upto, extra), pattern, "left")
+    more = (_hash(seed) < F.col(upto)) | F.array_contains(extra, _hash(seed))
+    number = F.when(F.col("size") > 0, F.coalesce(full, F.lit(0)) + F.coalesce(more, F.lit(False)).cast("long")).otherwise(F.lit(0))
+    return told.withColumn(name, number.cast("long")).drop(pattern, full, upto, extra)
+
+
+def _row_number() -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1).cast("bigint")), F.coalesce("source", F.lit("\0")), F.xxhash64("text"))
 
 
+def _size() -> Column:
+    return F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).cast("bigint")
+
+
 def sized_documents(docs: DataFrame) -> DataFrame:
     """row, sources and size of every row; rows alike in id, text and source share a row number, and so their fate."""
-    size = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).cast("bigint")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _row_number().alias("row"), F.array("source").alias("sources"), "source", size.alias("size"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _row_number().alias("row"), F.array("source").alias("sources"), "source", _size().alias("size"))
+
+
+def _source_plan(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The plan, and source, source_size and target of each source."""
+    sizes = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}  # one row a source
+    targets = quotas(sizes)
+    told = sized.sparkSession.createDataFrame([(s, sizes[s], float(t)) for s, t in targets.items()], "src string, source_size long, target double")
+    return mix(sized, targets), F.broadcast(told) if len(sizes) <= BROADCAST_PATTERNS else told
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """row, doc_id, size, source_size, target and taken of every row of docs."""
     sized = stage(sized_documents(docs), "sized")
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_PATTERNS + 1).collect()
-    if len(by_source) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} sources")
-    sizes = {r["source"]: r["n"] for r in by_source}
-    targets = quotas(sizes)
-    told = docs.sparkSession.createDataFrame([(s, sizes[s], float(t)) for s, t in targets.items()], "src string, source_size long, target double")
-    out = mix(sized, targets)
-    # one row a source, at most MAX_PATTERNS
-    return out.join(F.broadcast(told), out["source"].eqNullSafe(told["src"]), "left").select("row", "doc_id", "size", "source_size", "target", "taken")
+    plan, told = _source_plan(sized)
+    out = copies_of(sized, plan)
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return out.join(told, out["source"].eqNullSafe(told["src"]), "left").select("row", "doc_id", "size", "source_size", "target", taken)
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs as often as the mix takes them."""
-    plan = mixed(docs).where("taken > 0").select("row", (F.col("taken") / F.col("size")).cast("int").alias("_copies")).distinct()
-    names = docs.columns
-    joined = docs.withColumn("_row", _row_number()).join(plan.withColumnRenamed("row", "_row"), "_row")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    """The rows of docs as often as the mix takes them; each row decides by itself, so no text is exchanged."""
+    sized = stage(sized_documents(docs), "sized")
+    plan = _source_plan(sized)[0]
+    own = unused(docs.columns, "own")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(own), _row_number().alias("row"), F.array("source").alias("sources"), _size().alias("size"))
+    often = copies_of(held, plan).where("copies > 0")
+    repeated = often.select(own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("turn"))
+    return repeated.select(*[F.col(f"{own}.`{c}`").alias(c) for c in docs.columns])
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

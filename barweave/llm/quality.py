@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.llm.common import read_table, stage, words_of
+from barweave.llm.common import read_table, split_by, stage, unused, words_of
 
 #: Frequent function words of four languages.
 COMMON = {
@@ -48,15 +48,21 @@ def _repeated(grams: Column) -> Column:
     return F.aggregate(gaps, F.lit(0).cast("bigint"), lambda s, g: s + g)
 
 
+def _own() -> Column:
+    """What a verdict depends on."""
+    return F.xxhash64(F.coalesce("text", F.lit("")), "lang")
+
+
 def quality_signals(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base counts, base_failed, n_chars, the class counts and the counts of common words, with all
+    """doc_id, own (a hash of text and language), lang, the base counts, base_failed, n_chars, the class counts and the counts of common words, with all
     other words last."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lists = F.create_map(*[x for k, v in COMMON.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     union = sorted({x for v in COMMON.values() for w in v for x in (w, w.capitalize(), w.upper())})
-    split = docs.select("doc_id", "lang", text.alias("text"), words_of(text).alias("w"))
+    split = docs.select("doc_id", _own().alias("own"), "lang", text.alias("text"), words_of(text).alias("w"))
     hashed = split.select(
         "doc_id",
+        "own",
         "lang",
         F.size("w").cast("bigint").alias("n_words"),
         F.length("text").cast("bigint").alias("n_chars"),
@@ -75,6 +81,7 @@ def quality_signals(docs: DataFrame) -> DataFrame:
     classes = F.concat(F.array(letters), F.slice("six", 1, 5), F.array(space), F.slice("six", 6, 1))
     measured = hashed.withColumns({"grams": grams, "classes": classes}).select(
         "doc_id",
+        "own",
         "lang",
         "n_words",
         F.col("word_chars").cast("bigint").alias("word_chars"),
@@ -124,14 +131,16 @@ def quality_verdicts(docs: DataFrame, min_chars: int = 200, min_words: int = 100
         }
     )
     far = (F.coalesce("class_distance", F.lit(0.0)) > max_class) | (F.coalesce("word_distance", F.lit(0.0)) > max_words)
-    return distances.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "class_distance", "word_distance")
+    return distances.select("doc_id", "own", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "class_distance", "word_distance")
 
 
 def quality_filter(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of docs that stay.  Rows that repeat an id are judged together: they stay if any of them does."""
-    stay = quality_verdicts(docs, **limits).where("kept").select("doc_id").distinct()
-    kept = stay.withColumnRenamed("doc_id", "kept_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """The rows of docs that stay.  Rows that surely do are not exchanged; the others meet the list of rejected texts."""
+    own, bad = unused(docs.columns, "own"), unused(docs.columns, "bad")
+    rejected = stage(quality_verdicts(docs, **limits).where("NOT kept").select(F.col("own").alias(bad)).distinct(), "rejected")
+    sure, rest = split_by(docs.withColumn(own, _own()), own, rejected)
+    kept = rest.join(rejected, F.col(own) == F.col(bad), "left_anti")
+    return sure.unionByName(kept).drop(own)
 
 
 def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

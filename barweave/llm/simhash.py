@@ -11,6 +11,9 @@ Distinct fingerprints are joined, never documents.  A key that more than ``bucke
 its fingerprints take another exact way, on which each lists the 65 words at most one bit from it.  Two words differ in
 at most two bits if and only if these lists meet, and a listed word belongs to 65 lists at most.
 
+``drop_near_duplicates`` looks for texts at a Jaccard similarity.  Two bits lose many of those pairs, so MinHash bands
+bring the others, and exact sets of shingles decide.
+
 Null text and text without words have the fingerprint zero and link like any other; null ids never are the smallest;
 rows that repeat an id or text are rows of one component; an empty table gives an empty result.  Other columns are not
 read, but pass through ``drop_near_duplicates``.
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barweave.llm import jaccard
-from barweave.llm.common import lower_ascii, read_table, stage
+from barweave.llm.common import lower_ascii, read_table, split_by, stage, unused
 from barweave.llm.components import components
 
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # lowest bit, bits
@@ -41,23 +44,21 @@ def shingles(words: list[bytes], n: int) -> list[bytes]:
     return [b" ".join(x) for x in zip(*(words[i:] for i in range(n)))]
 
 
-def fingerprint(text: str | None, n: int = 3, seed: int = 42) -> int:
-    """A bit is set if it is in over half of the shingles' hashes."""
-    parts = shingles((text or "").encode("utf-8", "surrogatepass").lower().split(), n)
+def simhash(hashes: np.ndarray) -> int:
+    """A bit is set if it is in over half of the hashes; a signed long."""
     counts = np.zeros(64, np.int64)
-    for i in range(0, len(parts), 1 << 16):
-        hashes = np.array([xxhash.xxh64_intdigest(x, seed) for x in parts[i : i + (1 << 16)]], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(parts), bitorder="little").view("<u8")[0]) if parts else 0
+    for i in range(0, len(hashes), 1 << 16):
+        counts += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, name: str = "fp") -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 3, name: str = "fp") -> DataFrame:
     """docs with the fingerprint as a signed long."""
 
     @F.pandas_udf("long")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
-            yield pd.Series([fingerprint(t, words, seed) for t in part], dtype="uint64").astype("int64")
+            yield pd.Series([simhash(shingle_hashes(t, words)) for t in part], dtype="int64")
 
     return docs.withColumn(name, of(F.col("text")))
 
@@ -142,74 +143,84 @@ def near_components(docs: DataFrame, words: int = 3) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _common_shingles(docs: DataFrame, words: int, sample: int = 16, most: int = 1 << 16) -> np.ndarray:
-    """The shingles most texts of a sample have, at most ``most``, the most common first; only an order, see jaccard."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The hashes of a text's shingles in sequence, repeats included."""
+    parts = shingles((text or "").encode("utf-8", "surrogatepass").lower().split(), words)
+    return np.array([xxhash.xxh64_intdigest(x, 42) for x in parts], "<u8").view("<i8")
 
-    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for text in batch["text"]:
-                yield pd.DataFrame({"h": shingle_set(text, words)})
 
-    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0).where("text is not null")
-    some = some.dropDuplicates(["text"]).mapInPandas(take, "h long")
-    top = some.groupBy("h").agg(F.count("*").alias("n")).where("n >= 4").orderBy(F.desc("n"), "h").limit(most)
-    return np.array([r["h"] for r in top.collect()], np.int64)
+def _digest() -> Column:
+    return F.xxhash64(F.md5(lower_ascii(F.coalesce("text", F.lit(""))).cast("binary")))
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    parts = shingles((text or "").encode("utf-8", "surrogatepass").lower().split(), words)
-    return np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in parts], "<u8").view("<i8"))
+def _row_key(node: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1).cast("bigint")), F.col("doc_id").isNull(), F.col(f"`{node}`"))
 
 
-def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, digest and component (long) of every distinct row (doc_id, digest of the lower-cased text) of docs.
+def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, signature: int = 80, recall: float = 0.9999) -> DataFrame:
+    """doc_id, node (a hash of the lower-cased text) and component (of nodes) of every row of docs.
 
-    The components are those of all pairs of texts whose sets of five-word shingles have a Jaccard similarity of at least
-    ``similarity``.  Fingerprints at two bits lose many such pairs, so candidates are the texts that share a shingle of
-    their prefixes, which is complete (see jaccard).
+    The components are those of pairs of texts whose sets of five-word shingles have a Jaccard similarity of at least
+    ``similarity``.  Pairs to verify come from two sides: fingerprints of the shingles at two differing bits or fewer, by
+    their Golay keys, and, as many similar pairs lie further apart than that, MinHash bands tuned to ``recall``.  Texts
+    are read again for the pairs that are left, one row of each text, and no others are exchanged.
     """
-    common = _common_shingles(docs, words)
+    bands, rows = jaccard.tune(similarity, signature, recall)
 
-    @F.pandas_udf("array<long>")
-    def keys_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<k:int,fp:long,bits:array<long>,keys:array<long>>")
+    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        banded = jaccard.MinHash(bands, rows)
         for part in batches:
-            yield pd.Series([jaccard.prefix(shingle_set(t, words), common, similarity) for t in part])
+            made = []
+            for text in part:
+                hashes = shingle_hashes(text, words)
+                once = np.unique(hashes)
+                made.append((len(once), simhash(hashes), jaccard.parities(once), banded.keys(once)))
+            yield pd.DataFrame(made, columns=["k", "fp", "bits", "keys"])
 
-    @F.pandas_udf("struct<s:array<long>,bits:array<long>>")
-    def sets_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            sets = [shingle_set(t, words) for t in part]
-            yield pd.DataFrame({"s": sets, "bits": [jaccard.parities(s) for s in sets]})
-
-    digest = F.md5(lower_ascii(F.coalesce("text", F.lit(""))).cast("binary"))
-    marked = stage(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), digest.alias("digest"), keys_of("text").alias("keys")), "marked")
-    rows = marked.select("doc_id", "digest")
-    least = F.coalesce(F.min("doc_id"), -1 - F.abs(F.xxhash64("digest") % (1 << 62)))
-    texts = stage(marked.groupBy("digest").agg(least.alias("node"), F.first("keys").alias("keys")), "texts")
-    # rows with one id and several texts: one node each
-    twice = texts.groupBy("node").agg(F.min("digest").alias("first"))
-    own_node = F.when(F.col("digest") == F.col("first"), F.col("node")).otherwise(-1 - F.abs(F.xxhash64("digest") % (1 << 62)))
-    texts = stage(texts.join(twice, "node").select("digest", own_node.alias("node"), "keys"), "nodes")
-    keys = texts.select("node", F.explode("keys").alias("key"))
-    shared = jaccard.shared_keys(keys)
-    wanted = keys.join(shared, "key", "left_semi").select("node").distinct()
-    own = texts.select("digest", "node").join(wanted, "node", "left_semi")
-    whole = docs.select(digest.alias("digest"), "text").join(own, "digest").dropDuplicates(["digest"])
-    sets = stage(whole.select("node", sets_of("text").alias("x")).select("node", "x.s", "x.bits"), "sets")
-    linked = components(jaccard.similar_links(keys, shared, sets, similarity))
-    named = stage(texts.join(linked.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("digest", F.coalesce("root", "node").alias("component")), "named")
-    return rows.join(named, "digest").select("doc_id", "digest", "component")
+    @F.pandas_udf("array<long>")
+    def set_of(part: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, words)) for t in part])
+
+    marked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _digest().alias("node"), measure("text").alias("x"))
+    marked = stage(marked.select("doc_id", "node", _row_key("node").alias("row"), "x.*"), "marked")
+    firsts = [F.first(c).alias(c) for c in ("k", "fp", "bits", "keys")]
+    texts = stage(marked.groupBy("node").agg(F.min("row").alias("row"), *firsts), "texts")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        asked = stage(texts.join(nodes, "node").select(F.col("row").alias("_row"), F.col("node").alias("_node")), "rows")
+        own = docs.select("doc_id", "text", _digest().alias("node")).select(_row_key("node").alias("row"), "node", "text")
+        likely = split_by(own, "row", asked.select("_row"))[1]
+        hit = likely.join(asked, (F.col("row") == F.col("_row")) & (F.col("node") == F.col("_node")))
+        return hit.select("node", set_of("text").alias("s")).dropDuplicates(["node"])
+
+    prints = stage(texts.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "prints")
+    side = lambda name: prints.select(F.col("fp").alias(name), F.col("least").alias(f"_{name}"))
+    near = near_links(prints.select("fp")).join(side("u"), "u").join(side("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    same = texts.select("fp", "node").join(prints.where("n > 1"), "fp").where("node != least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    links = jaccard.similar_links(jaccard.buckets(texts.select("node", "k", "bits", "keys")), sets_of, similarity, near.unionByName(same))
+    linked = components(links).select(F.col("node").alias("_n"), "root")
+    return marked.select("doc_id", "node").join(linked, F.col("node") == F.col("_n"), "left").select("doc_id", "node", F.coalesce("root", "node").alias("component"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of docs for each component: that with the smallest doc_id; of rows alike in id and text, one."""
-    found = similar_components(docs, words, similarity)
-    ordered = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "digest")
-    stay = found.groupBy("component").agg(F.min(ordered).alias("m"))
-    key = F.concat_ws("/", F.col("m.doc_id").cast("string"), "m.digest")
-    own = F.concat_ws("/", F.col("doc_id").cast("bigint").cast("string"), F.md5(lower_ascii(F.coalesce("text", F.lit(""))).cast("binary")))
-    kept = docs.withColumn("_own", own).join(stay.select(key.alias("_own")).distinct(), "_own", "left_semi")
-    return kept.dropDuplicates(["_own"]).select(*docs.columns)
+    """One row of docs for each component: that with the smallest doc_id; of rows alike in id and text, one.
+
+    Rows that surely stay are not exchanged; the others meet the list of what goes."""
+    found = stage(similar_components(docs, words, similarity).select("doc_id", "node", "component", _row_key("node").alias("row")), "found")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("m"))
+    stay = first.select(F.col("m.row").alias("stays"))
+    copies = found.groupBy("row").agg(F.count("*").alias("n")).join(stay, F.col("row") == F.col("stays"), "left")
+    node, row = (unused(docs.columns, c) for c in ("node", "row"))
+    gone, stays = (unused([*docs.columns, row], c) for c in ("gone", "stays"))
+    moot = stage(copies.where("stays is null or n > 1").select(F.col("row").alias(gone), F.col("stays").isNotNull().alias(stays)), "moot")
+    own = docs.withColumn(node, _digest()).withColumn(row, _row_key(node)).drop(node)
+    sure, rest = split_by(own, row, moot.select(gone))
+    rest = stage(rest, "rest")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    clear = rest.join(moot, F.col(row) == F.col(gone), "left_anti")
+    once = rest.join(moot.where(stays), F.col(row) == F.col(gone), "left_semi").dropDuplicates([row])
+    return sure.select(*names).unionByName(clear.select(*names)).unionByName(once.select(*names))
 
 
 def hex_digits(fp: Column) -> Column:

@@ -12,8 +12,8 @@ texts most of whose words lie in recurring templates do not count as evidence: a
 the others.  Lines of templates that pass are dropped wherever they stand.
 
 A line is a few hashes from the start: its text and words are never exchanged, every count is combined before it is,
-and all that is exchanged grows as the input does, however many leaves recur.  The texts themselves are exchanged once,
-to meet the lines that they lose.
+and all that is exchanged grows as the input does, however many leaves recur.  Of the texts those are exchanged that may
+lose a line, once, to meet the lines that they lose.
 
 Null text stays null, empty lines and lines of white space stay; ids are not read, so null and repeated ones change
 nothing; an empty table gives an empty result; other columns pass through, whatever their names.
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.llm.common import read_table, stage, unused
+from barweave.llm.common import read_table, split_by, stage, unused
 
 FIELD = b"<*>"
 PLACES = 6
@@ -136,7 +136,7 @@ def recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 10, min_con
 def drop_recurring_lines(docs: DataFrame, depth: int = 3, count: str | None = "n_dropped", **limits) -> DataFrame:
     """docs with the recurring lines taken out of text, and in the column ``count`` (which takes the place of one of that
     name; None for none) how many lines that were."""
-    own, drop, cut = (unused(docs.columns, c) for c in ("own", "drop", "cut"))
+    own, key, drop, cut = (unused(docs.columns, c) for c in ("own", "key", "drop", "cut"))
 
     @F.pandas_udf("struct<text:string,n:bigint>")
     def without(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
@@ -150,12 +150,16 @@ def drop_recurring_lines(docs: DataFrame, depth: int = 3, count: str | None = "n
             rows.append(("\n".join(kept), len(lines) - len(kept)))
         return pd.DataFrame(rows, columns=["text", "n"])
 
-    lost = recurring_lines(docs, depth, **limits).groupBy(F.col("own").alias(own)).agg(F.collect_list("pattern").alias(drop))  # lines of one text
-    joined = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit("")))).join(lost, own, "left")
+    lost = recurring_lines(docs, depth, **limits).groupBy(F.col("own").alias(key)).agg(F.collect_list("pattern").alias(drop))  # lines of one text
+    lost = stage(lost, "lost")
+    sure, rest = split_by(docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit("")))), own, lost.select(key))
+    cleaned = rest.join(lost, F.col(own) == F.col(key), "left").withColumn(cut, without("text", drop))
     hit = F.col(drop).isNotNull()
-    cleaned = joined.withColumn(cut, without(F.when(hit, F.col("text")), F.col(drop)))
-    kept = [F.when(hit, F.col(f"{cut}.text")).otherwise(F.col("text")).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != count]
-    return cleaned.select(*kept, *([F.coalesce(f"{cut}.n", F.lit(0)).cast("bigint").alias(count)] if count else []))
+    kept = [c for c in docs.columns if c != count]
+    with_count = lambda rows, n: rows.withColumn(count, n) if count else rows
+    fixed = [F.when(hit, F.col(f"{cut}.text")).otherwise(F.col("text")).alias(c) if c == "text" else F.col(f"`{c}`") for c in kept]
+    plain = with_count(sure.select(*[F.col(f"`{c}`") for c in kept]), F.lit(0).cast("bigint"))
+    return plain.unionByName(cleaned.select(*fixed, *([F.coalesce(f"{cut}.n", F.lit(0)).cast("bigint").alias(count)] if count else [])))
 
 
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

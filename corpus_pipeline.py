@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go; n_chars follows the text."""
-    cleaned = drop_recurring_lines(docs).drop("n_dropped")
+    cleaned = drop_recurring_lines(docs, count=None)
     if "n_chars" not in docs.columns:
         return cleaned
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -9,7 +9,7 @@ the others a second lead is taken, pairs that are in one component by then need
 ``rounds`` rounds is paired in full across components.  Nothing is skipped: a crowded bucket whose members are neither
 linked nor told apart by size and bits costs the square of its size.
 
-Size and bits tell pairs apart without the sets: in 512 parities no more differ than the sets have elements that are in
+Size and bits tell pairs apart without the sets: in their parities no more differ than the sets have elements that are in
 one alone, at the similarity asked for at most (1 - similarity) / (1 + similarity) of both sizes together.  The sets
 themselves are asked for by node, for the pairs that are left.
 """
@@ -56,15 +56,15 @@ class MinHash:
         return [xxhash.xxh64_intdigest(least[b * self.rows : (b + 1) * self.rows].tobytes(), b) >> 1 for b in range(self.bands)]
 
 
-def parities(hashes: np.ndarray) -> np.ndarray:
-    """Eight longs: of each of 512 classes of hashes, whether an odd number is in the set."""
-    odd = np.bincount((hashes.astype(np.uint64) >> np.uint64(20) & np.uint64(511)).astype(np.int64), minlength=512) & 1
+def parities(hashes: np.ndarray, longs: int = 8) -> np.ndarray:
+    """For each of 64 * longs classes of hashes, whether an odd number is in the set."""
+    odd = np.bincount(((hashes.astype(np.uint64) >> np.uint64(20)) % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def _possible(similarity: float, a: str, b: str) -> Column:
     low, high = F.least(f"{a}.k", f"{b}.k"), F.greatest(f"{a}.k", f"{b}.k")
-    apart = sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(8)), F.lit(0))
+    apart = F.aggregate(F.zip_with(f"{a}.bits", f"{b}.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return (low >= similarity * high - 1e-6) & (apart <= (1 - similarity) / (1 + similarity) * (low + high) + 1e-6)
 
 

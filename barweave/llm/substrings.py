@@ -2,8 +2,7 @@
 
 A paragraph is a line of ``min_words`` words or more.  Its set of
 five-word shingles gets a MinHash signature of bands * rows values, and paragraphs that agree on a band collide.  Bands
-are tuned for recall: ``tune`` takes the most rows, so the fewest collisions by chance, at which paragraphs at the
-similarity asked for still collide with probability ``recall`` within the signature.  Colliding paragraphs are compared
+are tuned for recall (see jaccard): as many rows as still give it within the signature.  Colliding paragraphs are compared
 by the exact Jaccard similarity of their shingle sets, links make components, and in each component all paragraphs but
 the first (least doc_id, then place) are marked for removal.
 
@@ -29,24 +28,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barweave.llm import jaccard
-from barweave.llm.common import WORD, read_table, stage
+from barweave.llm.common import WORD, read_table, split_by, stage
 from barweave.llm.components import components
 from barweave.llm.simhash import shingles
 
 
 UNIT, WINDOW, GRAM = 25, 26, 3
-
-
-def tune(similarity: float, signature: int = 56, recall: float = 0.995) -> tuple[int, int]:
-    """bands, rows."""
-    rows = 1
-    while 1 - (1 - similarity ** (rows + 1)) ** (signature // (rows + 1)) >= recall:
-        rows += 1
-    return signature // rows, rows
+LONGS = 2  # of parities of a paragraph
 
 
 def _hashes(line: str, words: int) -> np.ndarray:
@@ -55,40 +47,38 @@ def _hashes(line: str, words: int) -> np.ndarray:
 
 
 def paragraphs(docs: DataFrame, words: int, min_words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, start, stop (code points), digest, bands and own, a hash of the whole text, of every paragraph."""
-    rng = np.random.Generator(np.random.PCG64(7))
-    odd = (rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-    mix = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
+    """doc_id, own (the hash of the whole text), start, stop (code points), digest, k, bits and keys of every paragraph."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, list] = {}
+        known: dict[bytes, tuple] = {}
+        banded = jaccard.MinHash(bands, rows)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
-                out: list[list] = [[], [], [], [], [], []]
+                out: list[list] = [[] for _ in kinds]
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     at, own = 0, _text_hash(text)
                     for line in (text or "").split("\n"):
-                        if line.count(" ") + line.count("\t") + 1 >= min_words and len(line.encode("utf-8", "surrogatepass").split()) >= min_words:
-                            clean = b" ".join(line.encode("utf-8", "surrogatepass").lower().split())
-                            digest = xxhash.xxh3_128_digest(clean)
+                        if line.count(" ") + line.count("\t") + 1 >= min_words and len(found := line.encode("utf-8", "surrogatepass").lower().split()) >= min_words:
+                            digest = xxhash.xxh3_128_digest(b" ".join(found))
                             if digest not in known:
                                 h = _hashes(line, words)
-                                least = np.concatenate([((h[:, None] ^ mix[None, i : i + 14]) * odd[None, i : i + 14] >> np.uint64(16)).min(0) for i in range(0, bands * rows, 14)])
                                 if len(known) > 50_000:
                                     known.clear()
-                                known[digest] = [xxhash.xxh64_intdigest(least[b * rows : (b + 1) * rows].tobytes(), b) >> 1 for b in range(bands)]
-                            for column, value in zip(out, (doc, at, at + len(line), digest, known[digest], own)):
+                                known[digest] = (len(h), jaccard.parities(h, LONGS).tolist(), banded.keys(h))
+                            for column, value in zip(out, (doc, own, at, at + len(line), digest, *known[digest])):
                                 column.append(value)
                         at += len(line) + 1
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["doc_id", "start", "stop", "digest", "bands", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["doc_id", "own", "start", "stop", "digest", "k", "bits", "keys"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, "doc_id bigint, start bigint, stop bigint, digest binary, bands array<bigint>, own bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, "doc_id bigint, own bigint, start bigint, stop bigint, digest binary, k int, bits array<bigint>, keys array<bigint>")
 
 
 def _text_hash(text: str | None) -> int:
-    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) >> 1
+    """As xxhash64 of Spark."""
+    made = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), 42)
+    return made - (1 << 64) if made >> 63 else made
 
 
 def anchors(grams: np.ndarray) -> np.ndarray:
@@ -100,7 +90,7 @@ def anchors(grams: np.ndarray) -> np.ndarray:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """doc_id, own (see paragraphs), start, stop, line (the start of the line that holds it all, else -1) and digest."""
+    """doc_id, own (see paragraphs), start, stop, line (the start of the line that holds it all, else -1) and unit, its hash."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -132,20 +122,22 @@ def units(docs: DataFrame) -> DataFrame:
                         start, last = found[p][1], found[p + UNIT - 1]
                         stop = last[1] + len(last[0])
                         line = -1 if text.find("\n", start, stop) >= 0 else text.rfind("\n", 0, start) + 1
-                        for column, value in zip(out, (doc, own, start, stop, line, xxhash.xxh3_128_digest(hashes[p : p + UNIT].tobytes()))):
+                        for column, value in zip(out, (doc, own, start, stop, line, xxhash.xxh64_intdigest(hashes[p : p + UNIT].tobytes()) >> 1)):
                             column.append(value)
-                kinds = (*[pa.int64()] * 5, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["doc_id", "own", "start", "stop", "line", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "own", "start", "stop", "line", "unit"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, "doc_id bigint, own bigint, start bigint, stop bigint, line bigint, digest binary")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, "doc_id bigint, own bigint, start bigint, stop bigint, line bigint, unit bigint")
 
 
 def repeated_spans(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """doc_id, start, stop, cluster_id and removed of spans of repeated units that paragraphs (marked) do not hold."""
     found = stage(units(docs), "units")
+    often = stage(found.groupBy("unit").agg(F.count("*").alias("n")).where("n > 1").select("unit"), "often")
+    likely = split_by(found, "unit", often)[1].distinct()
+    likely = stage(likely, "likely")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start")
-    first = found.groupBy("digest").agg(F.min(F.struct(place.alias("p"), "stop", "own")).alias("m"), F.count("*").alias("n")).where("n > 1")
-    member = found.join(first.select("digest", "m"), "digest").distinct()
+    first = stage(likely.groupBy("unit").agg(F.min(F.struct(place.alias("p"), "stop", "own")).alias("m"), F.count("*").alias("n")).where("n > 1"), "first")
+    member = likely.join(first.select("unit", "m"), "unit")
     there = F.col("doc_id").eqNullSafe(F.col("m.p.doc_id")) & (F.col("own") == F.col("m.own")) & (F.col("start") < F.col("m.stop"))
     member = member.select("doc_id", "own", "start", "stop", "line", F.col("m.p.doc_id").alias("cluster_id"), (~there).alias("removed"))
     lines = marked.select(F.col("doc_id").alias("_doc"), F.col("own").alias("_own"), F.col("start").alias("_start"), F.col("removed").alias("_removed")).distinct()
@@ -158,47 +150,55 @@ def repeated_spans(docs: DataFrame, marked: DataFrame) -> DataFrame:
     return spans.select("doc_id", "start", "stop", "cluster_id", "removed")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int, min_words: int) -> DataFrame:
-    """node, s, the shingle set, and its bits of the wanted paragraphs (doc_id, start, stop, node), read from the texts again."""
-    grouped = wanted.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start", "stop", "node", "digest")).alias("want"))  # paragraphs of one document
-    texts = docs.select("doc_id", "text").join(grouped, F.col("doc_id").cast("bigint").eqNullSafe(F.col("id"))).select("text", "want")
+def _row(doc: str, own: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(doc), F.lit(-1).cast("bigint")), F.col(doc).isNull(), F.col(own))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """node and s, the shingle set, of the wanted paragraphs (doc_id, own, start, stop, node, digest), read from the texts
+    again; the texts that surely have none are not exchanged."""
+    places = F.collect_list(F.struct("start", "stop", "node", "digest")).alias("want")  # paragraphs of one text
+    grouped = stage(wanted.groupBy(_row("doc_id", "own").alias("_row")).agg(places), "wanted")
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("own")).select("text", _row("doc_id", "own").alias("row"))
+    texts = split_by(own, "row", grouped.select("_row"))[1].join(grouped, F.col("row") == F.col("_row")).select("text", "want")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 200):
                 part = batch.slice(low, 200)
-                nodes, sets, bits = [], [], []
+                nodes, sets = [], []
                 for text, want in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     for w in want:
                         line = (text or "")[w["start"] : w["stop"]]
                         if xxhash.xxh3_128_digest(b" ".join(line.encode("utf-8", "surrogatepass").lower().split())) == w["digest"]:
                             nodes.append(w["node"])
                             sets.append(_hashes(line, words).view("<i8"))
-                            bits.append(jaccard.parities(sets[-1]))
-                kind = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, kind), pa.array(bits, kind)], ["node", "s", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
 
-    return texts.mapInArrow(take, "node bigint, s array<bigint>, bits array<bigint>").dropDuplicates(["node"])
+    return texts.mapInArrow(take, "node bigint, s array<bigint>").dropDuplicates(["node"])
 
 
-def duplicate_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, min_words: int = 15, signature: int = 56) -> DataFrame:
+def duplicate_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, min_words: int = 15, signature: int = 24, recall: float = 0.995) -> DataFrame:
     """doc_id, start, stop, cluster_id and removed of every paragraph that has a duplicate, and of repeated spans
     besides; cluster_id is the least doc_id of the component."""
-    bands, rows = tune(similarity, signature)
+    bands, rows = jaccard.tune(similarity, signature, recall)
     found = stage(paragraphs(docs, words, min_words, bands, rows), "paragraphs")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start")
-    ordered = found.groupBy("digest").agg(F.min(F.struct(place.alias("p"), "stop")).alias("m"), F.first("bands").alias("bands"), F.count("*").alias("n"))
-    distinct = stage(ordered.select("digest", F.xxhash64("digest").alias("node"), F.col("m.p.doc_id").alias("doc_id"), F.col("m.p.start").alias("start"), F.col("m.stop").alias("stop"), "bands", "n"), "distinct")
-    keys = distinct.select("node", F.explode("bands").alias("key")).distinct()
-    shared = jaccard.shared_keys(keys)
-    wanted = keys.join(shared, "key", "left_semi").select("node").distinct()
-    sets = stage(_sets(docs, distinct.join(wanted, "node", "left_semi").select("doc_id", "start", "stop", "node", "digest"), words, min_words), "sets")
-    links = jaccard.similar_links(keys, shared, sets, similarity)
-    roots = components(links)
-    named = distinct.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("digest", "n", "doc_id", "start", F.coalesce("root", "node").alias("root"))
+    kept = [F.first(c).alias(c) for c in ("k", "bits", "keys")]
+    ordered = found.groupBy("digest").agg(F.min(F.struct(place.alias("p"), "stop", "own")).alias("m"), F.count("*").alias("n"), *kept)
+    distinct = ordered.select("digest", F.xxhash64("digest").alias("node"), F.col("m.p.doc_id").alias("doc_id"), F.col("m.own").alias("own"), F.col("m.p.start").alias("start"), F.col("m.stop").alias("stop"), "n", "k", "bits", "keys")
+    distinct = stage(distinct, "distinct")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return _sets(docs, distinct.select("doc_id", "own", "start", "stop", "node", "digest").join(nodes, "node"), words)
+
+    roots = components(jaccard.similar_links(jaccard.buckets(distinct.select("node", "k", "bits", "keys")), sets_of, similarity))
+    named = distinct.select("node", "digest", "n", "doc_id", "start").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+    named = named.select("digest", "n", "doc_id", "start", F.coalesce("root", "node").alias("root"))
     first = named.groupBy("root").agg(F.min(place).alias("first"), F.sum("n").alias("size")).where("size > 1")
-    clusters = stage(named.join(first, "root").select("digest", "first"), "clusters")
-    member = found.select("doc_id", "own", "start", "stop", "digest").join(clusters, "digest")
+    clusters = stage(named.join(first, "root").select("digest", F.xxhash64("digest").alias("node"), "first"), "clusters")
+    likely = split_by(found.select("doc_id", "own", "start", "stop", "digest", F.xxhash64("digest").alias("_node")), "_node", clusters.select("node"))[1]
+    member = likely.drop("_node").join(clusters.drop("node"), "digest")
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))
     marked = stage(member.select("doc_id", "own", "start", "stop", F.col("first.doc_id").alias("cluster_id"), (~same).alias("removed")), "marked")
     return marked.drop("own").unionByName(repeated_spans(docs, marked))

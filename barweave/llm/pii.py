@@ -1,19 +1,23 @@
 """Operator 9: personal data and information-theoretic sanitisation, in DataFrame functions only.
 
 The base kinds (email, ip, card, phone) are found by pattern in every whole text, with their places.  The method then
-asks which other words give a protected entity (a distinct email, ip, card or phone) away.  Words within ``reach`` words
-of an entity are its candidate terms.  For term t and entity e, over all documents,
+asks which other words give a protected entity (a distinct email, ip, card or phone) away.  Terms are runs of three
+letters or more, in lower case.  Over all documents, and whole texts,
 
-    disclosure(e, t) = documents in which t stands near e / documents that contain t at all
+    P(e | t) = documents that hold both / documents that hold the term
 
-which is the estimate of P(e | t), and the pointwise mutual information log2(P(e | t) / P(e)) says how much t tells.
-A term discloses e if at least ``min_support`` documents show them together, disclosure is ``min_disclosure`` or more
-and the information is ``min_bits`` or more.  Such terms are generalised wherever they stand near their entity: they
-become spans of kind ``term``, and ``sanitise`` writes [TERM] for them as it writes [EMAIL] and so on for the others.
+and the pointwise mutual information log2(P(e | t) / P(e)) says how much of the entity's own information -log2 P(e) the
+term tells.  A term discloses an entity if at least ``min_support`` different texts hold both, P(e | t) is at least
+``min_disclosure``, and it tells at least the share ``told`` of the entity's information, which entities of a third of
+all documents can meet as well as rare ones.  Such terms are generalised wherever they stand, in documents without the
+entity too: they become spans of kind ``term``, and ``sanitise`` writes [TERM] for them as it writes [EMAIL] and so on
+for the others.
 
-Entities that occur once have no support and disclose nothing.  Null text is empty, null and repeated ids are rows like
-any other (terms are counted once an id), empty tables give empty results.  Other columns are not read, but pass
-through ``sanitise``.
+Words are counted before anything is joined to them, so the joins grow with the vocabulary.  Entities in fewer texts
+than ``min_support`` disclose nothing: one document is no evidence, and its copies are one text.
+
+Null text is empty, null and repeated ids are rows like any other, empty tables give empty results, very many spans in a
+text cost in proportion to their number.  Other columns are not read, but pass through ``sanitise``, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.llm.common import read_table, stage, words_of
+from barweave.llm.common import read_table, split_by, stage, unused
 
 KINDS = ["email", "ip", "card", "phone"]
 #: The patterns of the kinds.  Repeats at a pattern's end take all they can at once, and a match starts at the start of
@@ -34,6 +38,8 @@ PATTERNS = {
 }
 #: A cheap test that every text with a match passes.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
+#: A term: a run of three letters or more.
+TERM = r"\p{L}{3,}"
 SPAN = "struct<kind:string,start:bigint,stop:bigint,value:string>"
 
 
@@ -58,22 +64,32 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(kind: str, text: Column) -> Column:
-    """Spans of a kind: what the pattern leaves between its matches gives their places, in code points."""
-    between = F.transform(F.split(text, PATTERNS[kind], -1), lambda x: F.length(x).cast("bigint"))
-    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+def _matches(kind: str, pattern: str, text: Column, block: int = 64) -> Column:
+    """Spans of a pattern: what it leaves between its matches gives their places, in code points.  Places are summed in
+    blocks, so that no long array is copied for each match."""
+    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("bigint"))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     step = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(step) - 1) / block).cast("int")), lambda i: F.slice(step, i * block + 1, block))
     empty = F.array().cast(f"array<{SPAN}>")
-    placed = F.aggregate(
-        step,
-        F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.concat(s["out"], F.array(F.struct(F.lit(kind).alias("kind"), (s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + F.length(x["m"])).alias("stop"), x["m"].alias("value")))).alias("out"),
-        ),
-    )["out"]
+
+    def one(s: Column, x: Column) -> Column:
+        start, stop = s["at"] + x["gap"], s["at"] + x["gap"] + F.length(x["m"])
+        return F.struct(stop.alias("at"), F.concat(s["out"], F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), stop.alias("stop"), x["m"].alias("value")))).alias("out"))
+
+    def many(s: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(s["at"].alias("at"), empty.alias("out")), one)
+        return F.transform(F.array(inner), lambda r: F.struct(r["at"].alias("at"), F.concat(s["out"], F.array(r["out"])).alias("out")))[0]
+
+    seed = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out"))
+    return F.when(F.size(found) > 0, F.flatten(F.aggregate(blocks, seed, many)["out"])).otherwise(empty)
+
+
+def _spans(kind: str, text: Column) -> Column:
+    """Valid spans of a base kind."""
     hinted = F.contains(text, F.lit("@")) if kind == "email" else F.regexp_like(text, F.lit(HINTS[kind]))
-    return F.when(hinted, F.filter(placed, lambda x: _valid(kind, x["value"]))).otherwise(empty)
+    placed = _matches(kind, PATTERNS[kind], text)
+    return F.when(hinted, F.filter(placed, lambda x: _valid(kind, x["value"]))).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
@@ -82,74 +98,73 @@ def find_spans(docs: DataFrame) -> DataFrame:
     return docs.withColumn("base", F.concat(*[_spans(k, text) for k in KINDS]))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, reach: int = 3, min_support: int = 3, min_disclosure: float = 0.5, min_bits: float = 8.0) -> DataFrame:
-    """doc_id, start, stop of every word that gives an entity near it away.  found: doc_id, text, base of the rows with
-    spans."""
-    entity = found.select("doc_id", "text", "base", F.explode("base").alias("e"))
-    side = []
-    for before in (True, False):
-        part = F.expr("substring(text, 1, cast(e.start as int))") if before else F.expr("substring(text, cast(e.stop as int) + 1)")
-        # the few words on one side of the entity; a word that touches it belongs to it and is no term
-        near = F.split(part, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-        pieces = F.slice(near, -(reach + 1), reach + 1) if before else F.slice(near, 1, reach + 1)
-        pieces = F.when(F.size(near) > reach, pieces).otherwise(near)
-        lengths = F.transform(pieces, lambda x: F.length(x).cast("bigint"))
-        whole = F.aggregate(lengths, F.lit(0).cast("bigint"), lambda s, x: s + x)
-        base = (F.col("e.start") - whole) if before else F.col("e.stop")
-        at = F.transform(pieces, lambda x, i: F.struct(x.alias("w"), (F.lit(0).cast("bigint") + F.aggregate(F.slice(lengths, 1, i), F.lit(0).cast("bigint"), lambda s, y: s + y)).alias("at")))
-        side.append(entity.select("doc_id", F.concat_ws(":", "e.kind", "e.value").alias("entity"), "base", base.alias("from"), F.explode(at).alias("p")))
-    both = side[0].unionByName(side[1])
-    word = F.regexp_replace("p.w", r"[\x20\x09-\x0D]+", "")
-    bare = F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    start = F.col("from") + F.col("p.at") + F.instr(F.col("p.w"), bare).cast("bigint") - 1
-    placed = both.select("doc_id", "entity", "base", F.lower(bare).alias("term"), start.alias("start"), (start + F.length(bare)).alias("stop")).where(F.length("term") >= 3)
-    outside = placed.where(~F.exists("base", lambda b: (b["start"] < F.col("stop")) & (b["stop"] > F.col("start")))).drop("base")
-    terms = stage(outside, "terms")
-    together = terms.groupBy("entity", "term").agg(F.count_distinct("doc_id").alias("n_both")).where(F.col("n_both") >= min_support)
-    pairs = stage(together, "pairs")
-    # documents that contain each word, counted with map-side combining; joined with the terms only
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.transform(words_of(F.col("text")), lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))))).alias("term"))
-    heard = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    entities = found.select("doc_id", F.explode(F.transform("base", lambda b: F.concat_ws(":", b["kind"], b["value"]))).alias("entity")).groupBy("entity").agg(F.count_distinct("doc_id").alias("n_entity"))
+def _terms(text: Column) -> Column:
+    """Hashes of a text's terms, each once."""
+    return F.transform(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))), lambda t: F.xxhash64(t))
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, min_support: int = 3, min_disclosure: float = 0.5, told: float = 0.5) -> DataFrame:
+    """term (its hash) of every term that gives an entity away.  found: text and base of the rows with spans."""
+    texts = found.select(F.xxhash64("text").alias("own"), "text", F.array_distinct(F.transform("base", lambda b: F.xxhash64(b["kind"], b["value"]))).alias("entities"))
+    texts = texts.groupBy("own").agg(F.first("text").alias("text"), F.first("entities").alias("entities"), F.count("*").alias("copies"))
+    texts = stage(texts.select(_terms(F.col("text")).alias("terms"), "entities", "copies"), "texts")
+    held = texts.select("terms", "copies", F.explode("entities").alias("entity"))
+    entities = held.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("support")).where(F.col("support") >= min_support)
+    entities = stage(entities.drop("support"), "entities")
+    together = held.join(entities, "entity").select("entity", "n_entity", "copies", F.explode("terms").alias("term"))
+    pairs = together.groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("support"), F.first("n_entity").alias("n_entity")).where(F.col("support") >= min_support)
+    pairs = stage(pairs, "pairs")
+    # documents that hold each term, with map-side combining
+    counts = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     total = docs.agg(F.count("*").alias("n_all"))  # one row
-    given = pairs.join(heard, "term").join(entities, "entity").crossJoin(F.broadcast(total))
-    share = F.col("n_both") / F.greatest("n_term", "n_both")
-    bits = F.log2(share * F.col("n_all") / F.col("n_entity"))
-    giving = given.where((share >= min_disclosure) & (bits >= min_bits)).select("entity", "term")
-    return terms.join(giving, ["entity", "term"], "left_semi").select("doc_id", "start", "stop").distinct()
+    given = pairs.join(counts, "term").crossJoin(F.broadcast(total))
+    share, own = F.col("n_both") / F.col("n_term"), F.col("n_entity") / F.col("n_all")
+    return given.where((share >= min_disclosure) & (F.log2(share / own) >= -told * F.log2(own))).select("term").distinct()
 
 
 def all_spans(docs: DataFrame, **limits) -> DataFrame:
-    """doc_id, base and spans (base and terms) of every row of docs."""
-    found = stage(find_spans(docs.select("doc_id", "text")).where(F.size("base") > 0), "found")
-    terms = disclosing_terms(docs.select("doc_id", "text"), found, **limits)
-    listed = terms.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "stop", F.lit("").alias("value")))).alias("terms"))
-    with_terms = found.join(listed.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left").drop("id")
-    spans = F.concat("base", F.coalesce("terms", F.array().cast(f"array<{SPAN}>")))
-    return with_terms.select("doc_id", "text", "base", spans.alias("spans"))
+    """text (null is empty), base and spans (base, then terms outside of them) of every text that has spans, once."""
+    text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    found = stage(find_spans(text).where(F.size("base") > 0), "found")
+    giving = stage(disclosing_terms(text, found, **limits), "giving")
+    hits = text.select(F.xxhash64("text").alias("own"), F.explode(_terms(F.col("text"))).alias("term")).join(giving, "term")
+    hits = stage(hits.groupBy("own").agg(F.collect_set("term").alias("terms")), "hits")  # terms of one text
+    likely = split_by(text.withColumn("own", F.xxhash64("text")), "own", hits.select("own"))[1]
+    told = likely.dropDuplicates(["own"]).join(hits, "own").select("text", "terms")
+    placed = told.withColumn("t", F.filter(_matches("term", TERM, F.col("text")), lambda s: F.array_contains("terms", F.xxhash64(F.lower(s["value"])))))
+    empty = F.array().cast(f"array<{SPAN}>")
+    both = found.select("text", "base", empty.alias("t")).unionByName(placed.select("text", empty.alias("base"), "t"))
+    joined = both.groupBy(F.xxhash64("text").alias("own")).agg(F.first("text").alias("text"), F.max_by("base", F.size("base")).alias("base"), F.max_by("t", F.size("t")).alias("t"))
+    outside = F.filter("t", lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (b["stop"] > s["start"])))
+    return joined.select("own", "text", "base", F.concat("base", outside).alias("spans")).where(F.size("spans") > 0)
 
 
 def sanitise(docs: DataFrame, **limits) -> DataFrame:
-    """docs with every span replaced by its kind in brackets; overlapping spans become one."""
-    spans = all_spans(docs, **limits).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), "spans").dropDuplicates(["_id", "_text"])
+    """docs with every span replaced by its kind in brackets; overlapping spans become one.  Rows that surely have no
+    span are not exchanged."""
+    own, key, clean = (unused(docs.columns, c) for c in ("own", "key", "clean"))
+    spans = all_spans(docs, **limits)
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
-    cleaned = F.aggregate(
+    pieces = F.aggregate(
         ordered,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
+        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out")),
         lambda s, x: F.when(x["start"] < s["at"], F.struct(F.greatest(s["at"], x["stop"]).alias("at"), s["out"].alias("out"))).otherwise(
-            F.struct(x["stop"].alias("at"), F.concat(s["out"], F.substring(F.col("_text"), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("out"))
+            F.struct(x["stop"].alias("at"), F.concat(s["out"], F.array(F.substring("text", (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))).alias("out"))
         ),
     )
-    fixed = spans.withColumn("_c", cleaned).select("_id", "_text", F.concat("_c.out", F.substring(F.col("_text"), (F.col("_c.at") + 1).cast("int"), F.length("_text"))).alias("_clean"))
-    joined = docs.join(fixed, docs["doc_id"].eqNullSafe(fixed["_id"]) & (docs["text"] == fixed["_text"]), "left")
-    return joined.select(*[F.coalesce("_clean", docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    fixed = spans.withColumn("c", pieces).select(F.col("own").alias(key), F.concat(F.array_join("c.out", ""), F.substring("text", (F.col("c.at") + 1).cast("int"), F.length("text"))).alias(clean))
+    fixed = stage(fixed, "fixed")
+    sure, rest = split_by(docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit("")))), own, fixed.select(key))
+    joined = rest.join(fixed, F.col(own) == F.col(key), "left")
+    changed = joined.select(*[F.coalesce(clean, F.col("text")).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return sure.drop(own).unionByName(changed)
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 9 on all documents."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    spans = all_spans(docs).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("of"), "base", "spans").dropDuplicates(["id", "of"])
-    joined = docs.select("doc_id", F.xxhash64("text").alias("hash")).join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("of")), "left")
+    spans = stage(all_spans(docs).select(F.col("own").alias("of"), "base", "spans"), "spans")
+    joined = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")).join(spans, F.col("hash") == F.col("of"), "left")
 
     def told(column: str) -> Column:
         return F.coalesce(F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ","), F.lit(""))

@@ -8,7 +8,7 @@ on the driver.
 A pattern's flow is full copies of all its documents and a rest, which a seeded order fills: documents by hash, up to
 the hash at which the rest is reached, and then, up to ``FILLS`` times, the largest untaken document that still fits.
 That hash is found digit by digit, from sums by pattern and digit of the documents at the digits so far, of which each
-round leaves one in 256.  Which documents are taken depends on seed, id and size alone, so the plan is a row for each
+round leaves one in 4096.  Which documents are taken depends on seed, id and size alone, so the plan is a row for each
 pattern, every document decides by itself, and no text or document is exchanged.
 
 Null text has no words and is never taken; a null source is a source of its own, last in order; rows alike in id, text
@@ -27,8 +27,8 @@ from barweave.llm.common import WORD, read_table, stage, unused
 
 #: The plan is broadcast up to so many patterns, and joined beyond.
 BROADCAST_PATTERNS = 100_000
-FILLS = 3
-DIGITS = 8  # of 8 bits each
+FILLS = 1
+DIGITS, BITS = 3, 12  # of the hashes
 
 
 def quotas(sizes: dict[str | None, int], weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> dict[str | None, float]:
@@ -109,24 +109,25 @@ def min_cost_flow(supply: dict[tuple, int], demand: dict, copies: int = 2) -> di
 
 
 def _fill(rows: DataFrame) -> DataFrame:
-    """pattern, upto (a hash, null for none) and extra (hashes): of rows (pattern, size, h, rest) those below upto and
-    those with an extra hash fill each pattern's rest.  Rows with equal hashes are taken together."""
-    digit = lambda k: F.pmod(F.shiftright("h", 8 * (DIGITS - 1 - k)), F.lit(256))
-    before = Window.partitionBy("pattern").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows a pattern at most
-    left, known = rows.withColumn("need", F.col("rest")), None
-    for k in range(DIGITS):
-        # the digit at which need is passed, and what is left of need there
-        sums = left.groupBy("pattern", digit(k).alias("c")).agg(F.sum("size").alias("words"), F.first("need").alias("need"))
+    """pattern, upto (a hash) and open (words): of rows (pattern, size, h, rest) those below upto fill each pattern's rest
+    but for open.  Rows with equal hashes are taken together."""
+    before = Window.partitionBy("pattern").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    left = rows.withColumn("need", F.col("rest"))
+    for k in range(DIGITS + 1):
+        # 4096 digits a pattern at most; last the hashes themselves, of the few rows that agree in all digits
+        digit = F.pmod(F.shiftright("h", 63 - BITS * (k + 1)), F.lit(1 << BITS)) if k < DIGITS else F.col("h")
+        sums = left.groupBy("pattern", digit.alias("c")).agg(F.sum("size").alias("words"), F.first("need").alias("need"))
         runs = sums.withColumn("sum", F.coalesce(F.sum("words").over(before), F.lit(0)))
-        hit = runs.where((F.col("sum") <= F.col("need")) & (F.col("sum") + F.col("words") > F.col("need"))).select("pattern", F.col("c").alias("digit"), (F.col("need") - F.col("sum")).alias("now"))
-        hit = stage(hit if known is None else known.join(hit, "pattern").select("pattern", "digit", "now", "before"), "border")
-        found = F.shiftleft("digit", 8 * (DIGITS - 1 - k)) if known is None else F.col("before").bitwiseOR(F.shiftleft("digit", 8 * (DIGITS - 1 - k)))
-        known = hit.select("pattern", found.alias("before"))
-        if k == DIGITS - 1:
-            return hit.select("pattern", found.alias("upto"), F.col("now").alias("open"))
-        inside = left.drop("need").join(hit.select("pattern", "digit", F.col("now").alias("need")), "pattern").where(digit(k) == F.col("digit")).drop("digit")
-        left = stage(inside, "inside") if k else inside
-    raise AssertionError
+        hit = runs.where((F.col("sum") <= F.col("need")) & (F.col("sum") + F.col("words") > F.col("need")))
+        hit = stage(hit.select("pattern", F.col("c").alias("digit"), (F.col("need") - F.col("sum")).alias("now")), "border")
+        if k < DIGITS:
+            inside = left.drop("need").join(F.broadcast(hit) if _few(hit) else hit, "pattern").where(digit == F.col("digit"))
+            left = stage(inside.select(*rows.columns, F.col("now").alias("need")), "inside")
+    return hit.select("pattern", F.col("digit").alias("upto"), F.col("now").alias("open"))
+
+
+def _few(table: DataFrame) -> bool:
+    return table.count() <= BROADCAST_PATTERNS
 
 
 def mix(sized: DataFrame, demand: dict, copies: int = 2, seed: int = 42) -> DataFrame:

@@ -34,7 +34,7 @@ def vocabulary_path(name: str) -> str:
 class Encoder:
     """Encodes texts in slices: a slice's new pieces are encoded together, all others come from the cache."""
 
-    def __init__(self, path: str, cache: int = 700_000, slice_chars: int = 3_000_000) -> None:
+    def __init__(self, path: str, cache: int = 300_000, slice_chars: int = 1_500_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

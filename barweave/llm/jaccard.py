@@ -56,10 +56,30 @@ class MinHash:
         return [xxhash.xxh64_intdigest(least[b * self.rows : (b + 1) * self.rows].tobytes(), b) >> 1 for b in range(self.bands)]
 
 
+    def many(self, hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Keys of sets that stand one after the other in hashes, none of them empty: a row of keys each."""
+        starts = np.append(0, ends[:-1])
+        least = np.empty((len(ends), len(self.odd)), np.uint64)
+        for i, (odd, mix) in enumerate(zip(self.odd[:, 0], self.mix[:, 0])):
+            least[:, i] = np.minimum.reduceat(((hashes.astype(np.uint64) ^ mix) * odd) >> np.uint64(16), starts)
+        width = 8 * self.rows
+        raw = least.tobytes()
+        keys = [xxhash.xxh64_intdigest(raw[i : i + width], (i // width) % self.bands) >> 1 for i in range(0, len(raw), width)]
+        return np.array(keys, np.int64).reshape(len(ends), self.bands)
+
+
 def parities(hashes: np.ndarray, longs: int = 8) -> np.ndarray:
     """For each of 64 * longs classes of hashes, whether an odd number is in the set."""
-    odd = np.bincount(((hashes.astype(np.uint64) >> np.uint64(20)) % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+    return parities_of_many(hashes, np.array([len(hashes)]), longs)[0]
+
+
+def parities_of_many(hashes: np.ndarray, ends: np.ndarray, longs: int) -> np.ndarray:
+    """A row of parities for each of the sets that stand one after the other in hashes."""
+    bits = 64 * longs
+    own = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)) * bits
+    place = ((hashes.astype(np.uint64) >> np.uint64(20)) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(own + place, minlength=bits * len(ends)) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(ends), bits), axis=1, bitorder="little").view("<i8")
 
 
 def _possible(similarity: float, a: str, b: str) -> Column:
@@ -87,7 +107,7 @@ def buckets(nodes: DataFrame) -> DataFrame:
     return stage(likely.join(shared, "key").select("key", "n", "m"), "members")
 
 
-def similar_links(member: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, more: DataFrame | None = None, full: int = 32, rounds: int = 2) -> DataFrame:
+def similar_links(member: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, more: DataFrame | None = None, full: int = 8, rounds: int = 2) -> DataFrame:
     """u, v: links whose components are those of all pairs that share a bucket and have the similarity.
 
     member: of ``buckets``; sets_of: node and s, the set, for a table of nodes; more: further pairs u, v to look at."""

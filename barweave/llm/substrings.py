@@ -22,7 +22,6 @@ table gives an empty result.  Other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barweave.llm import jaccard
-from barweave.llm.common import WORD, read_table, split_by, stage
+from barweave.llm.common import read_table, split_by, stage
 from barweave.llm.components import components
 from barweave.llm.simhash import shingles
 
@@ -52,25 +51,36 @@ def paragraphs(docs: DataFrame, words: int, min_words: int, bands: int, rows: in
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple] = {}
         banded = jaccard.MinHash(bands, rows)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
                 out: list[list] = [[] for _ in kinds]
+                fresh: dict[bytes, list[bytes]] = {}
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     at, own = 0, _text_hash(text)
                     for line in (text or "").split("\n"):
                         if line.count(" ") + line.count("\t") + 1 >= min_words and len(found := line.encode("utf-8", "surrogatepass").lower().split()) >= min_words:
                             digest = xxhash.xxh3_128_digest(b" ".join(found))
-                            if digest not in known:
-                                h = _hashes(line, words)
-                                if len(known) > 50_000:
-                                    known.clear()
-                                known[digest] = (len(h), jaccard.parities(h, LONGS).tolist(), banded.keys(h))
-                            for column, value in zip(out, (doc, own, at, at + len(line), digest, *known[digest])):
+                            if digest not in known and digest not in fresh:
+                                fresh[digest] = shingles(found, words)
+                            for column, value in zip(out, (doc, own, at, at + len(line), digest)):
                                 column.append(value)
                         at += len(line) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["doc_id", "own", "start", "stop", "digest", "k", "bits", "keys"])
+                if len(known) > 50_000:
+                    known = {d: known[d] for d in set(out[4]) if d in known}
+                if fresh:
+                    # each line's different shingles, one line after the other
+                    raw = np.array([xxhash.xxh64_intdigest(x, 42) for parts in fresh.values() for x in parts], "<u8")
+                    line_of = np.repeat(np.arange(len(fresh)), [len(x) for x in fresh.values()])
+                    order = np.lexsort((raw, line_of))
+                    raw, line_of = raw[order], line_of[order]
+                    new = np.append(True, (raw[1:] != raw[:-1]) | (line_of[1:] != line_of[:-1]))
+                    raw, ends = raw[new], np.cumsum(np.bincount(line_of[new], minlength=len(fresh)))
+                    known.update(zip(fresh, zip(np.diff(ends, prepend=0).tolist(), jaccard.parities_of_many(raw, ends, LONGS).tolist(), banded.many(raw, ends).tolist())))
+                more = [known[d] for d in out[4]]
+                columns = [pa.array(c, t) for c, t in zip(out, kinds)] + [pa.array([x[i] for x in more], t) for i, t in enumerate((pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "own", "start", "stop", "digest", "k", "bits", "keys"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, "doc_id bigint, own bigint, start bigint, stop bigint, digest binary, k int, bits array<bigint>, keys array<bigint>")
 
@@ -89,42 +99,72 @@ def anchors(grams: np.ndarray) -> np.ndarray:
     return np.unique(seen.argmin(1) + np.arange(len(seen)))
 
 
+class Words:
+    """Places and hashes of the words of a text, whole arrays at a time.
+
+    A word's hash is a polynomial in its bytes, A-Z as a-z, from sums up to each byte; so is a unit's in its words."""
+
+    STEP = 0x9E3779B97F4A7C15
+
+    def __init__(self) -> None:
+        self.table = np.random.Generator(np.random.PCG64(3)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.table[65:91] = self.table[97:123]
+        self.space = np.zeros(256, bool)
+        self.space[[32, 9, 10, 11, 12, 13]] = True
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = 2 * n
+            self.up, self.down = (np.cumprod(np.append(np.uint64(1), np.full(size, x, np.uint64)), dtype=np.uint64) for x in (self.STEP, pow(self.STEP, -1, 1 << 64)))
+        return self.up[:n], self.down[:n]
+
+    def runs(self, values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """The hash of values from each start to its stop, wherever they stand."""
+        up, down = self.powers(len(values) + 1)
+        sums = np.append(np.uint64(0), np.cumsum(values * up[:-1], dtype=np.uint64))
+        made = (sums[stops] - sums[starts]) * down[starts]
+        made ^= made >> np.uint64(29)
+        made *= np.uint64(0xBF58476D1CE4E5B9)
+        return made ^ (made >> np.uint64(32))
+
+    def of(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """starts, stops (bytes) and hashes of the words of UTF-8 bytes."""
+        edge = np.diff(np.concatenate(([True], self.space[raw], [True])).astype(np.int8))
+        starts, stops = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        return starts, stops, self.runs(self.table[raw], starts, stops)
+
+
 def units(docs: DataFrame) -> DataFrame:
     """doc_id, own (see paragraphs), start, stop, line (the start of the line that holds it all, else -1) and unit, its hash."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        word = re.compile(WORD)
-        mix = np.uint64(0x9E3779B97F4A7C15)
+        words = Words()
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
-                out: list[list] = [[], [], [], [], [], []]
+                out: list[list] = [[np.zeros(0, np.int64)] for _ in range(6)]
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    found = [(m.group(), m.start()) for m in word.finditer(text or "")]
-                    if len(found) < UNIT + WINDOW - 1:
+                    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+                    if len(raw) < 2 * (UNIT + WINDOW):
+                        continue
+                    starts, stops, hashes = words.of(raw)
+                    if len(hashes) < UNIT + WINDOW - 1:
                         continue
-                    if len(known) > 200_000:
-                        known.clear()
-                    for w, _ in found:
-                        if w not in known:
-                            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass").lower(), 7)
-                    hashes = np.array([known[w] for w, _ in found], np.uint64)
-                    n = len(hashes) - GRAM + 1
-                    grams = np.zeros(n, np.uint64)
-                    for i in range(GRAM):
-                        grams = (grams ^ hashes[i : i + n]) * mix
-                        grams ^= grams >> np.uint64(31)
-                    at = anchors(grams)
+                    at = anchors(words.runs(hashes, np.arange(len(hashes) - GRAM + 1), np.arange(GRAM, len(hashes) + 1)))
                     at = at[at + UNIT <= len(hashes)]
-                    own = _text_hash(text)
-                    for p in at.tolist():
-                        start, last = found[p][1], found[p + UNIT - 1]
-                        stop = last[1] + len(last[0])
-                        line = -1 if text.find("\n", start, stop) >= 0 else text.rfind("\n", 0, start) + 1
-                        for column, value in zip(out, (doc, own, start, stop, line, xxhash.xxh64_intdigest(hashes[p : p + UNIT].tobytes()) >> 1)):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "own", "start", "stop", "line", "unit"])
+                    points = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
+                    first, last = starts[at], stops[at + UNIT - 1]
+                    breaks = np.flatnonzero(raw == 10)
+                    line = np.searchsorted(breaks, first)
+                    begin = np.append(0, points[breaks] + 1)[line]
+                    columns = (points[first], points[last], np.where(line == np.searchsorted(breaks, last), begin, -1), (words.runs(hashes, at, at + UNIT) >> np.uint64(1)).astype(np.int64))
+                    out[0].append([doc] * len(at))
+                    out[1].append(np.full(len(at), _text_hash(text)))
+                    for column, values in zip(out[2:], columns):
+                        column.append(values)
+                docs_ = pa.array([d for x in out[0] for d in x], pa.int64())
+                yield pa.RecordBatch.from_arrays([docs_, *[pa.array(np.concatenate(c), pa.int64()) for c in out[1:]]], ["doc_id", "own", "start", "stop", "line", "unit"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, "doc_id bigint, own bigint, start bigint, stop bigint, line bigint, unit bigint")
 
@@ -178,7 +218,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(take, "node bigint, s array<bigint>").dropDuplicates(["node"])
 
 
-def duplicate_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, min_words: int = 15, signature: int = 24, recall: float = 0.995) -> DataFrame:
+def duplicate_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, min_words: int = 15, signature: int = 36, recall: float = 0.9995) -> DataFrame:
     """doc_id, start, stop, cluster_id and removed of every paragraph that has a duplicate, and of repeated spans
     besides; cluster_id is the least doc_id of the component."""
     bands, rows = jaccard.tune(similarity, signature, recall)

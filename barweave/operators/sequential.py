@@ -16,7 +16,8 @@ SCHEDULE = "symbol string, candle_index bigint, action string"
 
 def zscore_schedule(bars: DataFrame, window: int = 24, entry: float = -1.5, stop_atr: float = 2.5, trail_atr: float = 3.0) -> DataFrame:
     """Mean reversion: enter when the z-score of the last ``window`` closes is at or below entry; leave when the low
-    touches the stop or the z-score is back at 0.  The stop starts at close - stop_atr * ATR and trails the peak."""
+    touches the stop that the bar before left, or the z-score is back at 0.  The stop starts at close - stop_atr * ATR
+    and on each bar held trails the highest close by trail_atr * ATR."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         b = group.sort_values("candle_index", ignore_index=True)
@@ -28,13 +29,13 @@ def zscore_schedule(bars: DataFrame, window: int = 24, entry: float = -1.5, stop
         for i in range(len(b)):
             close = b["close"][i]
             if long:
-                stop = max(stop, peak - trail_atr * atr[i])
                 if b["low"][i] <= stop or z[i] >= 0:
                     actions.append("EXIT")
                     long = False
                 else:
                     actions.append("HOLD")
                     peak = max(peak, close)
+                    stop = max(stop, peak - trail_atr * atr[i])
             elif pd.notna(z[i]) and z[i] <= entry and close - stop_atr * atr[i] > 0:
                 actions.append("ENTER")
                 long, stop, peak = True, close - stop_atr * atr[i], close

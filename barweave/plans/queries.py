@@ -53,9 +53,6 @@ def completed_bars_only(spark, d):
     return b.completed(b.event_bars(spark, d, "1h"), "2024-01-15 00:00:00").select("symbol", "open_time", "close", "close_time")
 
 
-_BAD = "CASE WHEN event_id % 97 = 0 THEN 'nonpositive_price' WHEN event_id % 89 = 0 THEN 'high_below_close' WHEN event_id % 83 = 0 THEN 'negative_volume' END"
-
-
 @query(
     "bar_quality_violations",
     """WITH x AS (SELECT event_type AS symbol, value + 1 AS open, CASE WHEN event_id % 89 = 0 THEN value ELSE value + 3 END AS high, value AS low,
@@ -74,8 +71,8 @@ def bar_quality_violations(spark, d):
     return x.groupBy("symbol", reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("dup_and_out_of_order", """SELECT symbol, sum((n > 1)::INT)::BIGINT AS duplicated, max(n) AS most FROM (SELECT event_type AS symbol, time_bucket(INTERVAL '1 hour', ts) AS t, count(*) AS n FROM events GROUP BY ALL) GROUP BY symbol""")
-def dup_and_out_of_order(spark, d):
+@query("bars_of_many_events", """SELECT symbol, sum((n > 1)::INT)::BIGINT AS duplicated, max(n) AS most FROM (SELECT event_type AS symbol, time_bucket(INTERVAL '1 hour', ts) AS t, count(*) AS n FROM events GROUP BY ALL) GROUP BY symbol""")
+def bars_of_many_events(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     n = e.groupBy(F.col("event_type").alias("symbol"), F.date_trunc("hour", "ts")).agg(F.count("*").alias("n"))
     return n.groupBy("symbol").agg(F.sum((F.col("n") > 1).cast("bigint")).alias("duplicated"), F.max("n").alias("most"))
@@ -344,7 +341,7 @@ def cost_stress(spark, d):
 # Folds ----------------------------------------------------------------------------------------------------------
 _FOLD = f"""WITH d AS (SELECT symbol, open_time, row_number() OVER (PARTITION BY symbol ORDER BY open_time) - 1 AS i FROM ({b.ITEM_BARS_SQL})),
 lim AS (SELECT symbol, min(open_time) AS t0, max(open_time) AS t1 FROM d GROUP BY symbol),
-f AS (SELECT symbol, k AS fold, t0 + to_months((24 + 6 * k)::INT) AS cs, t0 + to_months((30 + 6 * k)::INT) AS ce, t0 + to_months((36 + 6 * k)::INT) AS te, t1 FROM lim, range(0, 40) r(k) WHERE te <= t1),
+f AS (SELECT symbol, k AS fold, t0 + to_months((24 + 6 * k)::INT) AS cs, t0 + to_months((30 + 6 * k)::INT) AS ce, t0 + to_months((36 + 6 * k)::INT) AS te, t1 FROM (SELECT *, unnest(range(0, 2 + date_diff('month', t0, t1) // 6)) AS k FROM lim) WHERE te <= t1),
 folds AS (SELECT f.symbol, fold, count(*) FILTER (open_time < cs) AS c0, count(*) FILTER (open_time < ce) AS c1, count(*) FILTER (open_time < te) AS c2 FROM f JOIN d USING (symbol) GROUP BY ALL)"""
 
 
@@ -352,7 +349,7 @@ def _folds(spark, d):
     x = b.item_bars(spark, d).select("symbol", "open_time")
     lim = x.groupBy("symbol").agg(F.min("open_time").alias("t0"), F.max("open_time").alias("t1"))
     months = lambda n: F.expr(f"t0 + make_ym_interval(0, cast({n} + 6 * fold as int))")
-    f = lim.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumns({"cs": months(24), "ce": months(30), "te": months(36)}).where("te <= t1")
+    f = lim.withColumn("fold", F.explode(F.sequence(F.lit(0), (F.months_between("t1", "t0") / 6 + 1).cast("int")))).withColumns({"cs": months(24), "ce": months(30), "te": months(36)}).where("te <= t1")
     before = lambda c: F.count_if(F.col("open_time") < F.col(c))
     return f.join(x, "symbol").groupBy("symbol", F.col("fold").cast("bigint").alias("fold")).agg(before("cs").alias("c0"), before("ce").alias("c1"), before("te").alias("c2"))
 
@@ -418,9 +415,9 @@ def row_hash_identity(spark, d):
     return _seg(spark, d).select("symbol", "candle_index", F.sha2(F.concat_ws("|", "symbol", stamp, F.col("volume").cast("string")), 256).alias("row_sha256"))
 
 
-@query("kline_parse", "SELECT 'ABUSD' AS symbol, make_timestamp(1704067200000000 + (event_id * 3600000000)::BIGINT) AS open_time, round(value, 4)::DOUBLE AS close FROM events WHERE event_id < 500")
+@query("kline_parse", "SELECT 'ABUSD' AS symbol, make_timestamp(1704067200000000 + (event_id * 3600000000)::BIGINT) AS open_time, round(value, 4)::DOUBLE AS close FROM events")
 def kline_parse(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").where("event_id < 500").select("event_id", F.round("value", 4).cast("decimal(12,4)").cast("string").alias("x"))
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.round("value", 4).cast("decimal(12,4)").cast("string").alias("x"))
     ms = (F.lit(1704067200000) + F.col("event_id") * 3600000).cast("bigint")
     row = F.array(ms.cast("string"), "x", "x", "x", "x", F.lit("1"), (ms + 3599999).cast("string"))
     pages = e.select(F.to_json(F.array(row)).alias("body"))

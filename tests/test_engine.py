@@ -5,7 +5,7 @@ import pytest
 
 from barweave.functions import features
 from barweave.operators import sequential
-from barweave.plans import study  # noqa: F401  registers its queries
+from barweave.plans import audit, study  # noqa: F401  register their queries
 from barweave.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -51,6 +51,16 @@ def test_zscore_needs_a_window(spark):
     assert {r["action"] for r in sequential.zscore_schedule(_bars(spark, [10.0] * 30)).collect()} == {"CASH"}
 
 
+def test_zscore_tests_the_stop_before_it_trails(spark):
+    """A fall makes it enter; while held, a bar that closes high is held though its own trailed stop lies above its low."""
+    closes = [100.0, 101.0] * 12 + [90.0, 96.0, 96.5]
+    bars = [("X", i, c, c + 0.5, c - 0.5, c, 20.0) for i, c in enumerate(closes)]
+    frame = spark.createDataFrame(bars, "symbol string, candle_index long, open double, high double, low double, close double, volume double")
+    got = [r["action"] for r in sequential.zscore_schedule(frame, trail_atr=0.0).orderBy("candle_index").collect()]
+    # the trailed stop of the bar of 96 is its close, 96, above its low of 95.5; it counts from the next bar, low 96
+    assert got[24:] == ["ENTER", "HOLD", "EXIT"]
+
+
 def _judged(spark, rows, **rule):
     """rows: (index, state, close, low, p_trend, p_mean); one variant."""
     from barweave.operators import arbitration as ar

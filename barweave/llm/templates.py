@@ -114,14 +114,16 @@ def recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 10, min_con
     lines = stage(line_patterns(docs, depth), "lines")
     place = lines.select("pattern", "n", F.posexplode(F.arrays_zip("hashes", "counts")).alias("at", "x")).select("pattern", "n", "at", F.col("x.hashes").alias("h"), F.col("x.counts").alias("c"))
     constant = place.groupBy("h").agg(F.count("*").alias("d")).where(F.col("d") >= min_docs).select("h")
+    constant = stage(constant, "constant")
     at = range(PLACES)
-    marked = place.join(constant, "h").groupBy("pattern").agg(
+    marked = split_by(place, "h", constant)[1].join(constant, "h").groupBy("pattern").agg(
         F.max("n").alias("n"), *[F.max(F.when(F.col("at") == i, F.col("h"))).alias(f"h{i}") for i in at], *[F.max(F.when(F.col("at") == i, F.col("c"))).alias(f"c{i}") for i in at]
     )
     fixed = sum((F.coalesce(f"c{i}", F.lit(0)) for i in at), F.lit(0))
     need = F.when(F.col("n") < short, F.col("n").cast("double")).otherwise(min_constant * F.col("n"))
     shaped = marked.where(fixed >= need).select("pattern", F.xxhash64("n", *[F.coalesce(f"h{i}", F.lit(0).cast("bigint")) for i in at]).alias("template"))
-    hits = lines.select("own", "pattern", "words", "whole").join(stage(shaped, "shaped"), "pattern")
+    shaped = stage(shaped, "shaped")
+    hits = split_by(lines.select("own", "pattern", "words", "whole"), "pattern", shaped.select("pattern"))[1].join(shaped, "pattern")
     hits = stage(hits.groupBy("own", "pattern").agg(F.max("words").alias("words"), F.max("whole").alias("whole"), F.max("template").alias("template")), "hits")
 
     def recurring(rows: DataFrame) -> DataFrame:

@@ -159,6 +159,52 @@ def test_lines(spark, none):
     assert templates.drop_recurring_lines(none).count() == 0
 
 
+def test_templates_equal_plain_tree(spark):
+    """500 texts with templates, short lines, numbers and copies against a tree in plain Python, production defaults."""
+    rng = np.random.default_rng(6)
+    common = [f"c{chr(97 + i)}" for i in range(20)]
+    texts: list[str | None] = []
+    for i in range(470):
+        lines = [" ".join(str(x) for x in rng.choice(common, rng.integers(1, 4)))] if i % 3 else []
+        lines += [" ".join("".join(chr(97 + int(x)) for x in rng.integers(0, 26, 5)) for _ in range(rng.integers(5, 30))) for _ in range(3)]
+        if i % 5 == 0:
+            lines.insert(1, f"page {i} of this long site map {common[i % 20]} end")
+        if i % 7 == 0:
+            lines.append("All rights reserved.")
+        texts.append("\n".join(lines))
+    texts += [texts[3]] * 20 + [None, "", "  \n\n1 2"] + ["All rights reserved."] * 7
+    made = []
+    for t in texts:
+        found = {}
+        for line in (t or "").split("\n"):
+            w = [re.sub(r"^\S*[0-9]\S*$", "<*>", x) for x in line.split()]
+            if w:
+                edges = [0, min(3, len(w)), *[3 + (len(w) - 3) * k // 5 for k in range(1, 6)]] if len(w) > 3 else [0, len(w)]
+                found[tuple(w)] = [(len(w), tuple(w[:3]), k, tuple(w[a:b])) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+        made.append(found)
+    held = collections.Counter(x for f in made for p in f.values() for x in p)
+    template = {}
+    for w, p in {w: p for f in made for w, p in f.items()}.items():
+        fixed = [x for x in p if held[x] >= 10]
+        if sum(y != "<*>" for x in fixed for y in x[3]) >= (len(w) if len(w) < 4 else 0.6 * len(w)):
+            template[w] = tuple(fixed)
+    per = {t or "": {w: template[w] for w in f if w in template} for t, f in zip(texts, made)}
+    often = {k for k, n in collections.Counter(k for f in per.values() for k in set(f.values())).items() if n >= 10}
+    lines_of = {t: collections.Counter(tuple(re.sub(r"^\S*[0-9]\S*$", "<*>", x) for x in line.split()) for line in t.split("\n")) for t in per}
+    evidence = {t for t, f in per.items() if sum(len(w) * lines_of[t][w] for w, k in f.items() if k in often) < 0.5 * sum(len(w) * n for w, n in lines_of[t].items())}
+    proven = {k for k, n in collections.Counter(k for t in evidence for k in set(per[t].values()) & often).items() if n >= 10}
+    want = {}
+    for t in per:
+        want[t] = "\n".join(x for x in t.split("\n") if per[t].get(tuple(re.sub(r"^\S*[0-9]\S*$", "<*>", y) for y in x.split())) not in proven)
+    rows = spark.createDataFrame(list(enumerate(texts)), "own long, text string").repartition(3)
+    got = templates.drop_recurring_lines(rows).collect()
+    assert len(proven) >= 2 and len(got) == len(texts)
+    for r in got:
+        t = texts[r["own"]]
+        assert r["text"] == (None if t is None else want[t])
+        assert r["n_dropped"] == (t or "").count("\n") - (r["text"] or "").count("\n") + (bool(t) and not r["text"] and t != r["text"])
+
+
 def test_paragraphs(spark, none):
     line = " ".join(f"w{i}" for i in range(60))
     data = [(1, "head\n" + line), (2, line.replace("w30", "other")), (3, None), (4, line + "\n" + line), (None, line)]

@@ -155,7 +155,8 @@ def drop_recurring_lines(docs: DataFrame, depth: int = 3, count: str | None = "n
     lost = recurring_lines(docs, depth, **limits).groupBy(F.col("own").alias(key)).agg(F.collect_list("pattern").alias(drop))  # lines of one text
     lost = stage(lost, "lost")
     sure, rest = split_by(docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit("")))), own, lost.select(key))
-    cleaned = rest.join(lost, F.col(own) == F.col(key), "left").withColumn(cut, without("text", drop))
+    # the list grows with the input, so it is never broadcast
+    cleaned = rest.join(lost.hint("merge"), F.col(own) == F.col(key), "left").withColumn(cut, without("text", drop))
     hit = F.col(drop).isNotNull()
     kept = [c for c in docs.columns if c != count]
     with_count = lambda rows, n: rows.withColumn(count, n) if count else rows

@@ -336,3 +336,16 @@ def test_op1_targets(spark):
     target = mixing.quotas({s: int(g["size"].sum()) for s, g in by})
     for s, g in by:
         assert abs(g["taken"].sum() - target[s]) <= 0.02 * target[s] + 50 and (g["taken"] <= 2 * g["size"]).all() and np.allclose(g["target"], target[s])
+
+
+def test_clashing_columns_and_empty_tables(spark):
+    """Columns called as the operators' own pass through, of an empty table and of repeated and null rows."""
+    schema = "doc_id long, text string, lang string, source string, own string, row string, node string, _own string, copies long, key string, at long, gone string, bad string"
+    one = (1, "a b c", "en", "x", "o", "r", "n", "_o", 5, "k", 9, "g", "b")
+    for rows, sizes in (([], (0, 0, 0, 0, 0)), ([one, one, (None,) * 13], (2, 0, 2, 3, 3))):
+        docs = spark.createDataFrame(rows, schema)
+        made = (simhash.drop_near_duplicates(docs), quality.quality_filter(docs), mixing.mix_documents(docs), templates.drop_recurring_lines(docs, count=None), pii.sanitise(docs))
+        assert all(x.columns == docs.columns for x in made)
+        got = [x.collect() for x in made]
+        assert tuple(map(len, got)) == sizes
+        assert all(tuple(r) in (one, (None,) * 13) for x in got for r in x)

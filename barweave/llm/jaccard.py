@@ -5,8 +5,8 @@ similarity asked for still share a band with the probability ``recall``.
 
 A bucket is the sets of one band.  Small ones are paired in full.  In a crowded one a lead meets all others, the same for
 all buckets that it is in; a bucket whose sets are all linked to it is done with, as only components are asked for.  In
-the others a second lead is taken, pairs that are in one component by then need no look, and what is left after
-``rounds`` rounds is paired in full across components.  Nothing is skipped: a crowded bucket whose members are neither
+the others 16 more leads each are taken, pairs that are in one component by then need no look, and what is left after
+these rounds (``leads``) is paired in full across components.  Nothing is skipped: a crowded bucket whose members are neither
 linked nor told apart by size and bits costs the square of its size.
 
 Size and bits tell pairs apart without the sets: in their parities no more differ than the sets have elements that are in
@@ -20,7 +20,7 @@ from collections.abc import Callable
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barweave.llm.common import split_by, stage
@@ -107,7 +107,7 @@ def buckets(nodes: DataFrame) -> DataFrame:
     return stage(likely.join(shared, "key").select("key", "n", "m"), "members")
 
 
-def similar_links(member: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, more: DataFrame | None = None, full: int = 8, rounds: int = 2) -> DataFrame:
+def similar_links(member: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, more: DataFrame | None = None, full: int = 8, leads: tuple[int, ...] = (1, 16)) -> DataFrame:
     """u, v: links whose components are those of all pairs that share a bucket and have the similarity.
 
     member: of ``buckets``; sets_of: node and s, the set, for a table of nodes; more: further pairs u, v to look at."""
@@ -117,19 +117,25 @@ def similar_links(member: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     if more is not None:
         meet = meet.unionByName(more.select("u", "v"))
     crowd, links = stage(member.where(F.col("n") > full).select("key", "m", F.col("m.node").alias("root")), "crowd"), None
-    for turn in range(rounds):
-        leads = stage(crowd.groupBy("key").agg(F.min_by(F.struct("m", "root"), F.xxhash64("m.node", F.lit(turn))).alias("l")), "leads")
-        led = crowd.join(leads, "key").select("key", "m", "root", F.col("l.m").alias("a"), F.col("l.root").alias("lead"))
-        pairs = led.where("m.node != a.node and root != lead").where(_possible(similarity, "a", "m")).select(F.col("a.node").alias("u"), F.col("m.node").alias("v"))
+    for turn, many in enumerate(leads):
+        # one lead is the same for all buckets that it is in, several are each bucket's own, which spreads them
+        turned = F.xxhash64("m.node", F.lit(turn)) if many == 1 else F.xxhash64("m.node", "key", F.lit(turn))
+        place = F.row_number().over(Window.partitionBy("key").orderBy(turned))
+        lead = stage(crowd.withColumn("place", place).where(F.col("place") <= many).select("key", F.col("m").alias("a"), F.col("root").alias("lead")), "leads")
+        led = crowd.join(lead, "key").where("m.node != a.node and root != lead")
+        pairs = led.where(_possible(similarity, "a", "m")).select(F.col("a.node").alias("u"), F.col("m.node").alias("v"))
         found = alike(pairs if turn else meet.unionByName(pairs), sets_of, similarity)
         links = found if links is None else links.unionByName(found)
-        # members that are not linked to the lead of a bucket leave it open
-        rest = led.where("m.node != a.node and root != lead").join(found.select(F.col("u").alias("_u"), F.col("v").alias("_v")), (F.col("a.node") == F.col("_u")) & (F.col("m.node") == F.col("_v")), "left_anti")
-        open_ = stage(rest.select("key").distinct(), "open")
-        if open_.isEmpty():
-            return links
+        if many == 1:
+            # members that are not linked to the lead of a bucket leave it open
+            rest = led.join(found.select(F.col("u").alias("_u"), F.col("v").alias("_v")), (F.col("a.node") == F.col("_u")) & (F.col("m.node") == F.col("_v")), "left_anti")
+            open_ = stage(rest.select("key").distinct(), "open")
+            if open_.isEmpty():
+                return links
+            crowd = crowd.join(open_, "key", "left_semi")
         roots = components(links).withColumnRenamed("root", "now")
-        rest = led.join(open_, "key", "left_semi").where("m.node != a.node").select("key", "m")
+        led = lead.select(F.col("key").alias("_key"), F.col("a.node").alias("_lead"))
+        rest = crowd.join(led, (F.col("key") == F.col("_key")) & (F.col("m.node") == F.col("_lead")), "left_anti").select("key", "m")
         rest = stage(rest.join(roots, F.col("m.node") == F.col("node"), "left").select("key", "m", F.coalesce("now", "m.node").alias("root")), "crowd")
         split = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
         crowd = stage(rest.join(split, "key", "left_semi"), "crowd")

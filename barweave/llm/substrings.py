@@ -33,58 +33,93 @@ from pyspark.sql import functions as F
 from barweave.llm import jaccard
 from barweave.llm.common import read_table, split_by, stage
 from barweave.llm.components import components
-from barweave.llm.simhash import shingles
-
 
 UNIT, WINDOW, GRAM = 25, 26, 3
 LONGS = 2  # of parities of a paragraph
 
 
-def _hashes(line: str, words: int) -> np.ndarray:
-    parts = shingles(line.encode("utf-8", "surrogatepass").lower().split(), words)
-    return np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in parts], "<u8"))
-
-
 def paragraphs(docs: DataFrame, words: int, min_words: int, bands: int, rows: int) -> DataFrame:
     """doc_id, own (the hash of the whole text), start, stop (code points), digest, k, bits and keys of every paragraph."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple] = {}
-        banded = jaccard.MinHash(bands, rows)
+        banded, places = jaccard.MinHash(bands, rows), Words()
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                out: list[list] = [[] for _ in kinds]
-                fresh: dict[bytes, list[bytes]] = {}
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    at, own = 0, _text_hash(text)
-                    for line in (text or "").split("\n"):
-                        if line.count(" ") + line.count("\t") + 1 >= min_words and len(found := line.encode("utf-8", "surrogatepass").lower().split()) >= min_words:
-                            digest = xxhash.xxh3_128_digest(b" ".join(found))
-                            if digest not in known and digest not in fresh:
-                                fresh[digest] = shingles(found, words)
-                            for column, value in zip(out, (doc, own, at, at + len(line), digest)):
-                                column.append(value)
-                        at += len(line) + 1
-                if len(known) > 50_000:
-                    known = {d: known[d] for d in set(out[4]) if d in known}
-                if fresh:
-                    # each line's different shingles, one line after the other
-                    raw = np.array([xxhash.xxh64_intdigest(x, 42) for parts in fresh.values() for x in parts], "<u8")
-                    line_of = np.repeat(np.arange(len(fresh)), [len(x) for x in fresh.values()])
-                    order = np.lexsort((raw, line_of))
-                    raw, line_of = raw[order], line_of[order]
-                    new = np.append(True, (raw[1:] != raw[:-1]) | (line_of[1:] != line_of[:-1]))
-                    raw, ends = raw[new], np.cumsum(np.bincount(line_of[new], minlength=len(fresh)))
-                    known.update(zip(fresh, zip(np.diff(ends, prepend=0).tolist(), jaccard.parities_of_many(raw, ends, LONGS).tolist(), banded.many(raw, ends).tolist())))
-                more = [known[d] for d in out[4]]
-                columns = [pa.array(c, t) for c, t in zip(out, kinds)] + [pa.array([x[i] for x in more], t) for i, t in enumerate((pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "own", "start", "stop", "digest", "k", "bits", "keys"])
+        for ids, texts in _chunks(batches):
+            raw, ends = _joined(texts)
+            starts, stops, hashes = places.of(raw)
+            breaks = np.flatnonzero(raw == 10)
+            # the words of each line, a text's last line ends at the break that follows the text
+            upto = np.searchsorted(starts, breaks)
+            counts = np.diff(upto, prepend=0)
+            long = np.flatnonzero(counts >= min_words)
+            upto, counts = upto[long], counts[long]
+            begin = np.append(0, breaks + 1)[long]
+            text_of = np.searchsorted(ends, begin, side="right")
+            points = _points(raw)
+            zero = points[np.append(0, ends)[text_of]]
+            digests = [xxhash.xxh3_128_digest(b" ".join(raw[i:j].tobytes().lower().split())) for i, j in zip(starts[upto - counts].tolist(), stops[upto - 1].tolist())]
+            fresh: dict[bytes, int] = {}
+            for i, digest in enumerate(digests):
+                if digest not in known:
+                    fresh.setdefault(digest, i)
+            if len(known) > 50_000:
+                known = {d: known[d] for d in set(digests) if d in known}
+            if fresh:
+                chosen = np.fromiter(fresh.values(), np.int64, len(fresh))
+                found, sizes = _shingle_sets(places, hashes, upto[chosen] - counts[chosen], counts[chosen], words)
+                known.update(zip(fresh, zip(np.diff(sizes, prepend=0).tolist(), jaccard.parities_of_many(found, sizes, LONGS).tolist(), banded.many(found, sizes).tolist())))
+            own = [_text_hash(t) for t in texts]
+            at = text_of.tolist()
+            out = ([ids[t] for t in at], [own[t] for t in at], points[begin] - zero, points[breaks[long]] - zero, digests)
+            more = [known[d] for d in digests]
+            columns = [pa.array(c, t) for c, t in zip(out, kinds)] + [pa.array([x[i] for x in more], t) for i, t in enumerate((pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "own", "start", "stop", "digest", "k", "bits", "keys"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, "doc_id bigint, own bigint, start bigint, stop bigint, digest binary, k int, bits array<bigint>, keys array<bigint>")
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], size: int = 1 << 18) -> Iterator[tuple[list, list]]:
+    """Ids and texts of rows in sequence, of about ``size`` letters or one longer text."""
+    ids, texts, held = [], [], 0
+    for batch in batches:
+        for low in range(0, batch.num_rows, 200):
+            part = batch.slice(low, 200)
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                if texts and held + len(text or "") > size:
+                    yield ids, texts
+                    ids, texts, held = [], [], 0
+                ids.append(doc)
+                texts.append(text)
+                held += len(text or "")
+    if texts:
+        yield ids, texts
+
+
+def _joined(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 of the texts, each with a line break after it, and where each ends, the break included."""
+    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    return np.frombuffer(b"\n".join([*parts, b""]), np.uint8), np.cumsum([len(x) + 1 for x in parts])
+
+
+def _points(raw: np.ndarray) -> np.ndarray:
+    """Code points before each byte, and before the end."""
+    return np.append(0, np.cumsum((raw & 0xC0) != 0x80))
+
+
+def _shingle_sets(places: Words, hashes: np.ndarray, first: np.ndarray, counts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingles, sorted, of runs of counts words from first, one run after the other, and where each ends."""
+    number = np.maximum(counts - words + 1, 1)
+    run_of = np.repeat(np.arange(len(first)), number)
+    at = np.arange(len(run_of)) - np.repeat(np.cumsum(number) - number, number) + first[run_of]
+    raw = places.runs(hashes, at, np.minimum(at + words, (first + counts)[run_of]))
+    order = np.argsort(raw)
+    order = order[np.argsort(run_of[order], kind="stable")]
+    raw, run_of = raw[order], run_of[order]
+    new = np.append(True, (raw[1:] != raw[:-1]) | (run_of[1:] != run_of[:-1]))
+    return raw[new], np.cumsum(np.bincount(run_of[new], minlength=len(first)))
+
+
 def _text_hash(text: str | None) -> int:
     """As xxhash64 of Spark."""
     made = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), 42)
@@ -92,11 +127,15 @@ def _text_hash(text: str | None) -> int:
 
 
 def anchors(grams: np.ndarray) -> np.ndarray:
-    """The places of the least of every WINDOW hashes in sequence, the first of equal ones."""
+    """For every WINDOW hashes in sequence the place of the least, the first of equal ones."""
     if len(grams) < WINDOW:
         return np.zeros(0, np.int64)
-    seen = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-    return np.unique(seen.argmin(1) + np.arange(len(seen)))
+    least, at, held = grams, np.arange(len(grams)), 1
+    while held < WINDOW:
+        step = min(held, WINDOW - held)
+        later = least[step:] < least[:-step]
+        least, at, held = np.where(later, least[step:], least[:-step]), np.where(later, at[step:], at[:-step]), held + step
+    return at
 
 
 class Words:
@@ -140,31 +179,29 @@ def units(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                out: list[list] = [[np.zeros(0, np.int64)] for _ in range(6)]
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-                    if len(raw) < 2 * (UNIT + WINDOW):
-                        continue
-                    starts, stops, hashes = words.of(raw)
-                    if len(hashes) < UNIT + WINDOW - 1:
-                        continue
-                    at = anchors(words.runs(hashes, np.arange(len(hashes) - GRAM + 1), np.arange(GRAM, len(hashes) + 1)))
-                    at = at[at + UNIT <= len(hashes)]
-                    points = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
-                    first, last = starts[at], stops[at + UNIT - 1]
-                    breaks = np.flatnonzero(raw == 10)
-                    line = np.searchsorted(breaks, first)
-                    begin = np.append(0, points[breaks] + 1)[line]
-                    columns = (points[first], points[last], np.where(line == np.searchsorted(breaks, last), begin, -1), (words.runs(hashes, at, at + UNIT) >> np.uint64(1)).astype(np.int64))
-                    out[0].append([doc] * len(at))
-                    out[1].append(np.full(len(at), _text_hash(text)))
-                    for column, values in zip(out[2:], columns):
-                        column.append(values)
-                docs_ = pa.array([d for x in out[0] for d in x], pa.int64())
-                yield pa.RecordBatch.from_arrays([docs_, *[pa.array(np.concatenate(c), pa.int64()) for c in out[1:]]], ["doc_id", "own", "start", "stop", "line", "unit"])
+        for ids, texts in _chunks(batches):
+            raw, ends = _joined(texts)
+            starts, stops, hashes = words.of(raw)
+            text_of = np.searchsorted(ends, starts, side="right")
+            # windows of one text alone
+            least = anchors(words.runs(hashes, np.arange(max(len(hashes) - GRAM + 1, 0)), np.arange(GRAM, max(len(hashes) + 1, GRAM))))
+            begins = np.arange(len(least))
+            at = np.unique(least[text_of[begins] == text_of[begins + WINDOW + GRAM - 2]])
+            at = at[at + UNIT <= len(hashes)]
+            enough = np.bincount(text_of, minlength=len(texts)) >= UNIT + WINDOW - 1
+            at = at[(text_of[at] == text_of[at + UNIT - 1]) & enough[text_of[at]]]
+            text_of = text_of[at]
+            points = _points(raw)
+            zero = points[np.append(0, ends)[text_of]]
+            first, last = starts[at], stops[at + UNIT - 1]
+            breaks = np.flatnonzero(raw == 10)
+            line = np.searchsorted(breaks, first)
+            begin = points[np.append(0, breaks + 1)[line]] - zero
+            own = [_text_hash(t) for t in texts]
+            where = text_of.tolist()
+            hashed = (words.runs(hashes, at, at + UNIT) >> np.uint64(1)).astype(np.int64)
+            columns = ([ids[t] for t in where], [own[t] for t in where], points[first] - zero, points[last] - zero, np.where(line == np.searchsorted(breaks, last), begin, -1), hashed)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "own", "start", "stop", "line", "unit"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, "doc_id bigint, own bigint, start bigint, stop bigint, line bigint, unit bigint")
 
@@ -203,16 +240,18 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     texts = split_by(own, "row", grouped.select("_row"))[1].join(grouped, F.col("row") == F.col("_row")).select("text", "want")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = Words()
         for batch in batches:
             for low in range(0, batch.num_rows, 200):
                 part = batch.slice(low, 200)
                 nodes, sets = [], []
                 for text, want in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     for w in want:
-                        line = (text or "")[w["start"] : w["stop"]]
-                        if xxhash.xxh3_128_digest(b" ".join(line.encode("utf-8", "surrogatepass").lower().split())) == w["digest"]:
+                        line = (text or "")[w["start"] : w["stop"]].encode("utf-8", "surrogatepass")
+                        if xxhash.xxh3_128_digest(b" ".join(line.lower().split())) == w["digest"]:
+                            hashes = places.of(np.frombuffer(line, np.uint8))[2]
                             nodes.append(w["node"])
-                            sets.append(_hashes(line, words).view("<i8"))
+                            sets.append(_shingle_sets(places, hashes, np.array([0]), np.array([len(hashes)]), words)[0].view("<i8"))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
 
     return texts.mapInArrow(take, "node bigint, s array<bigint>").dropDuplicates(["node"])

@@ -98,3 +98,20 @@ def test_passage_inside_longer_lines(spark):
     got = substrings.duplicate_paragraphs(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["cluster_id"], r["removed"]) for r in got} == {(1, 1, False), (2, 1, True), (3, 1, True)}
     assert all(set(texts[r["doc_id"]][r["start"] : r["stop"]].split()) <= set(words) and len(texts[r["doc_id"]][r["start"] : r["stop"]].split()) >= 25 for r in got)
+
+
+def test_anchors_and_shingle_sets_in_whole_arrays():
+    """Ties, runs shorter than a shingle and repeats of one, against loops."""
+    rng = np.random.default_rng(15)
+    for n in (0, 25, 26, 27, 300):
+        grams = rng.integers(0, 12, n).astype(np.uint64)
+        want = [i + int(np.argmin(grams[i : i + substrings.WINDOW])) for i in range(n - substrings.WINDOW + 1)]
+        assert substrings.anchors(grams).tolist() == want
+    text = " ".join(f"{'aB'[x]}" for x in rng.integers(0, 2, 200)).encode()
+    places = substrings.Words()
+    hashes = places.of(np.frombuffer(text, np.uint8))[2]
+    words = text.lower().split()
+    first, counts = np.array([0, 3, 60, 199]), np.array([3, 57, 139, 1])
+    found, ends = substrings._shingle_sets(places, hashes, first, counts, 5)
+    assert np.diff(ends, prepend=0).tolist() == [len({tuple(words[k : min(k + 5, f + c)]) for k in range(f, f + max(c - 4, 1))}) for f, c in zip(first, counts)]
+    assert all((np.diff(found[i:j].astype(object)) > 0).all() for i, j in zip(np.append(0, ends), ends))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barweave.llm.common import split_by, stage
-from barweave.llm.components import components
+from barweave.llm.components import rooted, stars
 
 
 def tune(similarity: float, signature: int, recall: float) -> tuple[int, int]:
@@ -133,7 +133,8 @@ def similar_links(member: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
             if open_.isEmpty():
                 return links
             crowd = crowd.join(open_, "key", "left_semi")
-        roots = components(links).withColumnRenamed("root", "now")
+        links = stars(links)
+        roots = rooted(links).withColumnRenamed("root", "now")
         led = lead.select(F.col("key").alias("_key"), F.col("a.node").alias("_lead"))
         rest = crowd.join(led, (F.col("key") == F.col("_key")) & (F.col("m.node") == F.col("_lead")), "left_anti").select("key", "m")
         rest = stage(rest.join(roots, F.col("m.node") == F.col("node"), "left").select("key", "m", F.coalesce("now", "m.node").alias("root")), "crowd")

@@ -49,7 +49,7 @@ def unused(taken: list[str], name: str) -> str:
 
 
 def split_by(rows: DataFrame, key: str, keys: DataFrame, log_bits: int = 26) -> tuple[DataFrame, DataFrame]:
-    """rows whose long ``key`` is surely none of the longs in ``keys`` (one column), and all others.
+    """rows whose ``key`` is surely none of those in ``keys`` (one column, not null), and all others.
 
     keys become a bitmap of at most 2**log_bits bits (8 MB), whatever their number, which is broadcast.  The more keys, the
     more rows may hold one; so this spares exchanges of rows and decides nothing: those that may hold a key are joined."""
@@ -64,6 +64,20 @@ def split_by(rows: DataFrame, key: str, keys: DataFrame, log_bits: int = 26) ->
     return joined.where(~held).drop(at, part, maps), joined.where(held).drop(at, part, maps)
 
 
+def join_spread(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, parts: int = 32) -> DataFrame:
+    """rows with the columns of table, whose key is unique, by a left join on the key.
+
+    hot: the keys that very many rows hold.  Rows that may hold one meet copies of the table's rows, dealt over parts, so that
+    a key's rows are no one task's."""
+    part = unused([*rows.columns, *table.columns], "part")
+    hot = stage(hot, "hot")
+    rest, many = split_by(rows, key, hot)
+    one, copied = split_by(table, key, hot)
+    many = many.withColumn(part, F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int"))
+    copied = copied.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return rest.join(one, key, "left").unionByName(many.join(copied, [key, part], "left").drop(part))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

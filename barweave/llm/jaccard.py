@@ -107,10 +107,11 @@ def buckets(nodes: DataFrame) -> DataFrame:
     return stage(likely.join(shared, "key").select("key", "n", "m"), "members")
 
 
-def similar_links(member: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, more: DataFrame | None = None, full: int = 8, leads: tuple[int, ...] = (1, 16)) -> DataFrame:
+def similar_links(member: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, more: DataFrame | None = None, full: int = 8, leads: tuple[int, ...] = (1, 16), decide: Callable[..., DataFrame] = alike) -> DataFrame:
     """u, v: links whose components are those of all pairs that share a bucket and have the similarity.
 
-    member: of ``buckets``; sets_of: node and s, the set, for a table of nodes; more: further pairs u, v to look at."""
+    member: of ``buckets``; sets_of: node and s, the set, for a table of nodes; more: further pairs u, v to look at; decide:
+    which of some pairs are similar, called like ``alike``."""
     small = member.where(F.col("n") <= full)
     pairs = small.select("key", F.col("m").alias("a")).join(small.select("key", F.col("m").alias("b")), "key").where("a.node < b.node")
     meet = pairs.where(_possible(similarity, "a", "b")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
@@ -124,7 +125,7 @@ def similar_links(member: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
         lead = stage(crowd.withColumn("place", place).where(F.col("place") <= many).select("key", F.col("m").alias("a"), F.col("root").alias("lead")), "leads")
         led = crowd.join(lead, "key").where("m.node != a.node and root != lead")
         pairs = led.where(_possible(similarity, "a", "m")).select(F.col("a.node").alias("u"), F.col("m.node").alias("v"))
-        found = alike(pairs if turn else meet.unionByName(pairs), sets_of, similarity)
+        found = decide(pairs if turn else meet.unionByName(pairs), sets_of, similarity)
         links = found if links is None else links.unionByName(found)
         if many == 1:
             # members that are not linked to the lead of a bucket leave it open
@@ -144,4 +145,4 @@ def similar_links(member: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
             return links
     pairs = crowd.select("key", F.col("m").alias("a"), F.col("root").alias("aroot")).join(crowd.select("key", F.col("m").alias("b"), "root"), "key")
     pairs = pairs.where("a.node < b.node and root != aroot").where(_possible(similarity, "a", "b"))
-    return links.unionByName(alike(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), sets_of, similarity))
+    return links.unionByName(decide(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), sets_of, similarity))

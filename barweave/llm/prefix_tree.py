@@ -22,7 +22,7 @@ empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -141,6 +141,7 @@ def sets_of(docs: DataFrame, asked: DataFrame, n: int, classes: np.ndarray) -> D
                 sets = [gram_set(text.as_py(), n, shared.value, known) for text in batch.column(0).slice(low, 256)]
                 yield pa.record_batch([pa.array([_node(s) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
 
+    asked = stage(asked, "asked")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     likely = split_by(rows, "doc_id", asked.where("doc_id is not null").select("doc_id").distinct())[1].unionByName(rows.where("doc_id is null"))
     return likely.select("text").mapInArrow(take, "node binary, s array<bigint>").join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"])
@@ -181,14 +182,16 @@ def linked(own: np.ndarray, others: list[np.ndarray], percent: int) -> list[bool
     return out
 
 
-def tree_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs u, v of nodes (one that is in very many as u) those whose sets are similar."""
+def tree_links(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Of the pairs u, v of nodes (one that is in very many as u) those whose sets are similar; sets: node and s, the ordered
+    set, for a table of nodes."""
     pairs = stage(pairs.select("u", "v").distinct(), "meet")
+    held = sets(stage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "asked"))
     crowded = pairs.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > OFTEN).select("u")
     few, many = split_by(pairs, "u", stage(crowded, "crowded"))
     dealt = few.withColumn("part", F.lit(0)).unionByName(many.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(64)).cast("int")))
     rows = dealt.unionByName(dealt.select("u", F.col("u").alias("v"), "part").distinct())
-    rows = rows.join(sets.select(F.col("node").alias("v"), "s"), "v")
+    rows = rows.join(held.select(F.col("node").alias("v"), "s"), "v")
     rows = rows.repartition("u", "part").sortWithinPartitions("u", "part", F.col("v") != F.col("u"), "v").select("u", "part", "v", "s")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,9 +233,8 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     nodes = rows.where("k > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     nodes = stage(nodes, "nodes")
     member = jaccard.buckets(rows.where("k > 0").select("node", "k", "bits", "keys").dropDuplicates(["node"]))
-    asked = stage(nodes.join(member.select("m.node").distinct(), "node", "left_semi").select("node", "doc_id"), "asked")
-    sets = stage(sets_of(docs, asked, n, classes), "sets")
-    links = jaccard.similar_links(member, lambda _: sets, percent / 100, decide=lambda pairs, of, _: tree_links(pairs, of(None), percent))
+    sets = lambda asked: sets_of(docs, nodes.join(asked, "node", "left_semi").select("node", "doc_id"), n, classes)
+    links = jaccard.similar_links(member, sets, percent / 100, decide=lambda pairs, of, _: tree_links(pairs, of, percent))
     roots = components(links)
     named = stage(nodes.join(roots, "node").select("node", "doc_id", "root"), "rooted")
     groups = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))

@@ -6,7 +6,7 @@ counts need not be exact, and they are of one size whatever the corpus.
 
 Similar sets share one of their first ``n - ceil(similarity * n) + 1`` n-grams.  These are the branches at the root of the tree
 of all sets, one key each, and a branch that only one set has ends there.  Sets that meet in a branch are told apart by
-their sizes and parities (``jaccard.py``).  The sets that a set may be linked to are streamed to a task in chunks, and a
+their sizes and parities (``jaccard.py``; long sets have finer ones besides).  The sets that a set may be linked to are streamed to a task in chunks, and a
 chunk makes a tree: it is walked with the set in hand, what is common down to a node is counted once for all sets below it,
 and a subtree is left as soon as what remains of the sets below and in hand cannot reach the overlap asked for.
 
@@ -38,6 +38,8 @@ from barweave.llm.components import components
 GROUPS = 18
 #: N-grams of a chunk of sets that one tree holds (or one longer set).
 CHUNK = 1 << 18
+#: Sets of more n-grams have parities of about as many classes besides.
+LONG = 1000
 #: Rows or nodes of one key from which on they are spread.
 OFTEN = 1000
 
@@ -104,8 +106,40 @@ def _node(found: np.ndarray) -> bytes:
     return hashlib.md5(found.tobytes(), usedforsecurity=False).digest()
 
 
+def wide_parities(found: np.ndarray) -> bytes:
+    """Whether an odd number of the set is in each class; classes are a power of two, about as many as the set has values."""
+    classes = 1 << (len(found) - 1).bit_length()
+    odd = np.bincount((found.view(np.uint64) >> np.uint64(8)).astype(np.int64) & (classes - 1), minlength=classes) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """In how many classes two sets differ, so that as many values at least are in one alone; the finer one is folded."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def not_apart(pairs: DataFrame, long: DataFrame, percent: int) -> DataFrame:
+    """pairs u, v without those of long sets (node, k, wide) that differ in more classes than similar ones can."""
+    side = lambda name: long.select(F.col("node").alias(name), F.col("k").alias(f"k_{name}"), F.col("wide").alias(f"wide_{name}"))
+    held = pairs.join(side("u"), "u", "left").join(side("v"), "v", "left")
+    both = F.col("k_u").isNotNull() & F.col("k_v").isNotNull()
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            differ = [apart(a.as_py(), b.as_py()) for a, b in zip(batch.column(4), batch.column(5))]
+            yes = (100 + percent) * np.array(differ, np.int64) <= (100 - percent) * sizes.astype(np.int64)
+            yield batch.select([0, 1]).filter(pa.array(yes))
+
+    near = held.where(both).select("u", "v", "k_u", "k_v", "wide_u", "wide_v").mapInArrow(keep, "u binary, v binary")
+    return held.where(~both).select("u", "v").unionByName(near)
+
+
 def described(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """doc_id, node (digest of the set), k (its size), bits (parities) and keys (branches) of every row; null where k is 0."""
+    """doc_id, node (digest of the set), k (its size), bits (parities), wide (of long sets) and keys (branches) of every row;
+    null where k is 0."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,12 +156,13 @@ def described(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> Dat
                         pa.array([_node(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array([b if len(s) else None for s, b in zip(sets, bits)], pa.list_(pa.int64())),
+                        pa.array([wide_parities(s) if len(s) > LONG else None for s in sets], pa.binary()),
                         pa.array([s[: len(s) + (-percent * len(s) // 100) + 1] if len(s) else None for s in sets], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "node", "k", "bits", "keys"],
+                    names=["doc_id", "node", "k", "bits", "wide", "keys"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(of, "doc_id bigint, node binary, k int, bits array<bigint>, keys array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(of, "doc_id bigint, node binary, k int, bits array<bigint>, wide binary, keys array<bigint>")
 
 
 def sets_of(docs: DataFrame, asked: DataFrame, n: int, classes: np.ndarray) -> DataFrame:
@@ -182,10 +217,10 @@ def linked(own: np.ndarray, others: list[np.ndarray], percent: int) -> list[bool
     return out
 
 
-def tree_links(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def tree_links(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], long: DataFrame, percent: int) -> DataFrame:
     """Of the pairs u, v of nodes (one that is in very many as u) those whose sets are similar; sets: node and s, the ordered
     set, for a table of nodes."""
-    pairs = stage(pairs.select("u", "v").distinct(), "meet")
+    pairs = stage(not_apart(stage(pairs.select("u", "v").distinct(), "pairs"), long, percent), "meet")
     held = sets(stage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "asked"))
     crowded = pairs.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > OFTEN).select("u")
     few, many = split_by(pairs, "u", stage(crowded, "crowded"))
@@ -234,7 +269,8 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     nodes = stage(nodes, "nodes")
     member = jaccard.buckets(rows.where("k > 0").select("node", "k", "bits", "keys").dropDuplicates(["node"]))
     sets = lambda asked: sets_of(docs, nodes.join(asked, "node", "left_semi").select("node", "doc_id"), n, classes)
-    links = jaccard.similar_links(member, sets, percent / 100, decide=lambda pairs, of, _: tree_links(pairs, of, percent))
+    long = stage(rows.where("wide is not null").select("node", "k", "wide").dropDuplicates(["node"]), "long")
+    links = jaccard.similar_links(member, sets, percent / 100, decide=lambda pairs, of, _: tree_links(pairs, of, long, percent))
     roots = components(links)
     named = stage(nodes.join(roots, "node").select("node", "doc_id", "root"), "rooted")
     groups = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))

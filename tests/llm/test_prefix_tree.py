@@ -70,6 +70,29 @@ def test_crowded_branches(spark):
     assert joined(spark, texts) == brute(texts)
 
 
+def test_long_sets_differ_in_no_more_classes_than_values():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        base = rng.integers(0, 1 << 62, rng.integers(1001, 3000))
+        a, b = np.unique(base[: rng.integers(900, len(base) + 1)]), np.unique(np.append(base[rng.integers(0, 100) :], rng.integers(0, 1 << 62, 50)))
+        differ = prefix_tree.apart(prefix_tree.wide_parities(a), prefix_tree.wide_parities(b))
+        assert differ <= len(np.setxor1d(a, b))
+    other = rng.integers(0, 1 << 62, 2000)
+    assert prefix_tree.apart(prefix_tree.wide_parities(base), prefix_tree.wide_parities(other)) > 600
+
+
+def test_long_texts(spark):
+    """Groups of long texts on both sides of 0.9 that share many n-grams with all others."""
+    rng, texts = random.Random(8), {}
+    for i in range(12):
+        base = [f"w{rng.randrange(14)}" for _ in range(rng.randrange(1500, 4000))]
+        for k in range(4):
+            texts[100 * i + k] = variants(rng, base, k * len(base) // 90)
+    want = brute(texts)
+    assert 12 < len(set(c for _, c in want.values())) < len(texts) - 5
+    assert joined(spark, texts) == want
+
+
 def test_rows_that_repeat_ids_and_null_ids(spark):
     rows = [(5, "a b c d"), (5, "x y z"), (3, "x y z"), (None, "a b c d"), (None, "only null"), (None, None), (9, None)]
     got = prefix_tree.similar_sets(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -4,8 +4,8 @@ A text's set of n-grams is an array of longs in one order that holds for all tex
 of 2**18 groups of n-grams over the whole corpus, then its hash.  Rare n-grams come first.  Any such order is right, so the
 counts need not be exact, and they are of one size whatever the corpus.
 
-Similar sets share one of their first ``n - ceil(similarity * n) + 1`` n-grams.  These are the branches at the root of the tree
-of all sets, one key each, and a branch that only one set has ends there.  Sets that meet in a branch are told apart by
+Similar sets share one of their first ``n - ceil(similarity * n) + 1`` n-grams.  These, by size classes, are the branches at the
+root of the tree of all sets, one key each, and a branch that only one set has ends there.  Sets that meet in a branch are told apart by
 their sizes and parities (``jaccard.py``; long sets have finer ones besides).  The sets that a set may be linked to are streamed to a task in chunks, and a
 chunk makes a tree: it is walked with the set in hand, what is common down to a node is counted once for all sets below it,
 and a subtree is left as soon as what remains of the sets below and in hand cannot reach the overlap asked for.
@@ -137,6 +137,17 @@ def not_apart(pairs: DataFrame, long: DataFrame, percent: int) -> DataFrame:
     return held.where(~both).select("u", "v").unionByName(near)
 
 
+def branches(found: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of which similar sets share one: the set's first n-grams, by size classes.
+
+    Sizes of similar sets are less than a step of the logarithm apart.  A class is two steps wide, and sets in its upper
+    half are in the next class too."""
+    first = found[: len(found) + (-percent * len(found) // 100) + 1].view(np.uint64)
+    step = int(np.log(len(found)) / (np.log(100 / percent) * (1 + 1e-9))) if percent < 100 else 2 * len(found)
+    classes = [step // 2, step // 2 + 1] if step % 2 else [step // 2]
+    return np.concatenate([(first ^ np.uint64(c + 1)) * np.uint64(0x9E3779B97F4A7C15) for c in classes]).view(np.int64)
+
+
 def described(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:
     """doc_id, node (digest of the set), k (its size), bits (parities), wide (of long sets) and keys (branches) of every row;
     null where k is 0."""
@@ -157,7 +168,7 @@ def described(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> Dat
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array([b if len(s) else None for s, b in zip(sets, bits)], pa.list_(pa.int64())),
                         pa.array([wide_parities(s) if len(s) > LONG else None for s in sets], pa.binary()),
-                        pa.array([s[: len(s) + (-percent * len(s) // 100) + 1] if len(s) else None for s in sets], pa.list_(pa.int64())),
+                        pa.array([branches(s, percent) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     ],
                     names=["doc_id", "node", "k", "bits", "wide", "keys"],
                 )
@@ -269,8 +280,9 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     nodes = stage(nodes, "nodes")
     member = jaccard.buckets(rows.where("k > 0").select("node", "k", "bits", "keys").dropDuplicates(["node"]))
     sets = lambda asked: sets_of(docs, nodes.join(asked, "node", "left_semi").select("node", "doc_id"), n, classes)
+    # few leads at first: later ones need to meet only sets of other components
     long = stage(rows.where("wide is not null").select("node", "k", "wide").dropDuplicates(["node"]), "long")
-    links = jaccard.similar_links(member, sets, percent / 100, decide=lambda pairs, of, _: tree_links(pairs, of, long, percent))
+    links = jaccard.similar_links(member, sets, percent / 100, leads=(1, 2, 4, 8), decide=lambda pairs, of, _: tree_links(pairs, of, long, percent))
     roots = components(links)
     named = stage(nodes.join(roots, "node").select("node", "doc_id", "root"), "rooted")
     groups = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))

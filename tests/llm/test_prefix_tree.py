@@ -117,6 +117,18 @@ def test_tree_walk_finds_what_pairs_say(percent):
     assert prefix_tree.linked(own, [], percent) == []
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90, 100])
+def test_similar_sets_share_a_branch(percent):
+    """A set and one that has as many more or less as may be, of every size."""
+    for k in range(1, 400):
+        whole = np.arange(1, 2 * k + 3)
+        least = max(1, -(-percent * k // 100))
+        for few in (k, k - 1, least, least + 1):
+            if 100 * few >= percent * k and 0 < few <= k:
+                a, b = prefix_tree.branches(whole[:k], percent), prefix_tree.branches(whole[k - few : k], percent)
+                assert np.intersect1d(a, b).size, (k, few)
+
+
 def test_join_spread_is_a_left_join(spark):
     rows = spark.createDataFrame([(i % 7 if i % 11 else None, i) for i in range(500)], "k long, part long")
     table = spark.createDataFrame([(i, f"v{i}") for i in range(5)], "k long, v string")

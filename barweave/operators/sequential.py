@@ -87,23 +87,3 @@ def simulate(bars: DataFrame, schedule: DataFrame, cash: str = "10000", fee: str
 
     joined = bars.join(schedule, ["symbol", "candle_index"]).select("symbol", "candle_index", "open", "high", "low", "close", "volume", "action")
     return joined.groupBy("symbol").applyInPandas(book, FILLS)
-
-
-def platt(scores: DataFrame) -> DataFrame:
-    """Slope and intercept of a logistic calibration of raw scores (fold, score, positive), by Newton steps."""
-    import numpy as np
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = group["score"].to_numpy(float), group["positive"].to_numpy(float)
-        a, b = 0.0, float(np.log(max(y.sum(), 1e-12) / max((1 - y).sum(), 1e-12)))
-        for _ in range(100):
-            p = 1 / (1 + np.exp(-(a * x + b)))
-            w, e = p * (1 - p), y - p
-            h = np.array([[(w * x * x).sum() + 1e-12, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-12]])
-            delta = np.linalg.solve(h, np.array([(e * x).sum(), e.sum()]))
-            a, b = a + delta[0], b + delta[1]
-            if np.abs(delta).max() <= 1e-12:
-                break
-        return pd.DataFrame({"fold": [group["fold"].iloc[0]], "slope": [a], "intercept": [b], "n": [len(x)]})
-
-    return scores.groupBy("fold").applyInPandas(fit, "fold string, slope double, intercept double, n bigint")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barweave.functions import features as ft
-from barweave.operators import sequential
+from barweave.operators import sequential, specialists
 from barweave.sources import bars as b
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,9 +148,9 @@ net AS (SELECT *, (exit_fill * 0.999 - entry_fill * 1.001) / nullif(entry_fill *
 HURDLE = 0.006
 
 
-def _labels(spark, d):
+def _labels(spark, d, seg=None):
     w = ft.series()
-    lab = _seg(spark, d).select("symbol", "candle_index", F.lead("open", 1).over(w).alias("entry_open"), F.lead("open", 4).over(w).alias("exit_open")).where("exit_open IS NOT NULL AND entry_open > 0 AND exit_open > 0")
+    lab = (_seg(spark, d) if seg is None else seg).select("symbol", "candle_index", F.lead("open", 1).over(w).alias("entry_open"), F.lead("open", 4).over(w).alias("exit_open")).where("exit_open IS NOT NULL AND entry_open > 0 AND exit_open > 0")
     fills = lab.withColumns({
         "entry_fill": F.expr("cast(ceil(cast(entry_open as decimal(18,6)) * 1.0015BD * 100BD) as double) / 100"),
         "exit_fill": F.expr("cast(floor(cast(exit_open as decimal(18,6)) * 0.9985BD * 100BD) as double) / 100"),
@@ -198,11 +198,16 @@ _REG = f"""{BASE}, q AS (SELECT symbol, candle_index, (rv6) / nullif(rv42, 0) AS
 regime AS (SELECT symbol, candle_index, CASE WHEN vol >= 1.75 OR trr >= 2.5 THEN 'UNSTABLE' WHEN strength >= 1.0 AND vol < 1.5 AND streak >= 3 THEN 'TRENDING' WHEN strength <= 0.5 AND vol <= 1.25 THEN 'RANGING' ELSE 'INDETERMINATE' END AS state FROM q WHERE vol IS NOT NULL AND trr IS NOT NULL AND strength IS NOT NULL)"""
 
 
+def regime_of(vol, trr, strength, streak):
+    """The state that four features (columns) say."""
+    vol, trr, strength, streak = map(F.col, (vol, trr, strength, streak))
+    return F.when((vol >= 1.75) | (trr >= 2.5), "UNSTABLE").when((strength >= 1) & (vol < 1.5) & (streak >= 3), "TRENDING").when((strength <= 0.5) & (vol <= 1.25), "RANGING").otherwise("INDETERMINATE")
+
+
 def _regimes(spark, d):
     made = ft.registry()
     q = ft.base(_seg(spark, d)).select("symbol", "candle_index", made["volatility_ratio_6_42"].alias("vol"), made["true_range_ratio_24"].alias("trr"), made["trend_strength_12_42_atr24"].alias("strength"), "streak").dropna()
-    state = F.when((F.col("vol") >= 1.75) | (F.col("trr") >= 2.5), "UNSTABLE").when((F.col("strength") >= 1) & (F.col("vol") < 1.5) & (F.col("streak") >= 3), "TRENDING").when((F.col("strength") <= 0.5) & (F.col("vol") <= 1.25), "RANGING").otherwise("INDETERMINATE")
-    return q.select("symbol", "candle_index", state.alias("state"))
+    return q.select("symbol", "candle_index", regime_of("vol", "trr", "strength", "streak").alias("state"))
 
 
 query("regimes", f"{_REG} SELECT * FROM regime")(_regimes)
@@ -385,7 +390,22 @@ def platt_apply(spark, d):
     return _scores(spark, d).select("fold", "candle_index", _r(F.col("p")).alias("p"))
 
 
-query("platt_fit")(lambda spark, d: sequential.platt(_scores(spark, d).select("fold", "score", "positive")))
+@query("platt_fit", f"""{_SC.replace("WITH ", "WITH RECURSIVE ", 1)}, fit AS (SELECT fold, score, positive::INT AS y FROM sc WHERE fold IN (SELECT fold FROM sc GROUP BY fold HAVING count(*) >= 200 AND sum(positive::INT) >= 40 AND sum((NOT positive)::INT) >= 40)),
+newton AS (
+ SELECT fold, 0 AS k, 0.0::DOUBLE AS a, ln(sum(y) / sum(1 - y))::DOUBLE AS b FROM fit GROUP BY fold
+ UNION ALL
+ SELECT fold, k + 1, a - (gs * ii - gi * si) / (ss * ii - si * si), b - (gi * ss - gs * si) / (ss * ii - si * si) FROM (
+  SELECT fold, k, a, b, sum((p - y) * score) AS gs, sum(p - y) AS gi, sum(p * (1 - p) * score * score) + 1e-12 AS ss, sum(p * (1 - p) * score) AS si, sum(p * (1 - p)) + 1e-12 AS ii
+  FROM (SELECT n.fold, n.k, n.a, n.b, f.score, f.y, 1 / (1 + exp(-(n.a * f.score + n.b))) AS p FROM newton n JOIN fit f ON n.fold = f.fold WHERE n.k < 12) GROUP BY fold, k, a, b))
+SELECT c.fold, c.n, c.n_positive, round(a, 6) AS slope, round(b, 6) AS intercept FROM (SELECT fold, count(*) AS n, sum(positive::INT)::BIGINT AS n_positive FROM sc GROUP BY fold) c LEFT JOIN (SELECT * FROM newton WHERE k = 12) USING (fold)""")
+def platt_fit(spark, d):
+    """Folds of 200 rows with 40 of either class are calibrated; the others have no fit."""
+    x = _scores(spark, d).select("fold", "score", "positive")
+    hits = F.sum(F.col("positive").cast("bigint"))
+    counts = x.groupBy("fold").agg(F.count("*").alias("n"), hits.alias("n_positive"))
+    enough = counts.where("n >= 200 AND n_positive >= 40 AND n - n_positive >= 40").select("fold")
+    fits = specialists.platt(x.join(enough, "fold", "left_semi")).select("fold", _r(F.col("slope"), 6).alias("slope"), _r(F.col("intercept"), 6).alias("intercept"))
+    return counts.join(fits, "fold", "left")
 
 
 @query("brier_logloss_ece", f"""{_SC}, bin AS (SELECT fold, least(floor(p * 10), 9) AS b, count(*) AS n, avg(p) AS mp, avg(positive::INT) AS my FROM p GROUP BY ALL),

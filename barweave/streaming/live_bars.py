@@ -6,13 +6,11 @@ within the watermark are dropped and later ones too.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barweave.sources.bars import TIMEFRAMES
+from barweave.sources.shared import shared_path
 
 
 def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parquet", files: int = 1) -> DataFrame:
@@ -33,8 +31,7 @@ def closed_bars(events: DataFrame, timeframe: str, late: str = "0 seconds") -> D
 def run_available(stream: DataFrame, label: str) -> DataFrame:
     """Runs stream over all that is there, with its sink and checkpoint in the shared folder, and reads the sink."""
     spark = stream.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-shared-")
-    at = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    at = shared_path(spark, label)
     query = stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")

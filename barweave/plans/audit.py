@@ -113,22 +113,22 @@ _BOTH = f"{q._PATH}{q._TRD[len(q._DON) :]}"
     f"""{_BOTH}, t AS (SELECT symbol, sum(exit_close - entry_close) AS gross, sum(exit_close * 0.9975 - entry_close * 1.0025) AS net, sum(exit_close + entry_close) AS notional FROM trades GROUP BY symbol),
 m AS (SELECT symbol, count(*) AS n, max(1 - equity / peak) AS dd, sqrt(avg(pow(least(r, 0), 2))) * sqrt(2190) AS downside, avg(equity) AS mean_equity, avg(before::INT) AS exposure FROM dd GROUP BY symbol)
 SELECT symbol, round(gross / 10000, 6) AS gross_return, round(net / 10000, 6) AS net_return, round(pow(1 + net / 10000, 2190 // n) - 1, 6) AS annual_floor, round(pow(1 + net / 10000, 2190 / n) - 1, 6) AS annual_exact,
- round((pow(1 + net / 10000, 2190 / n) - 1) / nullif(downside, 0), 5) AS sortino, round((pow(1 + net / 10000, 2190 / n) - 1) / nullif(dd, 0), 5) AS return_to_drawdown,
+ round((pow(1 + net / 10000, 2190 // n) - 1) / nullif(downside, 0), 5) AS sortino, round((pow(1 + net / 10000, 2190 // n) - 1) / nullif(dd, 0), 5) AS return_to_drawdown,
  round(notional / 10000 / mean_equity, 5) AS turnover, round(net / 10000 / nullif(exposure, 0), 6) AS exposure_adjusted FROM t JOIN m USING (symbol)""",
 )
 def return_metrics(spark, d):
-    """Of a book of 10000: returns before and after costs, annualised with the exponent floored and exact, ratios (null
-    where nothing divides), notional turned over a unit of mean equity."""
+    """Of a book of 10000: returns before and after costs, annualised with the exponent floored and exact, ratios of
+    the floored one (null where nothing divides), notional turned over a unit of mean equity."""
     x, e = c("exit_close"), c("entry_close")
     t = q._trades(spark, d).groupBy("symbol").agg(F.sum(x - e).alias("gross"), F.sum(x * 0.9975 - e * 1.0025).alias("net"), F.sum(x + e).alias("notional"))
     m = q._path(spark, d).groupBy("symbol").agg(
         F.count("*").alias("n"), F.max(1 - c("equity") / c("peak")).alias("dd"), (F.sqrt(F.avg(F.pow(F.least("r", F.lit(0.0)), F.lit(2)))) * F.sqrt(F.lit(2190.0))).alias("downside"), F.avg("equity").alias("mean_equity"), F.avg(c("before").cast("int")).alias("exposure")
     )
     zero, net = F.lit(0.0), c("net") / 10000
-    exact = F.pow(1 + net, 2190 / c("n")) - 1
+    exact, floored = (F.pow(1 + net, years) - 1 for years in (2190 / c("n"), F.floor(2190 / c("n"))))
     return t.join(m, "symbol").select(
-        "symbol", r8(c("gross") / 10000, 6).alias("gross_return"), r8(net, 6).alias("net_return"), r8(F.pow(1 + net, F.floor(2190 / c("n"))) - 1, 6).alias("annual_floor"), r8(exact, 6).alias("annual_exact"),
-        r8(exact / F.nullif("downside", zero), 5).alias("sortino"), r8(exact / F.nullif("dd", zero), 5).alias("return_to_drawdown"), r8(c("notional") / 10000 / c("mean_equity"), 5).alias("turnover"), r8(net / F.nullif("exposure", zero), 6).alias("exposure_adjusted"),
+        "symbol", r8(c("gross") / 10000, 6).alias("gross_return"), r8(net, 6).alias("net_return"), r8(floored, 6).alias("annual_floor"), r8(exact, 6).alias("annual_exact"),
+        r8(floored / F.nullif("downside", zero), 5).alias("sortino"), r8(floored / F.nullif("dd", zero), 5).alias("return_to_drawdown"), r8(c("notional") / 10000 / c("mean_equity"), 5).alias("turnover"), r8(net / F.nullif("exposure", zero), 6).alias("exposure_adjusted"),
     )
 
 
@@ -148,7 +148,7 @@ def best_comparator(spark, d):
     return x.groupBy("symbol").agg(F.max_by("multiple", F.struct(F.coalesce("pnl", F.lit(-999999.0)), -c("multiple"))).alias("best"), F.max("pnl").alias("pnl"))
 
 
-@q.query("fold_history", f"{q._FOLD} SELECT l.symbol, date_diff('month', t0, t1) >= 60 AS enough_history, count(fold) AS folds, count(fold) >= 5 AS enough_folds FROM lim l LEFT JOIN folds f ON f.symbol = l.symbol GROUP BY ALL")
+@q.query("fold_history", f"{q._FOLD} SELECT l.symbol, date_diff('month', t0, t1) >= 84 AS enough_history, count(fold) AS folds, count(fold) >= 5 AS enough_folds FROM lim l LEFT JOIN folds f ON f.symbol = l.symbol GROUP BY ALL")
 def fold_history(spark, d):
     from barweave.sources import bars as b
 
@@ -156,7 +156,7 @@ def fold_history(spark, d):
     months = (F.year("t1") - F.year("t0")) * 12 + F.month("t1") - F.month("t0")
     folds = q._folds(spark, d).groupBy("symbol").agg(F.count("*").alias("k"))
     k = F.coalesce("k", F.lit(0))
-    return lim.join(folds, "symbol", "left").select("symbol", (months >= 60).alias("enough_history"), k.alias("folds"), (k >= 5).alias("enough_folds"))
+    return lim.join(folds, "symbol", "left").select("symbol", (months >= 84).alias("enough_history"), k.alias("folds"), (k >= 5).alias("enough_folds"))
 
 
 # Models ---------------------------------------------------------------------------------------------------------

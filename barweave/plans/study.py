@@ -4,22 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barweave.functions import features as ft
 from barweave.operators.arbitration import arbitrate, verdicts, with_variants
 from barweave.operators.bootstrap import block_bootstrap
 from barweave.plans import queries as q
+from barweave.plans.specialist import bundle
 from barweave.sources import bars as b
 from barweave.streaming import live_bars
 
 
 def _candidates(spark, d):
-    """What arbitration reads for each bar that has regime, features and scores."""
-    made = ft.registry()
-    rows = ft.base(q._seg(spark, d)).select("symbol", "segment", "candle_index", "close", "low", F.col("atr24").alias("atr"), made["close_zscore_24"].alias("z"), made["drawdown_from_high_24"].alias("drop"))
-    score = lambda k: (F.col("candle_index") * k) % 101 / 101.0 - 0.5
-    p = lambda k: 1 / (1 + F.exp(-(1.5 * score(k) + 0.4)))
-    scored = rows.join(q._regimes(spark, d), ["symbol", "candle_index"]).withColumns({"p_trend": p(37), "p_mean": p(53), "stretch": F.coalesce((F.col("z") <= -0.75) | (F.col("drop") >= 0.02), F.lit(False))})
-    return scored.withColumns({"e_trend": 0.05 * (F.col("p_trend") - 0.4), "e_mean": 0.05 * (F.col("p_mean") - 0.4)})
+    """The fold bundle's rows that test: regime, features and scores of the trained specialists."""
+    rows = bundle(spark, d)["rows"].where("role = 'test'")
+    return rows.select("symbol", "segment", "candle_index", "close", "low", "atr", "state", "stretch", "p_trend", "p_mean", "e_trend", "e_mean")
 
 
 @q.query("arbitration_schedule")

@@ -27,7 +27,7 @@ from barweave.llm.common import WORD, read_table, stage, unused
 
 #: The plan is broadcast up to so many patterns, and joined beyond.
 BROADCAST_PATTERNS = 100_000
-FILLS = 1
+FILLS = 3
 DIGITS, BITS = 3, 12  # of the hashes
 
 

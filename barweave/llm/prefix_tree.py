@@ -48,7 +48,7 @@ class _Hashes(dict):
     """Hashes of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 17:
             self.clear()
         self[word] = made = xxhash.xxh64_intdigest(word)
         return made
@@ -272,13 +272,20 @@ def tree_links(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], long: D
     return stage(rows.mapInArrow(walk, "u binary, v binary"), "linked")
 
 
+def without_repeats(member: DataFrame) -> DataFrame:
+    """member (key, n, m) with one key of those that the same nodes have: near copies meet in many branches at once."""
+    both = [F.bit_xor(F.xxhash64("m.node", F.lit(turn))).alias(f"x{turn}") for turn in (0, 1)]
+    kept = member.groupBy("key", "n").agg(*both).groupBy("n", "x0", "x1").agg(F.min("key").alias("key"))
+    return stage(member.join(stage(kept.select("key"), "kept"), "key", "left_semi"), "members")
+
+
 def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_grams (size of its set) and component_id, the smallest doc_id that links of percent similarity lead to."""
     classes = frequency_classes(docs, n)
     rows = stage(described(docs, n, percent, classes), "described")
     nodes = rows.where("k > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     nodes = stage(nodes, "nodes")
-    member = jaccard.buckets(rows.where("k > 0").select("node", "k", "bits", "keys").dropDuplicates(["node"]))
+    member = without_repeats(jaccard.buckets(rows.where("k > 0").select("node", "k", "bits", "keys").dropDuplicates(["node"])))
     sets = lambda asked: sets_of(docs, nodes.join(asked, "node", "left_semi").select("node", "doc_id"), n, classes)
     # few leads at first: later ones need to meet only sets of other components
     long = stage(rows.where("wide is not null").select("node", "k", "wide").dropDuplicates(["node"]), "long")

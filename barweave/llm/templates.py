@@ -1,9 +1,8 @@
 """Operator 3: line deduplication with a fixed-depth log-template tree.
 
 A line's words pass a tree of fixed depth: first by their number, then by the leading ``depth`` words, in which words
-with digits count as a variable field.  Below a leaf the rest of the line has ``PLACES`` - 1 places of one or more
-words, as many in each as the line's length gives.  What stands in a place is constant if at least ``min_docs`` rows
-have it there in that leaf, else the place is a variable field; what is left is the line's template.  A template is
+with digits count as a variable field.  Below a leaf a word is constant at its position if at least ``min_docs`` rows have
+it there in that leaf, else the position is a variable field; what is left is the line's template.  A template is
 recurring if at least ``min_docs`` texts have it and at least ``min_constant`` of its words are constant; in lines of
 fewer than ``short`` words all words must be.
 
@@ -11,9 +10,9 @@ Copies of whole documents repeat all their lines, which are text and no boilerpl
 texts most of whose words lie in recurring templates do not count as evidence: a template must recur in ``min_docs`` of
 the others.  Lines of templates that pass are dropped wherever they stand.
 
-A line is a few hashes from the start: its text and words are never exchanged, every count is combined before it is,
-and all that is exchanged grows as the input does, however many leaves recur.  Of the texts those are exchanged that may
-lose a line, once, to meet the lines that they lose.
+A line is two hashes from the start.  Its words are looked at only where its leaf may recur: there each different line is
+exchanged once, and its words as hashes, which are combined before every exchange.  Of the texts those are exchanged that
+may lose a line, once, to meet the lines that they lose.
 
 Null text stays null, empty lines and lines of white space stay; ids are not read, so null and repeated ones change
 nothing; an empty table gives an empty result; other columns pass through, whatever their names.
@@ -32,10 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.llm.common import read_table, split_by, stage, unused
+from barweave.llm.common import join_spread, read_table, split_by, stage, unused
 
 FIELD = b"<*>"
-PLACES = 6
 _DIGIT = re.compile(rb"[0-9]")
 _NUMBER = re.compile(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*")
 
@@ -45,86 +43,84 @@ def masked_words(line: bytes) -> list[bytes]:
     return (_NUMBER.sub(FIELD, line) if _DIGIT.search(line) else line).split()
 
 
-def places(words: list[bytes], depth: int) -> tuple[list[bytes], list[int]]:
-    """For each place of a line its digest, which depends on the leaf, and how many of its words are no fields.  The first
-    place is the leaf itself; places that a short line lacks are left out."""
-    n = len(words)
-    digest, fields = xxhash.xxh64_digest, words.count(FIELD)
-    leaf = digest(b"%d " % n + b" ".join(words[:depth]))
-    digests, counts, low = [leaf], [min(n, depth)], depth
-    ends = [min(n, depth)]
-    for i in range(1, PLACES):
-        high = depth + (n - depth) * i // (PLACES - 1)
-        if high > low:
-            digests.append(digest(b"%b%d %b" % (leaf, i, b" ".join(words[low:high]))))
-            counts.append(high - low)
-            ends.append(high)
-            low = high
-    if fields:
-        counts = [c - words[e - c : e].count(FIELD) for c, e in zip(counts, ends)]
-    return digests, counts
+def leaf(words: list[bytes], depth: int) -> bytes:
+    return xxhash.xxh64_digest(b"%d " % len(words) + b" ".join(words[:depth]))
 
 
-def pattern(digests: list[bytes]) -> bytes:
-    """The name of lines that have the same in every place."""
-    return xxhash.xxh64_digest(b"".join(digests))
+def pattern(words: list[bytes]) -> bytes:
+    """The name of lines that have the same words."""
+    return xxhash.xxh64_digest(b" ".join(words))
 
 
-def _longs(digests: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(digests), ">i8").astype("<i8")
+def _longs(digests: list[bytes]) -> pa.Array:
+    return pa.array(np.frombuffer(b"".join(digests), ">i8").astype("<i8"))
 
 
 def line_patterns(docs: DataFrame, depth: int) -> DataFrame:
-    """own (the hash of the text), pattern, n (words of the line), words (those of all its lines in the text), whole
-    (those of the text), hashes and counts (see places): a row for each pattern of each text."""
+    """own (the hash of the text), leaf, pattern, words (those of all its lines in the text), whole (those of the text): a
+    row for each pattern of each text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["own", "pattern", "n", "words", "whole", "hashes", "counts"]
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
-                own, keys, n, words, whole, digests, counts, ends = [], [], [], [], [], [], [], [0]
+                own, leaves, keys, words, whole = [], [], [], [], []
                 for text in batch.slice(low, 500).column(0).to_pylist():
                     raw = (text or "").encode("utf-8", "surrogatepass")
                     made, times, total = {}, Counter(), 0
                     for line in raw.split(b"\n"):
                         if found := masked_words(line):
-                            at = places(found, depth)
                             total += len(found)
-                            times[key := pattern(at[0])] += 1
-                            made[key] = (len(found), *at)
+                            times[key := pattern(found)] += len(found)
+                            if key not in made:
+                                made[key] = leaf(found, depth)
                     own += [xxhash.xxh64_intdigest(raw, 42)] * len(made)
                     whole += [total] * len(made)
-                    for key, (size, d, c) in made.items():
-                        keys.append(key)
-                        n.append(size)
-                        words.append(size * times[key])
-                        digests += d
-                        counts += c
-                        ends.append(len(digests))
-                at = pa.array(ends, pa.int32())
-                lists = [pa.ListArray.from_arrays(at, pa.array(_longs(digests))), pa.ListArray.from_arrays(at, pa.array(counts, pa.int32()))]
-                plain = [pa.array(np.array(own, "<u8").view("<i8")), pa.array(_longs(keys)), *[pa.array(c, pa.int32()) for c in (n, words, whole)]]
-                yield pa.RecordBatch.from_arrays(plain + lists, names)
-
-    return docs.select("text").mapInArrow(cut, "own bigint, pattern bigint, n int, words int, whole int, hashes array<bigint>, counts array<int>")
-
-
-def recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 10, min_constant: float = 0.6, short: int = 4, mostly: float = 0.5) -> DataFrame:
-    """own (xxhash64 of the text) and pattern of every line of a recurring template, once a text."""
+                    keys += made
+                    leaves += made.values()
+                    words += [times[key] for key in made]
+                plain = [pa.array(np.array(own, "<u8").view("<i8")), _longs(leaves), _longs(keys), pa.array(words, pa.int32()), pa.array(whole, pa.int32())]
+                yield pa.RecordBatch.from_arrays(plain, ["own", "leaf", "pattern", "words", "whole"])
+
+    return docs.select("text").mapInArrow(cut, "own bigint, leaf bigint, pattern bigint, words int, whole int")
+
+
+def line_words(docs: DataFrame, depth: int) -> DataFrame:
+    """leaf, pattern and words (masked, with one space between) of lines; of 500 texts each pattern once."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                leaves, made = [], {}
+                for text in batch.slice(low, 500).column(0).to_pylist():
+                    for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n"):
+                        if (found := masked_words(line)) and (key := pattern(found)) not in made:
+                            made[key] = b" ".join(found)
+                            leaves.append(leaf(found, depth))
+                yield pa.RecordBatch.from_arrays([_longs(leaves), _longs(list(made)), pa.array(list(made.values()), pa.binary())], ["leaf", "pattern", "words"])
+
+    return docs.select("text").mapInArrow(cut, "leaf bigint, pattern bigint, words binary")
+
+
+def recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 10, min_constant: float = 0.6, short: int = 4, mostly: float = 0.5, hot: int = 100_000) -> DataFrame:
+    """own (xxhash64 of the text) and pattern of every line of a recurring template, once a text.  Words that over ``hot``
+    rows have in a position are no one task's."""
     lines = stage(line_patterns(docs, depth), "lines")
-    place = lines.select("pattern", "n", F.posexplode(F.arrays_zip("hashes", "counts")).alias("at", "x")).select("pattern", "n", "at", F.col("x.hashes").alias("h"), F.col("x.counts").alias("c"))
-    constant = place.groupBy("h").agg(F.count("*").alias("d")).where(F.col("d") >= min_docs).select("h")
-    constant = stage(constant, "constant")
-    at = range(PLACES)
-    marked = split_by(place, "h", constant)[1].join(constant, "h").groupBy("pattern").agg(
-        F.max("n").alias("n"), *[F.max(F.when(F.col("at") == i, F.col("h"))).alias(f"h{i}") for i in at], *[F.max(F.when(F.col("at") == i, F.col("c"))).alias(f"c{i}") for i in at]
-    )
-    fixed = sum((F.coalesce(f"c{i}", F.lit(0)) for i in at), F.lit(0))
+    leaves = stage(lines.groupBy("leaf").agg(F.count("*").alias("d")).where(F.col("d") >= min_docs).select("leaf"), "leaves")
+    # a leaf that the bitmap lets through in vain has no constant word, so no join need follow
+    rows_of = split_by(lines.select("leaf", "pattern"), "leaf", leaves)[1].groupBy("pattern").agg(F.count("*").alias("d"))
+    words = split_by(line_words(docs, depth), "leaf", leaves)[1].dropDuplicates(["pattern"])
+    shapes = stage(words.join(rows_of, "pattern"), "shapes").withColumn("word", F.split(F.col("words").cast("string"), " ")).withColumn("n", F.size("word"))
+    place = shapes.select("pattern", "leaf", "n", "d", F.posexplode("word").alias("at", "word")).where(F.col("word") != FIELD.decode())
+    place = place.select("pattern", "n", "d", F.xxhash64("leaf", "at", "word").alias("h"))
+    constant = stage(place.groupBy("h").agg(F.sum("d").alias("held")).where(F.col("held") >= min_docs), "constant")
+    near = split_by(place.select("pattern", "n", "h"), "h", constant.select("h"))[1]
+    marked = join_spread(near, constant, "h", constant.where(F.col("held") > hot).select("h")).where(F.col("held").isNotNull())
+    marked = marked.groupBy("pattern").agg(F.max("n").alias("n"), F.count("*").alias("fixed"), F.bit_xor("h").alias("a"), F.bit_xor(F.xxhash64("h")).alias("b"))
     need = F.when(F.col("n") < short, F.col("n").cast("double")).otherwise(min_constant * F.col("n"))
-    shaped = marked.where(fixed >= need).select("pattern", F.xxhash64("n", *[F.coalesce(f"h{i}", F.lit(0).cast("bigint")) for i in at]).alias("template"))
-    shaped = stage(shaped, "shaped")
-    hits = split_by(lines.select("own", "pattern", "words", "whole"), "pattern", shaped.select("pattern"))[1].join(shaped, "pattern")
-    hits = stage(hits.groupBy("own", "pattern").agg(F.max("words").alias("words"), F.max("whole").alias("whole"), F.max("template").alias("template")), "hits")
+    shaped = stage(marked.where(F.col("fixed") >= need).select("pattern", F.xxhash64("n", "fixed", "a", "b").alias("template")), "shaped")
+    hits = split_by(lines.select("own", "pattern", "words", "whole"), "pattern", shaped.select("pattern"))[1]
+    hits = hits.join(shaped, "pattern").groupBy("own", "pattern")
+    hits = stage(hits.agg(*[F.max(c).alias(c) for c in ("words", "whole", "template")]), "hits")
 
     def recurring(rows: DataFrame) -> DataFrame:
         return rows.select("template", "own").distinct().groupBy("template").agg(F.count("*").alias("d")).where(F.col("d") >= min_docs).select("template")
@@ -148,7 +144,7 @@ def drop_recurring_lines(docs: DataFrame, depth: int = 3, count: str | None = "n
                 rows.append((None, 0))
                 continue
             gone, lines = {int(k).to_bytes(8, "big", signed=True) for k in keys}, text.split("\n")
-            kept = [x for x in lines if not (w := masked_words(x.encode("utf-8", "surrogatepass"))) or pattern(places(w, depth)[0]) not in gone]
+            kept = [x for x in lines if not (w := masked_words(x.encode("utf-8", "surrogatepass"))) or pattern(w) not in gone]
             rows.append(("\n".join(kept), len(lines) - len(kept)))
         return pd.DataFrame(rows, columns=["text", "n"])
 

@@ -159,6 +159,22 @@ def test_lines(spark, none):
     assert templates.drop_recurring_lines(none).count() == 0
 
 
+def varied(rng, n, at):
+    """A line of n fixed words but for random ones, without digits, at those places."""
+    return " ".join("".join(chr(97 + int(x)) for x in rng.integers(0, 26, 7)) if k in at else f"w{chr(97 + k % 26) * (1 + k // 26)}" for k in range(n))
+
+
+@pytest.mark.parametrize("n", [20, 30, 40])
+def test_template_words_vary(spark, n):
+    """Boilerplate of 20 to 40 words with one to four variable words, wherever these stand, goes from every text."""
+    rng = np.random.default_rng(n)
+    sets = [tuple(int(x) for x in rng.choice(np.arange(3, n), k, replace=False)) for k in range(1, 5)]
+    plain = lambda: "\n".join(varied(rng, 15, range(15)) for _ in range(8))
+    texts = [plain() + f"\n{'q' * (j + 1)} " + varied(rng, n, at) for j, at in enumerate(sets) for _ in range(30)]
+    got = templates.drop_recurring_lines(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)).collect()
+    assert [r["n_dropped"] for r in got] == [1] * 120 and all(r["text"].count("\n") == 7 for r in got)
+
+
 def test_templates_equal_plain_tree(spark):
     """500 texts with templates, short lines, numbers and copies against a tree in plain Python, production defaults."""
     rng = np.random.default_rng(6)
@@ -169,6 +185,8 @@ def test_templates_equal_plain_tree(spark):
         lines += [" ".join("".join(chr(97 + int(x)) for x in rng.integers(0, 26, 5)) for _ in range(rng.integers(5, 30))) for _ in range(3)]
         if i % 5 == 0:
             lines.insert(1, f"page {i} of this long site map {common[i % 20]} end")
+        if i % 4 == 0:
+            lines.append(varied(rng, 24, (5, 11, 17)))
         if i % 7 == 0:
             lines.append("All rights reserved.")
         texts.append("\n".join(lines))
@@ -179,14 +197,13 @@ def test_templates_equal_plain_tree(spark):
         for line in (t or "").split("\n"):
             w = [re.sub(r"^\S*[0-9]\S*$", "<*>", x) for x in line.split()]
             if w:
-                edges = [0, min(3, len(w)), *[3 + (len(w) - 3) * k // 5 for k in range(1, 6)]] if len(w) > 3 else [0, len(w)]
-                found[tuple(w)] = [(len(w), tuple(w[:3]), k, tuple(w[a:b])) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+                found[tuple(w)] = [(len(w), tuple(w[:3]), k, x) for k, x in enumerate(w) if x != "<*>"]
         made.append(found)
     held = collections.Counter(x for f in made for p in f.values() for x in p)
     template = {}
     for w, p in {w: p for f in made for w, p in f.items()}.items():
         fixed = [x for x in p if held[x] >= 10]
-        if sum(y != "<*>" for x in fixed for y in x[3]) >= (len(w) if len(w) < 4 else 0.6 * len(w)):
+        if len(fixed) >= (len(w) if len(w) < 4 else 0.6 * len(w)):
             template[w] = tuple(fixed)
     per = {t or "": {w: template[w] for w in f if w in template} for t, f in zip(texts, made)}
     often = {k for k, n in collections.Counter(k for f in per.values() for k in set(f.values())).items() if n >= 10}

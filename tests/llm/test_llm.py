@@ -2,6 +2,7 @@
 
 import collections
 import re
+import time
 import zlib
 
 import numpy as np
@@ -306,6 +307,56 @@ def test_html():
     assert html_text.main_text(None, html_text.scores({})) == "" and html_text.main_text("<" * 5000, html_text.scores({})) is not None
 
 
+ARTICLE = "<article><h1>Title here</h1><p>" + "one two three four five six. " * 8 + "</p><p>Second part goes on here and on.</p></article>"
+
+
+@pytest.mark.parametrize("wrap", ['class="layout has-sidebar"', 'class="no-sidebar"', 'id="header-and-content"', 'class="page comment-enabled"', 'class="sidebar-wrap"', "id=header-wrap"])
+@pytest.mark.parametrize("labelled", [True, False])
+def test_html_wrappers(wrap, labelled):
+    body = ARTICLE if labelled else ARTICLE.replace("article", "div")
+    page = f"<html><body><nav><a href=x>home</a></nav><div {wrap}>{body}<div class=sidebar>more <p>of it</div></div><footer>c</footer></body></html>"
+    got = html_text.main_text(page, html_text.scores({}))
+    assert got.startswith("Title here\none two") and got.endswith("Second part goes on here and on.")
+
+
+def test_html_without_labels_or_tags():
+    weights = html_text.scores({})
+    text = "a b c " * 20
+    assert html_text.main_text("just plain\n text &amp; more", weights) == "just plain text & more"
+    assert html_text.main_text(f"<article><div class='entry-header'><h2>The title</h2></div><p>{text}</article>", weights) == "The title\n" + text.strip()
+    page = f"<body><div class=masthead><h1>Site</h1></div><div class=sidebar><p>menu one two three</div><p class=ad>buy now<div><p>{text}</div><div class=comments><p>{'nice one ' * 30}</div>"
+    assert html_text.main_text(page, weights) == text.strip()
+    form = f"<body><form id=aspnet>{ARTICLE}<input name=x></form>"
+    assert html_text.main_text(form, weights).startswith("Title here")
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a href="', '<b "> "', '<b \'"> "', "<", "<!", "<a " + "= " * 9, "<p><b>", "<div>", "<div><b><p></i>", "<!--", "<div class=sidebar>", "<script>", "</script", "<p class="])
+def test_html_malformed_pages_take_linear_time(part):
+    """A megabyte of each is read; ten times the page takes nowhere near a hundred times as long."""
+    times = []
+    for size in (100_000, 1_000_000):
+        begun = time.perf_counter()
+        html_text.main_text(part * (size // len(part)) + "'", html_text.scores({}))
+        times.append(time.perf_counter() - begun)
+    assert times[1] < 30 * times[0] + 1
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<li>", "<a>", "</a>", "<td>", "word", " two words ", "<h2>", "</h2>", "<ul>"]), max_size=25))
+def test_html_region_is_the_best_of_all(parts):
+    """The region that the scan finds has the sum of the best of all regions."""
+    weights = html_text.scores({})
+    page = "".join(parts)
+    held = [(t, (len(t.split()) if f.startswith("word") else 1) * weights.get(f, weights["tag"])) for f, t, _ in html_text.tokens(page)]
+    best = max([sum(x for _, x in held[a:b]) for a in range(len(held)) for b in range(a, len(held) + 1)], default=0)
+    span = html_text.best_region([x for _, x in held])
+    assert abs(sum(x for _, x in held[slice(*span)]) - best) < 1e-9
+
+
+def test_html_empty_table(spark):
+    assert html_text.extract(spark.createDataFrame([], "html string, text string"), html_text.scores({})).count() == 0
+
+
 def test_flow_equals_brute_force():
     """Overlapping sources: the most words, and of those flows the cheapest, as found by trying all whole flows."""
     import itertools

@@ -1,12 +1,13 @@
 """Operator 8: exact deduplication against a persistent digest index.
 
 The index is a Parquet table bucketed and sorted by digest.  A batch is reduced to one row a digest with map-side
-combining, digests the index lacks are found by a sort-merge anti-join, in which the index is not shuffled, and
-appended.  Documents then meet the index on the digest; a text with very many copies is one row on the index side, so
-Spark may split the other side.
+combining; digests the index lacks are found by a sort-merge join, in which the index is not shuffled, and appended with
+the document that stays, and of known ones the further copies are.  Documents then meet the index on the digest; those of
+a text with very many copies meet copies of its row, dealt over tasks.
 
-Null text counts as empty, null ids never win over others, rows that repeat an id share its fate, an empty table adds
-nothing.  Other columns are not read.
+A later batch never changes which document stays, and its group sizes count the batches before it.  Null text counts as
+empty, null ids never win over others, rows that repeat an id share its fate (so both stay if theirs is the largest), an
+empty table adds nothing.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.llm.common import LOWER, UPPER, fresh_path, lower_ascii, read_table, stage
+from barweave.llm.common import LOWER, UPPER, fresh_path, join_spread, lower_ascii, read_table, stage
 
 
 def text_digest(text) -> F.Column:
@@ -25,7 +26,7 @@ def text_digest(text) -> F.Column:
 
 
 class DigestIndex:
-    """digest, keep_id (the document that stays) and copies (rows of the batch that brought it)."""
+    """digest, keep_id (the document that stays; null in rows of later batches) and copies (rows of the batch)."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
         self.spark, self.path, self.buckets = spark, path, buckets
@@ -38,20 +39,27 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def groups(self) -> DataFrame:
+        """digest, keep_id and copies of all batches, a row a digest; buckets hold whole digests, so nothing is exchanged."""
+        return self.table().groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
+
     def append(self, digests: DataFrame) -> None:
-        """Adds the digests, of rows (doc_id, digest), that the index lacks; the largest doc_id of each stays."""
+        """Adds rows (doc_id, digest): the largest doc_id of each digest that the index lacks stays, others are counted."""
         batch = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("copies"))
-        known = self.table().select("digest")
-        new = batch.repartition(self.buckets, "digest").join(known.hint("merge"), "digest", "left_anti")
-        new.write.mode("append").format("parquet").option("path", self.path).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+        known = self.groups().select("digest", F.lit(True).alias("known"))
+        rows = batch.repartition(self.buckets, "digest").join(known.hint("merge"), "digest", "left")
+        rows = rows.select("digest", F.when(F.col("known").isNull(), F.col("keep_id")).alias("keep_id"), "copies")
+        rows.write.mode("append").format("parquet").option("path", self.path).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
         self.spark.catalog.refreshTable(self.name)
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 of every row; the index gains the new texts."""
+def deduplicate(docs: DataFrame, index: DigestIndex, hot: int = 100_000) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of every row; the index gains the texts.  Texts with over ``hot``
+    copies are no one task's."""
     digests = stage(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_digest(F.col("text")).alias("digest")), "digests")
     index.append(digests)
-    return digests.join(index.table(), "digest").select(
+    groups = index.groups()
+    return join_spread(digests, groups, "digest", groups.where(F.col("copies") > hot).select("digest")).select(
         "doc_id",
         "keep_id",
         F.col("copies").alias("group_size"),

@@ -95,7 +95,10 @@ def test_exact_dedup_and_second_batch(spark, docs):
         groups[d[1] or ""].append(d[0])
     assert sorted((r["keep_id"] or -1, r["group_size"]) for r in got) == sorted((max([i for i in g if i is not None], default=-1), len(g)) for g in groups.values() for _ in g)
     again = exact_dedup.deduplicate(spark.createDataFrame([(99, TEXT.upper()), (100, "new")], "doc_id long, text string"), index).collect()
-    assert {r["doc_id"]: r["kept"] for r in again} == {99: False, 100: True}
+    assert {r["doc_id"]: (r["kept"], r["group_size"]) for r in again} == {99: (False, len(groups[TEXT]) + 1), 100: (True, 1)}
+    third = exact_dedup.deduplicate(spark.createDataFrame([(101, "NEW"), (102, TEXT), (103, TEXT)], "doc_id long, text string"), index, hot=1).collect()
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in third} == {101: (100, 2), 102: (6, len(groups[TEXT]) + 3), 103: (6, len(groups[TEXT]) + 3)}
+    assert exact_dedup.deduplicate(docs.where("false"), index).count() == 0
 
 
 def test_components(spark):

@@ -1,7 +1,7 @@
 """Operator 8: exact deduplication against a persistent digest index.
 
 The index is a Parquet table bucketed and sorted by digest.  A batch is reduced to one row a digest with map-side
-combining; digests the index lacks are found by a sort-merge join, in which the index is not shuffled, and appended with
+combining; digests the index lacks are found by a sort-merge anti-join, in which the index is not shuffled, and appended with
 the document that stays, and of known ones the further copies are.  Documents then meet the index on the digest; those of
 a text with very many copies meet copies of its row, dealt over tasks.
 
@@ -46,9 +46,10 @@ class DigestIndex:
     def append(self, digests: DataFrame) -> None:
         """Adds rows (doc_id, digest): the largest doc_id of each digest that the index lacks stays, others are counted."""
         batch = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("copies"))
-        known = self.groups().select("digest", F.lit(True).alias("known"))
-        rows = batch.repartition(self.buckets, "digest").join(known.hint("merge"), "digest", "left")
-        rows = rows.select("digest", F.when(F.col("known").isNull(), F.col("keep_id")).alias("keep_id"), "copies")
+        batch, known = batch.repartition(self.buckets, "digest"), self.table().select("digest").hint("merge")
+        new = batch.join(known, "digest", "left_anti")
+        again = batch.join(known, "digest", "left_semi").withColumn("keep_id", F.lit(None).cast("bigint"))
+        rows = new.unionByName(again)
         rows.write.mode("append").format("parquet").option("path", self.path).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
         self.spark.catalog.refreshTable(self.name)
 

@@ -65,11 +65,11 @@ met AS (SELECT symbol, open_time, place, p.row_sha256, role, closure_id, CASE WH
 judged AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'fault' WHEN role = 'partial' THEN 'excluded' WHEN close_time >= TIMESTAMP '{NOW}' THEN 'open' ELSE 'keep' END AS status FROM met WHERE place IS NOT NULL OR role <> 'absent')"""
 
 
-@q.query("row_exclusions", f"{_SQL} SELECT symbol, open_time, place, row_sha256, closure_id, status, reason FROM judged")
+@q.query("row_exclusions", f"{_SQL} SELECT symbol, open_time, coalesce(place, -1) AS place, row_sha256, closure_id, status, reason FROM judged")
 def row_exclusions(spark, d):
-    """Every provider's row and every declared slot without one: kept, excluded, still open, or which fault."""
+    """Every provider row and every declared slot without one (place -1): kept, excluded, still open, or which fault."""
     pages, closures = _evidence(spark, d)
-    return cl.judge(pages, closures, NOW, WIDTH).select("symbol", "open_time", c("place").cast("bigint").alias("place"), "row_sha256", "closure_id", "status", "reason")
+    return cl.judge(pages, closures, NOW, WIDTH).select("symbol", "open_time", F.coalesce(c("place").cast("bigint"), F.lit(-1)).alias("place"), "row_sha256", "closure_id", "status", "reason")
 
 
 @q.query("exclusion_counts", f"{_SQL} SELECT symbol, status, coalesce(reason, '-') AS reason, count(*) AS n FROM judged GROUP BY ALL")

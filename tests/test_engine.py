@@ -5,7 +5,7 @@ import pytest
 
 from barweave.functions import features
 from barweave.operators import sequential
-from barweave.plans import audit, exclusion, gates, safe_events, specialist, study  # noqa: F401  register their queries
+from barweave.plans import audit, exclusion, gates, guards, safe_events, specialist, study  # noqa: F401  register their queries
 from barweave.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +19,7 @@ def rows(frame):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for table in ("events", "lineitem"):
+    for table in ("events", "lineitem", "orders"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(con.execute(SQL[name]).fetchdf())
 

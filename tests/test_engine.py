@@ -5,7 +5,7 @@ import pytest
 
 from barweave.functions import features
 from barweave.operators import sequential
-from barweave.plans import audit, exclusion, gates, guards, safe_events, specialist, study  # noqa: F401  register their queries
+from barweave.plans import audit, exclusion, gates, guards, late, safe_events, specialist, study  # noqa: F401  register their queries
 from barweave.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"

@@ -137,3 +137,11 @@ def test_return_sums_near_zero_have_the_sign_of_the_sql(spark):
     told = features.registry_sql()
     want = con.execute(f"WITH seg AS (SELECT * FROM seg_rows), {features.base_sql()} SELECT symbol, candle_index, {', '.join(f'{told[n]} AS {n}' for n in asked)} FROM base").fetchdf()
     assert rows(got.round(8)) == rows(want.round(8))
+
+
+def test_feature_matrix_of_repeated_closes_matches_sql(spark):
+    """On sf0.1 a close comes again six bars later."""
+    sf, con = "/root/testdata/sf0.1", duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    name = "feature_matrix_complete"
+    assert rows(QUERIES[name](spark, sf).toPandas()) == rows(con.execute(SQL[name]).fetchdf())

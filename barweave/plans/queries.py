@@ -350,8 +350,8 @@ f AS (SELECT symbol, k AS fold, t0 + to_months((24 + 6 * k)::INT) AS cs, t0 + to
 folds AS (SELECT f.symbol, fold, count(*) FILTER (open_time < cs) AS c0, count(*) FILTER (open_time < ce) AS c1, count(*) FILTER (open_time < te) AS c2 FROM f JOIN d USING (symbol) GROUP BY ALL)"""
 
 
-def _folds(spark, d):
-    x = b.item_bars(spark, d).select("symbol", "open_time")
+def _folds(spark, d, bars=None):
+    x = (b.item_bars(spark, d) if bars is None else bars).select("symbol", "open_time")
     lim = x.groupBy("symbol").agg(F.min("open_time").alias("t0"), F.max("open_time").alias("t1"))
     months = lambda n: F.expr(f"t0 + make_ym_interval(0, cast({n} + 6 * fold as int))")
     f = lim.withColumn("fold", F.explode(F.sequence(F.lit(0), (F.months_between("t1", "t0") / 6 + 1).cast("int")))).withColumns({"cs": months(24), "ce": months(30), "te": months(36)}).where("te <= t1")

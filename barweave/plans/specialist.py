@@ -21,15 +21,21 @@ STRETCH = "close_zscore_24 <= -0.75 OR drawdown_from_high_24 >= 0.02"
 ROLE = "CASE WHEN candle_index + 4 < c0 - 3 THEN 'train' WHEN candle_index >= c0 + 3 AND candle_index + 4 < c1 - 3 THEN 'calibrate' WHEN candle_index >= c1 + 3 AND candle_index + 4 < c2 - 3 THEN 'test' END"
 
 
-def panel(spark, d):
+def _daily(spark, d):
+    """Daily bars, written: the features, labels and bounds of a fold all read them, and so line items are read once."""
+    return written(b.item_bars(spark, d), "bars")
+
+
+def panel(spark, d, bars=None):
     """Bars with all features and a label, once for each fold that trains, calibrates or tests on them; folds pool the
     symbols, each with its own bounds, and a row's label ends three bars before its window does."""
-    seg = b.segmented(b.item_bars(spark, d), "INTERVAL '1' DAY")
+    bars = _daily(spark, d) if bars is None else bars
+    seg = b.segmented(bars, "INTERVAL '1' DAY")
     made = ft.registry()
     rows = ft.base(seg).select("symbol", "segment", "candle_index", "close", "low", F.col("atr24").alias("atr"), *[c.alias(n) for n, c in made.items()]).dropna()
     rows = written(rows, "features")  # planning joins over all these expressions takes longer than all else
     labels = q._labels(spark, d, seg).select("symbol", "candle_index", "gross_return", (F.col("net_return") > q.HURDLE).alias("positive"))
-    each = rows.join(labels, ["symbol", "candle_index"]).join(q._folds(spark, d), "symbol")
+    each = rows.join(labels, ["symbol", "candle_index"]).join(q._folds(spark, d, bars), "symbol")
     return each.withColumns({"role": F.expr(ROLE), "stretch": F.expr(STRETCH)}).where("role IS NOT NULL").drop("c0", "c1", "c2")
 
 
@@ -54,12 +60,12 @@ _MADE: dict[tuple[str, str], dict] = {}
 
 
 def bundle(spark, d) -> dict:
-    """Models and what they say, by name: scales, linear model, trees, calibrations, return maps and predictions of the
+    """Models and what they say, by name: daily bars, scales, linear model, trees, calibrations, return maps and predictions of the
     rows that calibrate and test.  Made once a session and folder, and kept as written tables."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _MADE:
-        train = F.col("role") == "train"
-        rows, trend_scales = sp.standardised(written(panel(spark, d), "panel"), TREND, train)
+        train, bars = F.col("role") == "train", _daily(spark, d)
+        rows, trend_scales = sp.standardised(written(panel(spark, d, bars), "panel"), TREND, train)
         linear = written(sp.elastic_net(written(rows.where(train).select("fold", "positive", "weight", "x"), "train"), TREND), "linear")
         rows = sp.linear_scores(rows, linear, "trend_raw").drop("x", "weight")
         low = train & F.col("stretch")
@@ -68,7 +74,7 @@ def bundle(spark, d) -> dict:
         rows = sp.tree_scores(rows.where(~train), nodes, name="mean_raw")
         state = q.regime_of("volatility_ratio_6_42", "true_range_ratio_24", "trend_strength_12_42_atr24", "ema_12_42_sign_streak")
         rows = written(rows.withColumn("state", state).drop("x", "weight", *_NAMES), "scored")
-        out = {"trend_scales": trend_scales, "mean_scales": mean_scales, "linear": linear, "trees": nodes}
+        out = {"bars": bars, "trend_scales": trend_scales, "mean_scales": mean_scales, "linear": linear, "trees": nodes}
         for kind in ("trend", "mean"):
             fits = written(sp.platt(rows.where("role = 'calibrate'").select("fold", F.col(f"{kind}_raw").alias("score"), "positive")), "platt")
             rows = sp.calibrated(rows, fits, f"{kind}_raw", f"p_{kind}")

@@ -22,10 +22,15 @@ def event_bars(spark: SparkSession, sf_dir: str, timeframe: str) -> DataFrame:
     )
 
 
+#: Order and line as one number, nulls first: rows compared by a struct would be sorted to be aggregated, numbers are hashed.
+_LINE = """coalesce(cast(l_orderkey as decimal(20,0)), -9223372036854775809BD) * 8589934592BD
+  + coalesce(cast(l_linenumber as decimal(10,0)), -2147483649BD)"""
+
+
 def item_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of unit prices for each return flag, ordered in a day by order and line."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
-    at, price = F.struct("l_orderkey", "l_linenumber"), F.col("l_extendedprice") / F.col("l_quantity")
+    at, price = F.expr(_LINE), F.col("l_extendedprice") / F.col("l_quantity")
     return items.groupBy(F.col("l_returnflag").alias("symbol"), F.date_trunc("day", "l_shipdate").cast("timestamp_ntz").alias("open_time")).agg(
         F.min_by(price, at).alias("open"),
         F.max(price).alias("high"),

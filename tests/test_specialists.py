@@ -1,5 +1,7 @@
 """Training by sums against plain fits that hold all rows."""
 
+from datetime import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -162,3 +164,31 @@ def test_return_map_and_thresholds(spark):
     assert [(r["n"], round(r["quantile"], 9), round(r["threshold"], 9)) for r in got] == [(40, 0.4975, 0.5), (40, 0.556, 0.556)]
     with pytest.raises(ValueError, match="fewer than 41"):
         sp.entry_thresholds(rows, "p", F.col("p") < 0.6 - 1e-9, least=41)
+
+
+def test_item_bars_hash_their_rows_and_keep_the_order_of_lines(spark, tmp_path):
+    """Order, then line, from end to end of their types; rows compared by a struct were sorted to be aggregated."""
+    from barweave.sources import bars
+
+    keys = [(-(2**63), 2**31 - 1), (-(2**63), -(2**31)), (-1, 5), (-1, -5), (0, 2), (7, 1), (7, 2), (2**63 - 1, -(2**31)), (2**63 - 1, 2**31 - 1)]
+    random = np.random.default_rng(3)
+    schema = "l_orderkey bigint, l_linenumber int, l_returnflag string, l_shipdate timestamp_ntz, l_extendedprice double, l_quantity double"
+    for low, high in ((0, 9), (0, 5), (2, 7), (5, 9)):
+        made = [(*keys[i], "A", datetime(2024, 1, 1), 100.0 + i, 1.0) for i in random.permutation(range(low, high)).tolist()]
+        path = tmp_path / f"{low}-{high}"
+        spark.createDataFrame(made, schema).write.parquet(f"{path}/lineitem.parquet")
+        found = bars.item_bars(spark, str(path))
+        row = found.collect()[0]
+        order = sorted(range(low, high), key=lambda i: keys[i])
+        assert (row["open"], row["close"]) == (100.0 + order[0], 100.0 + order[-1])
+        assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_panel_reads_line_items_once(spark, monkeypatch):
+    from barweave.plans import specialist
+    from barweave.sources import bars
+
+    read, real = [], bars.item_bars
+    monkeypatch.setattr(bars, "item_bars", lambda *a: read.append(a) or real(*a))
+    specialist.panel(spark, "/root/testdata/sf0.001")
+    assert len(read) == 1

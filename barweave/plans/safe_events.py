@@ -47,8 +47,9 @@ def safe_baseline_events(spark, d):
 def specialist_threshold_events(spark, d):
     """Each specialist by itself on the rows of a fold that test: it enters at ENTER_AT in its own regime and leaves at
     EXIT_AT or where the regime ends; the third variant enters ranging bars only where they are stretched."""
-    rows = bundle(spark, d)["rows"].where("role = 'test'")
-    bounds = next_boundary(b.segmented(b.item_bars(spark, d), "INTERVAL '1' DAY"), ["symbol"])
+    made = bundle(spark, d)
+    rows = made["rows"].where("role = 'test'")
+    bounds = next_boundary(b.segmented(made["bars"], "INTERVAL '1' DAY"), ["symbol"])
     trend, range_ = F.col("state") == "TRENDING", F.col("state") == "RANGING"
     variants = [("trend", F.col("p_trend"), trend), ("mean", F.col("p_mean"), range_), ("mean_stretched", F.col("p_mean"), range_ & F.col("stretch"))]
     cases = F.explode(F.array(*[F.struct(F.lit(n).alias("specialist"), p.alias("p"), a.alias("allowed")) for n, p, a in variants])).alias("v")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barweave.llm.common import read_table, stage
-from barweave.llm.tokenise import encoder, vocabulary_path
+from barweave.llm.tokenise import CACHE, encoder, vocabulary_path
 
 FAN = 8
 HOSTS = 64
@@ -107,25 +107,27 @@ def pack(items: DataFrame, capacity: int, size: str = "length", near_full: float
     return packed.join(moved, "bin", "left").select(*[F.col(f"`{n}`") for n in names], sequence.alias("sequence_id"), place.alias("offset"))
 
 
-def cut_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
+def cut_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, with_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """The pieces of every document: its ids and end_id, whole or, if longer than capacity, in pieces of capacity ids of
-    which the first takes what is left over.  with_ids adds the ids themselves."""
+    which the first takes what is left over.  with_ids adds the ids themselves.  cache: see tokenise.py."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, cache)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                rows: list[list] = [[] for _ in range(6)]
+                rows: list[list] = [[] for _ in range(6 if with_ids else 5)]
                 for doc, raw in zip(part.column(0).to_pylist(), enc.batch(part.column(1).to_pylist())):
                     ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
                     edges = list(range(len(ids), 0, -capacity))[::-1]
                     for k, (i, j) in enumerate(zip([0, *edges], edges)):
                         own = ids[i:j]
-                        for column, value in zip(rows, (doc, k, i, j - i, zlib.crc32(own.astype("<u4").tobytes()), own.astype(np.int32))):
+                        for column, value in zip(rows, (doc, k, i, j - i, zlib.crc32(own.astype("<u4").tobytes()))):
                             column.append(value)
+                        if with_ids:
+                            rows[5].append(own.astype(np.int32))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
-                columns = [pa.array(c, t) for c, t in zip(rows, kinds)][: 6 if with_ids else 5]
+                columns = [pa.array(c, t) for c, t in zip(rows, kinds)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
@@ -138,12 +140,12 @@ def sequences(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("sequence_id").agg(F.flatten(F.transform(ordered, lambda p: p["ids"])).alias("ids"))
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024, cache: int = CACHE) -> DataFrame:
     """Every piece of every document with its sequence and its place there.
 
     A null text is an empty document, which is its end id alone; null and repeated ids are documents of their own.
     """
-    return pack(stage(cut_documents(docs, vocabulary, end_id, capacity), "pieces"), capacity)
+    return pack(stage(cut_documents(docs, vocabulary, end_id, capacity, cache=cache), "pieces"), capacity)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from barweave.llm.packing import pack_documents
 from barweave.llm.quality import quality_filter
 from barweave.llm.simhash import drop_near_duplicates
 from barweave.llm.templates import drop_recurring_lines
-from barweave.llm.tokenise import vocabulary_path
+from barweave.llm.tokenise import SMALL, vocabulary_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +43,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents in sequences of 1024 tokens."""
-    return pack_documents(docs, vocabulary_path("byte_bpe_50k.json"))
+    """Pieces of the mixed documents in sequences of 1024 tokens; executors are full from the stages before."""
+    return pack_documents(docs, vocabulary_path("byte_bpe_50k.json"), cache=SMALL)
 
 
 STAGES = [

@@ -86,3 +86,24 @@ def test_every_stage_on_what_the_one_before_kept(spark):
     for _, g in packed.sort_values("offset").groupby("sequence_id"):
         ends = (g.offset + g.length).tolist()
         assert g.offset.tolist() == [0, *ends[:-1]] and ends[-1] <= 1024
+
+
+def test_packing_keeps_a_small_encoder_and_the_same_pieces(spark, monkeypatch):
+    """Its workers share executors that the stages before have filled; forgetting pieces changes no id."""
+    import random
+
+    from barweave.llm import packing, tokenise
+
+    asked = []
+    monkeypatch.setattr(corpus_pipeline, "pack_documents", lambda *a, **k: asked.append(k["cache"]))
+    corpus_pipeline.best_fit_packing(spark, None, "")
+    assert asked[0] <= 60_000
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("aeiou") + str(rng.randrange(500)) + "x\ny,"[: rng.randrange(5)] for _ in range(300)) for _ in range(40)] + [None, "", " a  b\n"]
+    small, large = tokenise.Encoder(vocabulary_path("byte_bpe_50k.json"), 200), tokenise.Encoder(vocabulary_path("byte_bpe_50k.json"))
+    assert list(small.batch(texts)) == list(large.batch(texts))
+    assert len(small.pieces) + len(small.older) < len(large.pieces)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    made = [packing.cut_documents(docs, vocabulary_path("byte_bpe_50k.json"), 2, 1024, with_ids, cache) for with_ids, cache in ((False, 200), (True, 300_000))]
+    some = made[0].columns
+    assert sorted(map(tuple, made[0].collect())) == sorted(map(tuple, made[1].select(*some).collect()))

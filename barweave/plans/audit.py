@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from barweave.functions.rounding import rounded
 from barweave.plans import queries as q
 
-c, r8 = F.col, lambda x, n=8: F.round(x, n)
+c, r8 = F.col, rounded
 END = "open_time + INTERVAL '1' HOUR - INTERVAL '0.001' SECOND"
 
 
@@ -186,7 +187,7 @@ def portable_inference(spark, d):
     """Exported models as columns: the sum of coefficients and features, and trees as nested cases."""
     vector, weights = F.array("za", "zb"), F.array(*map(F.lit, _COEF[:2]))
     linear = F.aggregate(F.zip_with(vector, weights, lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x) + _COEF[2]
-    return _standard(spark, d).select("symbol", "candle_index", r8(linear, 6).alias("linear"), F.round(F.expr(_TREES).cast("double"), 6).alias("trees"))
+    return _standard(spark, d).select("symbol", "candle_index", r8(linear, 6).alias("linear"), r8(F.expr(_TREES).cast("double"), 6).alias("trees"))
 
 
 @q.query("log_loss_clipped", f"{q._SC} SELECT fold, round(avg(CASE WHEN positive THEN -ln(k) ELSE -ln(1 - k) END), 8) AS log_loss FROM (SELECT fold, positive, least(greatest(CASE WHEN candle_index % 9 = 0 THEN 0.0 WHEN candle_index % 11 = 0 THEN 1.0 ELSE p END, 1e-15), 1 - 1e-15) AS k FROM p) GROUP BY fold")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from barweave.functions.rounding import rounded
 from barweave.operators import gates as g
 from barweave.plans import queries as q
 from barweave.sources.shared import written
@@ -41,7 +42,7 @@ def _measured(paths, *keys):
     w = Window.partitionBy(*keys).orderBy("candle_index").rowsBetween(Window.unboundedPreceding, 0)
     x = paths.withColumn("log", F.sum("r").over(w)).withColumn("top", F.greatest(F.lit(0.0), F.max("log").over(w)))
     m = x.groupBy(*keys).agg(F.first("kind").alias("kind"), (F.exp(F.max_by("log", "candle_index")) - 1).alias("net_return"), F.max(1 - F.exp(c("log") - c("top"))).alias("drawdown"))
-    return m.withColumn("rtd", c("net_return") / F.nullif(c("drawdown"), F.lit(0.0))).withColumns({n: F.round(n, 8) for n in ("net_return", "drawdown", "rtd")})
+    return m.withColumn("rtd", c("net_return") / F.nullif(c("drawdown"), F.lit(0.0))).withColumns({n: rounded(n) for n in ("net_return", "drawdown", "rtd")})
 
 
 def _evidence(spark, d):
@@ -52,14 +53,14 @@ def _evidence(spark, d):
     whole = _measured(paths, *PER).withColumnRenamed("symbol", "subject")
     folds = _measured(paths.where(c("variant").isin("primary", "hold")), "symbol", "fold", "variant").groupBy(c("symbol").alias("subject"), "fold").pivot("variant", ["primary", "hold"]).agg(F.first("net_return").alias("net_return"), F.first("rtd").alias("rtd"))
     place = paths.where("variant = 'primary'").select(c("symbol").alias("subject"), c("candle_index").alias("exit_index"), "fold")
-    gain = F.round(F.greatest(c("exit_close") - c("entry_close"), F.lit(0.0)), 8)
+    gain = rounded(F.greatest(c("exit_close") - c("entry_close"), F.lit(0.0)))
     trades = q._trades(spark, d).select(c("symbol").alias("subject"), "exit_index", gain.alias("gain")).join(place, ["subject", "exit_index"])
     traded = trades.groupBy("subject", "fold").agg(F.count("*").alias("trades"), F.sum(c("gain").cast(g.VALUE)).alias("positive_profit"))
     folds = folds.join(traded, ["subject", "fold"], "left").select("subject", "fold", c("primary_net_return").alias("net_return"), c("primary_rtd").alias("rtd"), c("hold_rtd").alias("baseline_rtd"), F.coalesce("positive_profit", F.lit(0)).alias("positive_profit"), F.coalesce("trades", F.lit(0)).alias("trades"))
     state = q._regimes(spark, d)
-    by_state = paths.where("variant = 'primary'").join(state, ["symbol", "candle_index"]).groupBy(c("symbol").alias("subject"), "state").agg(F.round(F.exp(F.sum("r")) - 1, 8).alias("net_return"), F.count("*").alias("periods"))
+    by_state = paths.where("variant = 'primary'").join(state, ["symbol", "candle_index"]).groupBy(c("symbol").alias("subject"), "state").agg(rounded(F.exp(F.sum("r")) - 1).alias("net_return"), F.count("*").alias("periods"))
     profit = F.sum(c("gain").cast(g.VALUE))
-    sold = trades.groupBy("subject").agg(F.count("*").alias("trades"), F.nullif(profit, F.lit(0)).alias("positive_profit"), F.round(F.max("gain") / F.nullif(profit.cast("double"), F.lit(0.0)), 8).alias("largest_trade"))
+    sold = trades.groupBy("subject").agg(F.count("*").alias("trades"), F.nullif(profit, F.lit(0)).alias("positive_profit"), rounded(F.max("gain") / F.nullif(profit.cast("double"), F.lit(0.0))).alias("largest_trade"))
     pick = lambda variant, **names: whole.where(c("variant") == variant).select("subject", *[c(a).alias(b) for a, b in names.items()])
     final = pick("primary", net_return="net_return", drawdown="drawdown", rtd="rtd").join(pick("hold", net_return="simple_net_return", drawdown="buy_hold_drawdown", rtd="simple_rtd"), "subject").join(pick("late", rtd="delayed_rtd"), "subject").join(sold, "subject", "left")
     final = final.withColumn("trades", F.coalesce("trades", F.lit(0)))
@@ -120,7 +121,7 @@ outcomes AS (SELECT subject, policy, position, gate, round(arg_min(value, measur
 @q.query("gates_report", f"{_SQL} SELECT * FROM outcomes")
 def gates_report(spark, d):
     """32, 26 and 27 gates a symbol under the three policies."""
-    return _outcomes(spark, d).withColumn("observed", F.round(c("observed").cast("double"), 6))
+    return _outcomes(spark, d).withColumn("observed", rounded(c("observed").cast("double"), 6))
 
 
 @q.query("gates_verdict", f"{_SQL} SELECT subject, policy, count(*) FILTER (status = 'PASSED') AS passed, count(*) FILTER (status = 'FAILED') AS failed, count(*) FILTER (status = 'MISSING') AS missing, CASE WHEN count(*) FILTER (status = 'FAILED') > 0 THEN 'REJECTED' WHEN count(*) FILTER (status = 'MISSING') > 0 THEN 'INCONCLUSIVE' WHEN policy = 'v0.1' THEN 'PASS' ELSE 'QUALIFIED' END AS verdict FROM outcomes GROUP BY subject, policy")

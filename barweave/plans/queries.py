@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barweave.functions import features as ft
+from barweave.functions.rounding import rounded
 from barweave.operators import sequential, specialists
 from barweave.sources import bars as b
 
@@ -30,7 +31,7 @@ def _seg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _r(col, places: int = 8):
-    return F.round(col, places)
+    return rounded(col, places)
 
 
 WITH = f"WITH {b.SEGMENTED_SQL}"
@@ -118,7 +119,8 @@ def closure_match(spark, d):
 def _family(names: list[str]):
     def run(spark, d):
         made = ft.registry()
-        return ft.base(_seg(spark, d)).select("symbol", "candle_index", *[_r(made[n]).alias(n) for n in names])
+        raw = ft.base(_seg(spark, d)).select("symbol", "candle_index", *[made[n].alias(n) for n in names])
+        return raw.select("symbol", "candle_index", *[_r(F.col(n)).alias(n) for n in names])
 
     return run
 

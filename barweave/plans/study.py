@@ -56,7 +56,7 @@ def _gates(spark, d):
 
 @q.query("promotion_gates", f"{_MEASURED} SELECT symbol, gate, round(observed, 6) AS observed, required, passed FROM g")
 def promotion_gates(spark, d):
-    return _gates(spark, d).withColumn("observed", F.round("observed", 6))
+    return _gates(spark, d).withColumn("observed", q._r(F.col("observed"), 6))
 
 
 @q.query("promotion_class", f"{_MEASURED} SELECT symbol, CASE WHEN count(*) FILTER (NOT passed) > 0 THEN 'REJECTED' WHEN count(*) FILTER (passed IS NULL) > 0 THEN 'INCONCLUSIVE' ELSE 'PASS' END AS verdict, count(*) FILTER (passed) AS passed FROM g GROUP BY symbol")

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 from barweave.functions import features
+from barweave.functions.rounding import rounded
 from barweave.operators import sequential
 from barweave.plans import audit, exclusion, gates, guards, late, safe_events, specialist, study  # noqa: F401  register their queries
 from barweave.plans.queries import QUERIES, SQL
@@ -145,3 +146,30 @@ def test_feature_matrix_of_repeated_closes_matches_sql(spark):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
     name = "feature_matrix_complete"
     assert rows(QUERIES[name](spark, sf).toPandas()) == rows(con.execute(SQL[name]).fetchdf())
+
+
+def test_feature_matrix_of_zero_closes_and_halves_matches_sql(spark, tmp_path):
+    """Closes of 0, after which no return is taken, and fractions of power-of-two ranges, whose ninth place is a half."""
+    rng, made = random.Random(4), []
+    for symbol in ("click", "error", "view"):
+        for i in range(150):
+            low = 0.0 if i < 20 else 0.5
+            for value in [low, 128.0 + low, *[round(rng.uniform(1, 128), 2) for _ in range(rng.randrange(1, 6))], 0.0 if i % 7 == 3 and i < 20 else round(rng.uniform(1, 128), 2)]:
+                made.append((len(made), datetime(2024, 1, 1) + timedelta(hours=i, seconds=len(made) % 3000 / 1000 + len(made) / 1e6), symbol, value))
+    pd.DataFrame(made, columns=["event_id", "ts", "event_type", "value"]).astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet", index=False)
+    con, name = duckdb.connect(), "feature_matrix_complete"
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.execute(SQL[name]).fetchdf()
+    assert len(want) > 200
+    assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(want)
+
+
+def test_rounding_equals_the_sql_at_halves(spark):
+    values = [k / 2**m for m in (8, 9, 10, 12) for k in range(-2 * 2**9, 2 * 2**9, 7)] + [k / 256 * 1.01 for k in range(200)] + [5.02 / 256, 159.7 / 256, 1e-9, -5e-9, 0.0]
+    frame = pd.DataFrame({"x": values})
+    for places in (8, 6, 4):
+        got = spark.createDataFrame(frame).select("x", rounded("x", places).alias("y")).toPandas()
+        con = duckdb.connect()
+        con.register("t", frame)
+        want = con.execute(f"SELECT x, round(x, {places}) AS y FROM t").fetchdf()
+        assert rows(got) == rows(want)  # the sign of zero too

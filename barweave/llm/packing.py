@@ -112,20 +112,20 @@ def cut_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int,
     which the first takes what is left over.  with_ids adds the ids themselves.  cache: see tokenise.py."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, cache)
+        enc, end = encoder(vocabulary, cache), end_id.to_bytes(4, "little")
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 rows: list[list] = [[] for _ in range(6 if with_ids else 5)]
                 for doc, raw in zip(part.column(0).to_pylist(), enc.batch(part.column(1).to_pylist())):
-                    ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
-                    edges = list(range(len(ids), 0, -capacity))[::-1]
+                    raw += end
+                    edges = list(range(len(raw) // 4, 0, -capacity))[::-1]
                     for k, (i, j) in enumerate(zip([0, *edges], edges)):
-                        own = ids[i:j]
-                        for column, value in zip(rows, (doc, k, i, j - i, zlib.crc32(own.astype("<u4").tobytes()))):
+                        own = raw[4 * i : 4 * j]
+                        for column, value in zip(rows, (doc, k, i, j - i, zlib.crc32(own))):
                             column.append(value)
                         if with_ids:
-                            rows[5].append(own.astype(np.int32))
+                            rows[5].append(np.frombuffer(own, "<u4").astype(np.int32))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
                 columns = [pa.array(c, t) for c, t in zip(rows, kinds)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])

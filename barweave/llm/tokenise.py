@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 
@@ -23,8 +23,10 @@ _TAIL = ".,;:!?*#%$&"
 #: Latin letters, each of which stays one letter when normalized; U+0130 becomes two characters in lower case.
 _LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
-#: Pieces that a worker remembers (twice as many for a while, about 110 MB), and where memory is short (30 MB): about 1.4 times the time.
-CACHE, SMALL = 300_000, 60_000
+#: Pieces that a worker remembers (twice as many for a while, about 220 MB), and where memory is short (30 MB): well over the time.
+CACHE, SMALL = 600_000, 60_000
+#: Characters of texts whose new pieces are encoded together.
+SLICE = 300_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -47,7 +49,7 @@ class Encoder:
         for token, i in vocabulary.items():
             self.first[i], self.last[i] = token.startswith("\u0120"), token.endswith("</w>")
         self.ends = bool(self.last.any())  # words end in a mark, else they begin with a space
-        self.limit, self.slice_chars = cache, 5 * cache
+        self.limit, self.slice_chars = cache, SLICE
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
@@ -78,14 +80,14 @@ class Encoder:
         return [raw[i:j] for i, j in zip((starts * 4).tolist(), (stops * 4).tolist())]
 
     def learn(self, fresh: Iterable[str]) -> None:
-        """Adds pieces to the cache; a key that begins with a line break is what follows one."""
+        """Adds pieces to the cache; a key that begins with a line break is that and what follows it."""
         pieces, older, plain, bare, tailed, lines = self.pieces, self.older, set(), set(), [], []
 
         def word(key: str) -> None:
             text = key[1:] if key[:1] == "\n" else key
             head = text.rstrip(_TAIL)
             if not _LETTERS.fullmatch(head):
-                pieces[key] = self.whole(text if key[:1] == "\n" else " " + text)
+                pieces[key] = self.newline + self.whole(text) if key[:1] == "\n" else self.whole(" " + text)
                 return
             whole = key[: len(key) - len(text) + len(head)]
             if whole not in pieces and (ready := older.get(whole)) is not None:
@@ -98,7 +100,7 @@ class Encoder:
         for piece in fresh:
             if (known := older.get(piece)) is not None:
                 pieces[piece] = known
-            elif "\n" in piece and all(x.split() == [x] for x in piece.split("\n")):
+            elif "\n" in piece[1:] and all(x.split() == [x] for x in piece.split("\n")):
                 keys = [x if i == 0 else "\n" + x for i, x in enumerate(piece.split("\n"))]
                 lines.append((piece, keys))
                 for key in keys:
@@ -109,13 +111,13 @@ class Encoder:
         for group, is_bare in ((list(plain), False), (list(bare), True)):
             for i in range(0, len(group), 2000):
                 part = group[i : i + 2000]
-                pieces.update(zip(part, self.words([x[1:] for x in part] if is_bare else part, is_bare)))
+                pieces.update(zip(part, [self.newline + x for x in self.words([x[1:] for x in part], True)] if is_bare else self.words(part, False)))
         for key, head, tail in tailed:
             if tail not in self.tails:
                 self.tails[tail] = self.whole(tail)
             pieces[key] = pieces[head] + self.tails[tail]
         for piece, keys in lines:
-            pieces[piece] = self.newline.join([pieces[k] for k in keys])
+            pieces[piece] = b"".join([pieces[k] for k in keys])
 
     def parts(self, text: str) -> list[str]:
         """The text's pieces; but for vocabularies that drop white space, the first follows nothing."""
@@ -124,17 +126,25 @@ class Encoder:
             return words if not _RARE.search(text) else [text]
         gaps = text.count(" ") + text.count("\n")
         plain = len(words) == gaps + 1 and sum(map(len, words)) + gaps == len(text)  # single gaps of these two kinds alone
-        return text.split(" ") if plain else _CUT.split(text)
+        return text.replace("\n", " \n").split(" ") if plain else _CUT.split(text)
 
     def slice(self, texts: list[str]) -> list[bytes]:
         if len(self.pieces) > self.limit:
             self.older, self.pieces, self.tails = self.pieces, {}, {}
-        known, parts, firsts = self.pieces, list(map(self.parts, texts)), [b""] * len(texts)
-        if not self.ends:
-            firsts = [self.whole(p[0]) if p[0] else b"" for p in parts]
-            parts = [p[1:] for p in parts]
-        self.learn([x for x in set(chain.from_iterable(parts)) if x not in known])
-        return [first + b"".join(map(known.__getitem__, p)) for first, p in zip(firsts, parts)]
+        known, parts = self.pieces, list(map(self.parts, texts))
+        firsts = [] if self.ends else [p.pop(0) for p in parts]
+        flat = list(chain.from_iterable(parts))
+        found = list(map(known.get, flat))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        self.learn({flat[i] for i in missing})
+        for i in missing:
+            found[i] = known[flat[i]]
+        at = [0, *accumulate(map(len, parts))]
+        rest = [b"".join(found[i:j]) for i, j in zip(at, at[1:])]
+        if self.ends:
+            return rest
+        begun = self.tokenizer.encode_batch_fast(firsts, add_special_tokens=False)
+        return [np.asarray(first.ids, dtype="<u4").tobytes() + ids for first, ids in zip(begun, rest)]
 
     def batch(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes; null is empty."""

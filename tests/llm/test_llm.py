@@ -420,3 +420,16 @@ def test_clashing_columns_and_empty_tables(spark):
         got = [x.collect() for x in made]
         assert tuple(map(len, got)) == sizes
         assert all(tuple(r) in (one, (None,) * 13) for x in got for r in x)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_at_line_ends_are_learnt_once(name):
+    """A word is a piece after a space and after a line break, and not with every word that it meets there."""
+    from barweave.llm.tokenise import Encoder, vocabulary_path
+
+    words = ["alpha", "Beta,", "génial.", "x7", "delta!", "42", "中", "e-f"]
+    texts = [f"{a} {b}\n{c} {a}" for a in words for b in words for c in words] + ["\na b", "a\n\nb", "a \nb", "a\tb\nc", "", "a\n"]
+    made = Encoder(vocabulary_path(name))
+    got = list(made.batch(texts))
+    assert got == [made.whole(t) for t in texts]
+    assert sum("\n" in p[1:] for p in made.pieces) <= 6 and len(made.pieces) <= 60

@@ -4,8 +4,11 @@ A text's set of n-grams is an array of longs in one order that holds for all tex
 of 2**18 groups of n-grams over the whole corpus, then its hash.  Rare n-grams come first.  Any such order is right, so the
 counts need not be exact, and they are of one size whatever the corpus.
 
-Similar sets share one of their first ``n - ceil(similarity * n) + 1`` n-grams.  These, by size classes, are the branches at the
-root of the tree of all sets, one key each, and a branch that only one set has ends there.  Sets that meet in a branch are told apart by
+Rare n-grams recur by chance in ever more sets as the corpus grows, so the tree does not branch by single ones: a set is dealt
+into blocks of about four n-grams by their hash, as many blocks for all sets of a size class, and is a set of blocks in one order,
+those of many and rare n-grams first.  An n-gram that is in one of two sets alone spoils one block, so similar sets share one
+of their first blocks, one more than the n-grams in which they may differ.  These are the branches at the root of the tree of
+all sets, one key each, and a branch that only one set has ends there.  Sets that meet in a branch are told apart by
 their sizes and parities (``jaccard.py``; long sets have finer ones besides).  The sets that a set may be linked to are streamed to a task in chunks, and a
 chunk makes a tree: it is walked with the set in hand, what is common down to a node is counted once for all sets below it,
 and a subtree is left as soon as what remains of the sets below and in hand cannot reach the overlap asked for.
@@ -138,14 +141,33 @@ def not_apart(pairs: DataFrame, long: DataFrame, percent: int) -> DataFrame:
 
 
 def branches(found: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of which similar sets share one: the set's first n-grams, by size classes.
+    """Keys of which similar sets share one: the set's first blocks, by size classes.
 
     Sizes of similar sets are less than a step of the logarithm apart.  A class is two steps wide, and sets in its upper
-    half are in the next class too."""
-    first = found[: len(found) + (-percent * len(found) // 100) + 1].view(np.uint64)
-    step = int(np.log(len(found)) / (np.log(100 / percent) * (1 + 1e-9))) if percent < 100 else 2 * len(found)
+    half are in the next class too.  There they meet sets of their step and larger ones, in their own class smaller ones only.
+    Below 80 per cent blocks would often be empty, and first n-grams are taken in their place."""
+    k, values = len(found), found.view(np.uint64)
+    step = int(np.log(k) / (np.log(100 / percent) * (1 + 1e-9))) if percent < 100 else 2 * k
     classes = [step // 2, step // 2 + 1] if step % 2 else [step // 2]
-    return np.concatenate([(first ^ np.uint64(c + 1)) * np.uint64(0x9E3779B97F4A7C15) for c in classes]).view(np.int64)
+    if percent < 80:
+        first = values[: k + (-percent * k // 100) + 1]
+        return np.concatenate([(first ^ np.uint64(c + 1)) * np.uint64(0x9E3779B97F4A7C15) for c in classes]).view(np.int64)
+    mixed = values * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    place, rare = mixed >> np.uint64(32), 64 - (values >> np.uint64(57)).astype(np.int64)
+    out = []
+    for c in classes:
+        largest = k if c < (step + 1) // 2 else 100 * k // percent
+        differ = (100 - percent) * (k + largest) // (100 + percent)
+        # a set that may differ in nothing is one block
+        many = 2 + int(4 * (100 - percent) / (100 + percent) * (100 / percent) ** (2 * c + 1.5)) if differ else 1
+        block = ((place * np.uint64(many)) >> np.uint64(32)).astype(np.int64)
+        keys = np.zeros(many, np.uint64)
+        np.add.at(keys, block, mixed)
+        keys = (keys ^ (np.uint64(c + 1) << np.uint64(32)) ^ np.arange(many, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        weight = np.bincount(block, rare, many)
+        out.append(keys[np.lexsort((keys, -weight))[: differ + 1]])
+    return np.concatenate(out).view(np.int64)
 
 
 def described(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:

@@ -129,6 +129,39 @@ def test_similar_sets_share_a_branch(percent):
                 assert np.intersect1d(a, b).size, (k, few)
 
 
+@pytest.mark.parametrize("percent", [80, 85, 90, 97])
+def test_similar_sets_of_rare_and_common_values_share_a_branch(percent):
+    """Values of all frequency classes; what is dropped and added is near the limit, on both sides of it."""
+    rng, similar = np.random.default_rng(percent), 0
+    for _ in range(1500):
+        k = int(np.exp(rng.uniform(0, 7)))
+        values = rng.integers(-(1 << 63), (1 << 63) - 1, 2 * k + 2)
+        a, most = np.sort(values[:k].view(np.uint64)).view(np.int64), k * (100 - percent) // 90 + 1
+        b = np.append(rng.permutation(a)[rng.integers(0, most + 1) :], values[k : k + rng.integers(0, most + 1)])
+        b = np.sort(b.view(np.uint64)).view(np.int64)
+        common = len(np.intersect1d(a, b))
+        if len(b) and 100 * common >= percent * (len(a) + len(b) - common):
+            similar += 1
+            assert np.intersect1d(prefix_tree.branches(a, percent), prefix_tree.branches(b, percent)).size, (len(a), len(b), common)
+    assert similar > 300
+
+
+def test_values_shared_by_chance_make_no_branch_common():
+    """Sets from few values, as in a large corpus: each value is in many, and the first of a set are in others too."""
+    rng = np.random.default_rng(4)
+    values = np.unique(rng.integers(0, 1 << 62, 20000))
+    sets = [np.sort(rng.choice(values, rng.integers(40, 400), replace=False)) for _ in range(1500)]
+    keys, counts = np.unique(np.concatenate([np.unique(prefix_tree.branches(s, 90)) for s in sets]), return_counts=True)
+    assert len(keys) > 20 * len(sets)
+    assert counts[counts > 1].sum() < 0.01 * counts.sum()
+
+
+def test_short_sets_that_share_a_value_do_not_meet():
+    """Sets of fewer than ten values have no similar set but themselves."""
+    sets = [np.array([1, *range(10 * i, 10 * i + 7)]) for i in range(1, 200)]
+    assert len(np.unique(np.concatenate([prefix_tree.branches(s, 90) for s in sets]))) == sum(len(prefix_tree.branches(s, 90)) for s in sets)
+
+
 def test_join_spread_is_a_left_join(spark):
     rows = spark.createDataFrame([(i % 7 if i % 11 else None, i) for i in range(500)], "k long, part long")
     table = spark.createDataFrame([(i, f"v{i}") for i in range(5)], "k long, v string")

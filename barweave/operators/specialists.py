@@ -15,9 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from barweave.sources.shared import written
 
@@ -177,10 +177,12 @@ def _route(bins: np.ndarray, tree: dict[int, tuple]) -> np.ndarray:
     return node
 
 
-def _level(binned: DataFrame, grown: dict[int, list[tuple[dict, dict]]], now: dict[int, dict], level: int, width: int, bins: int, rate: float, leaf: int) -> dict[int, dict[int, dict]]:
+def _level(binned: DataFrame, grown: dict[int, list[tuple[dict, dict]]], now: dict[int, dict], level: int, width: int, bins: int, rate: float, leaf: int, alone: bool) -> dict[int, dict[int, dict]]:
     """Of each fold's nodes at a level the best split, if any, and the sums of residuals and curvature on both sides.
 
-    grown: trees after those in the rows' scores (splits, values), now: the splits of the tree that grows."""
+    grown: trees after those in the rows' scores (splits, values), now: the splits of the tree that grows.  A histogram is
+    one row of bytes for a task, fold, node and feature; those of a feature are added in the order of tasks.  alone: the
+    rows are few enough to be one partition, whose histograms need no exchange."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], np.ndarray] = {}
@@ -189,11 +191,8 @@ def _level(binned: DataFrame, grown: dict[int, list[tuple[dict, dict]]], now: di
             placed = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, width)
             for f in np.unique(fold).tolist():
                 rows = np.flatnonzero(fold == f)
-                mine, raw = placed[rows], score[rows].copy()
-                for splits, values in grown[f]:
-                    node = _route(mine, splits)
-                    raw += rate * np.array([values.get(i, 0.0) for i in range(int(node.max()) + 1)])[node]
-                p = 1 / (1 + np.exp(-raw))
+                mine = placed[rows]
+                p = 1 / (1 + np.exp(-_raised(score[rows], mine, grown[f], rate)))
                 node = _route(mine, now[f])
                 for at in np.unique(node[node >= 2**level - 1]).tolist():
                     here = node == at
@@ -201,27 +200,54 @@ def _level(binned: DataFrame, grown: dict[int, list[tuple[dict, dict]]], now: di
                     r, h = (y[rows] - p)[here], (p * (1 - p))[here]
                     sums = np.array([np.bincount(place, np.repeat(v, width), width * bins) for v in (np.ones(len(r)), r, h)])
                     total[f, at] = total[f, at] + sums if (f, at) in total else sums
+        task = TaskContext.get().partitionId()
         for (f, at), sums in total.items():
-            some = np.flatnonzero(sums[0])
-            columns = [pa.array(np.full(len(some), v)) for v in (f, at)] + [pa.array(some // bins), pa.array(some % bins)] + [pa.array(s[some]) for s in sums]
-            yield pa.record_batch(columns, names=["fold", "node", "feature", "bin", "n", "r", "h"])
-
-    found = binned.mapInArrow(add, "fold bigint, node bigint, feature bigint, bin bigint, n double, r double, h double")
-    found = found.groupBy("fold", "node", "feature", "bin").agg(*[F.sum(k).alias(k) for k in "nrh"])
-    one = Window.partitionBy("fold", "node", "feature")
-    upto = one.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    found = found.withColumns({f"l{k}": F.sum(k).over(upto) for k in "nrh"} | {f"a{k}": F.sum(k).over(one) for k in "nrh"})
-    more = F.col("an") - F.col("ln")
-    between = F.col("ln") * more / F.col("an") * F.pow(F.col("lr") / F.col("ln") - (F.col("ar") - F.col("lr")) / F.nullif(more, F.lit(0.0)), F.lit(2))
-    gain = F.when((F.col("ln") >= leaf) & (more >= leaf), F.round(between, 10))
-    # of equal gains the first feature, then the lowest cut
-    best = F.max(F.when(gain > 0, F.struct(gain.alias("gain"), (-F.col("feature")).alias("feature"), (-F.col("bin")).alias("bin"), "lr", "lh")))
+            each = sums.reshape(3, width, bins).transpose(1, 0, 2)
+            columns = [pa.array(np.full(width, v)) for v in (f, at)] + [pa.array(np.arange(width)), pa.array(np.full(width, task)), pa.array([s.tobytes() for s in each], pa.binary())]
+            yield pa.record_batch(columns, names=["fold", "node", "feature", "task", "sums"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int, int], np.ndarray] = {}
+        for batch in batches:
+            for *key, sums in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4))):
+                sums, key = np.frombuffer(sums).reshape(3, bins), tuple(key)
+                total[key] = total[key] + sums if key in total else sums
+        if not total:
+            return
+        left = np.cumsum(list(total.values()), axis=2)
+        (n, r, _), (of, ar, ah) = left.transpose(1, 0, 2), left[:, :, -1:].transpose(1, 0, 2)
+        more = of - n
+        some = (n >= max(leaf, 1)) & (more >= max(leaf, 1))
+        between = n * more / of * (r / np.where(some, n, 1) - (ar - r) / np.where(some, more, 1)) ** 2
+        gain = np.where(some, np.round(between, 10), 0.0)
+        cut, one = gain.argmax(1), np.arange(len(gain))  # of equal gains the lowest cut
+        columns = [*np.array(list(total)).T, cut, gain[one, cut], left[one, 1, cut], left[one, 2, cut], ar[:, 0], ah[:, 0]]
+        yield pa.record_batch([pa.array(c) for c in columns], names=["fold", "node", "feature", "bin", "gain", "lr", "lh", "r", "h"])
+
+    keys, schema = ["fold", "node", "feature"], "fold bigint, node bigint, feature bigint, bin bigint, gain double, lr double, lh double, r double, h double"
+    if alone:
+        told = binned.mapInArrow(lambda batches: split(add(batches)), schema)
+    else:
+        found = binned.mapInArrow(add, "fold bigint, node bigint, feature bigint, task bigint, sums binary")
+        told = found.repartition(*keys).sortWithinPartitions(*keys, "task").mapInArrow(split, schema)
     out: dict[int, dict[int, dict]] = {}
-    for r in found.groupBy("fold", "node").agg(best.alias("best"), F.max_by("ar", "feature").alias("r"), F.max_by("ah", "feature").alias("h")).collect():
-        out.setdefault(r["fold"], {})[r["node"]] = {"best": r["best"], "r": r["r"], "h": r["h"]}
+    for row in sorted(told.collect(), key=lambda row: row["feature"]):  # folds x features
+        at = out.setdefault(row["fold"], {}).setdefault(row["node"], {"best": None})
+        at |= {"r": row["r"], "h": row["h"]}
+        if row["gain"] > (at["best"]["gain"] if at["best"] else 0):  # of equal gains the first feature
+            at["best"] = row
     return out
 
 
+def _raised(score: np.ndarray, placed: np.ndarray, grown: list[tuple[dict, dict]], rate: float) -> np.ndarray:
+    """Scores after the trees that are not in them yet."""
+    score = score.copy()
+    for splits, values in grown:
+        node = _route(placed, splits)
+        score += rate * np.array([values.get(i, 0.0) for i in range(int(node.max()) + 1)])[node]
+    return score
+
+
 def boosted_trees(train: DataFrame, names: list[str], trees: int = 150, rate: float = 0.03, depth: int = 2, leaf: int = 100, bins: int = 256, every: int = 25) -> DataFrame:
     """The nodes of each fold's trees, grown on log loss: fold, tree, node (0 is the root; 2 i + 1 and 2 i + 2 are i's children),
     feature, name and threshold (values at or below it go left; null at a leaf), value (a leaf's) and rate.  Tree -1 has
@@ -233,19 +259,21 @@ def boosted_trees(train: DataFrame, names: list[str], trees: int = 150, rate: fl
     starts = {r["fold"]: float(np.log(r["p"] / (1 - r["p"]))) for r in train.groupBy("fold").agg(F.avg(F.col("positive").cast("double")).alias("p")).collect()}
     cuts = _cuts(train, width, bins)
     first = F.element_at(F.create_map(*[F.lit(v) for item in starts.items() for v in item]), F.col("fold"))
-    binned = written(_binned(train.withColumn("score", first), cuts, width), "binned")
+    # side by side a task has few folds, and few histograms
+    binned = written(_binned(train.withColumn("score", first), cuts, width).repartitionByRange("fold", "bins").sortWithinPartitions("fold", "bins", "y"), "binned")
+    alone = binned.rdd.getNumPartitions() == 1
     nodes = [(f, -1, 0, None, None, None, start, 1.0) for f, start in starts.items()]
     grown: dict[int, list[tuple[dict, dict]]] = {f: [] for f in starts}
     for tree in range(trees):
         splits: dict[int, dict] = {f: {} for f in starts}
         values: dict[int, dict] = {f: {} for f in starts}
         for level in range(depth):
-            for f, found in _level(binned, grown, splits, level, width, bins, rate, leaf).items():
+            for f, found in _level(binned, grown, splits, level, width, bins, rate, leaf, alone).items():
                 for at, told in found.items():
                     best = told["best"]
                     values[f][at] = told["r"] / told["h"] if told["h"] > 1e-150 else 0.0
                     if best:
-                        splits[f][at] = (-best["feature"], -best["bin"])
+                        splits[f][at] = (best["feature"], best["bin"])
                         del values[f][at]
                         for child, r, h in ((2 * at + 1, best["lr"], best["lh"]), (2 * at + 2, told["r"] - best["lr"], told["h"] - best["lh"])):
                             values[f][child] = r / h if h > 1e-150 else 0.0
@@ -255,6 +283,7 @@ def boosted_trees(train: DataFrame, names: list[str], trees: int = 150, rate: fl
             nodes += [(f, tree, at, None, None, None, float(v), rate) for at, v in values[f].items()]
         if (tree + 1) % every == 0 and tree + 1 < trees:
             binned, grown = written(_rescored(binned, grown, width, rate), "binned"), {f: [] for f in starts}
+            alone = binned.rdd.getNumPartitions() == 1
     schema = "fold bigint, tree int, node int, feature int, name string, threshold double, value double, rate double"
     return train.sparkSession.createDataFrame([(f, t, n, None if i is None else int(i), *rest) for f, t, n, i, *rest in nodes], schema)
 
@@ -266,9 +295,7 @@ def _rescored(binned: DataFrame, grown: dict[int, list[tuple[dict, dict]]], widt
             placed = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, width)
             for f in np.unique(fold).tolist():
                 rows = np.flatnonzero(fold == f)
-                for splits, values in grown[f]:
-                    node = _route(placed[rows], splits)
-                    score[rows] += rate * np.array([values.get(i, 0.0) for i in range(int(node.max()) + 1)])[node]
+                score[rows] = _raised(score[rows], placed[rows], grown[f], rate)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score), batch.column(3)], names=["fold", "y", "score", "bins"])
 
     return binned.mapInArrow(add, binned.schema)
@@ -277,20 +304,22 @@ def _rescored(binned: DataFrame, grown: dict[int, list[tuple[dict, dict]]], widt
 def tree_scores(rows: DataFrame, nodes: DataFrame, depth: int = 2, name: str = "score") -> DataFrame:
     """rows with the sum of their leaves' values, times the rate, over the trees of their fold; x as trained on.
 
-    A model is one row a fold, an array of trees of maps from nodes, so that rows are not exchanged for each tree."""
+    A model is one row a fold, an array of trees of nodes by their numbers, and goes to all tasks, so that rows are not
+    exchanged and no tree is searched for."""
     node = F.struct("feature", "threshold", (F.col("value") * F.col("rate")).alias("value"))
-    trees = nodes.groupBy("fold", "tree").agg(F.map_from_entries(F.collect_list(F.struct("node", node.alias("at")))).alias("nodes"))
-    model = trees.groupBy("fold").agg(F.array_sort(F.collect_list("tree")).alias("order"), F.map_from_entries(F.collect_list(F.struct("tree", "nodes"))).alias("trees"))
+    places = F.array(*[F.max(F.when(F.col("node") == i, node)) for i in range(2 ** (depth + 1) - 1)])
+    trees = nodes.groupBy("fold", "tree").agg(places.alias("nodes"))
+    model = trees.groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("tree", "nodes"))).alias("trees"))
 
     def leaf(tree: Column) -> Column:
-        at = F.lit(0)
-        for _ in range(depth):
-            here = F.element_at(tree, at)
-            at = F.when(here["threshold"].isNull(), at).when(F.element_at(F.col("x"), here["feature"] + 1) <= here["threshold"], 2 * at + 1).otherwise(2 * at + 2)
-        return F.element_at(tree, at)["value"]
-
-    total = F.aggregate("order", F.lit(0.0), lambda s, t: s + leaf(F.element_at(F.col("trees"), t)))
-    return rows.join(model, "fold").withColumn(name, total).drop("order", "trees")
+        def down(at: Column, _: Column) -> Column:
+            here = tree["nodes"][at]
+            return F.when(here["threshold"].isNull(), at).when(F.col("x")[here["feature"]] <= here["threshold"], 2 * at + 1).otherwise(2 * at + 2)
+
+        return tree["nodes"][F.aggregate(F.array(*map(F.lit, range(depth))), F.lit(0), down)]["value"]
+
+    total = F.aggregate("trees", F.lit(0.0), lambda s, t: s + leaf(t))
+    return rows.join(F.broadcast(model), "fold").withColumn(name, total).drop("trees")
 
 
 # Calibration ----------------------------------------------------------------------------------------------------

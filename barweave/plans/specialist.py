@@ -15,8 +15,8 @@ _NAMES = list(ft.registry_sql())
 #: Returns, momentum, trend, volatility and volume; mean reversion, candle shape, volatility and volume.
 TREND = [n for f in ("returns", "momentum", "ema", "ema_slope", "volatility", "volume") for n in ft.names_of(f) if n != "volatility_ratio_6_42"]
 MEAN = [n for f in ("mean_reversion", "candle_shape", "volatility", "volume") for n in ft.names_of(f) if n != "volatility_ratio_6_42"]
-#: The policy has 150 trees; each takes two passes.
-TREES = 8
+#: As many as the policy has; each takes two passes.
+TREES = 150
 STRETCH = "close_zscore_24 <= -0.75 OR drawdown_from_high_24 >= 0.02"
 ROLE = "CASE WHEN candle_index + 4 < c0 - 3 THEN 'train' WHEN candle_index >= c0 + 3 AND candle_index + 4 < c1 - 3 THEN 'calibrate' WHEN candle_index >= c1 + 3 AND candle_index + 4 < c2 - 3 THEN 'test' END"
 

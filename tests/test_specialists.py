@@ -122,6 +122,62 @@ def test_trees_match_plain_boosting_and_their_table(spark, every):
     assert splits.count() > 10 and splits.where("value IS NOT NULL OR name IS NULL").count() == 0
 
 
+@pytest.mark.parametrize("parts,trees", [(1, 150), (3, 30)])
+def test_all_trees_of_the_policy_match_plain_boosting(spark, monkeypatch, parts, trees):
+    """Of rows in one partition and in several; rows' scores are written anew on the way."""
+    real, told = sp._level, []
+    rows = [(0, i, p, *[float(round(v)) for v in x]) for _, i, p, *x in made(150, seed=4, folds=1)]
+    train, _ = sp.standardised(frame(spark, rows), NAMES, F.lit(True))
+    train = train.cache()
+    keep = sp.written
+
+    def dealt(made, label):
+        return keep(made.repartition(parts), label) if label == "binned" else keep(made, label)
+
+    monkeypatch.setattr(sp, "written", dealt)
+    monkeypatch.setattr(sp, "_level", lambda *a: told.append(a[-1]) or real(*a))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(2**27))  # a file a partition
+    try:
+        nodes = sp.boosted_trees(train, NAMES, trees=trees, leaf=10)
+        assert nodes.where("tree >= 0").select("tree").distinct().count() == trees
+        got = {r["i"]: r["score"] for r in sp.tree_scores(train, nodes).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert told == [parts == 1] * 2 * trees
+    x, y = plain(rows, 0)
+    assert np.abs(np.array([got[i] for i in range(len(y))]) - plain_boosting(x, y, trees, 0.03, 10)).max() < 1e-11
+
+
+@pytest.mark.parametrize("query", ["arbitration_schedule"])
+def test_queries_of_the_bundle_grow_all_trees_of_the_policy(spark, monkeypatch, query):
+    """150 of depth two at rate 0.03 with leaves of 100 rows; they grew 8."""
+    import inspect
+
+    import __spark_entry__
+    from barweave.plans import specialist
+
+    class Asked(Exception):
+        pass
+
+    def boosted_trees(*a, **k):
+        raise Asked(asked.bind(*a, **k))
+
+    asked, rng = inspect.signature(sp.boosted_trees), np.random.default_rng(3)
+    rows = [(0, "train", bool(rng.random() < 0.5), True, *map(float, rng.normal(0, 1, len(specialist._NAMES)))) for _ in range(200)]
+    panel = spark.createDataFrame(rows, "fold long, role string, positive boolean, stretch boolean, " + ", ".join(f"{n} double" for n in specialist._NAMES))
+    zeros = spark.createDataFrame([(0, [0.0] * len(specialist.TREND), 0.0)], "fold long, coefficients array<double>, intercept double")
+    monkeypatch.setattr(specialist, "_MADE", {})
+    monkeypatch.setattr(specialist, "_daily", lambda *a: panel)
+    monkeypatch.setattr(specialist, "panel", lambda *a: panel)
+    monkeypatch.setattr(sp, "elastic_net", lambda *a: zeros)
+    monkeypatch.setattr(sp, "boosted_trees", boosted_trees)
+    with pytest.raises(Asked) as found:
+        __spark_entry__.queries()[query](spark, "made")
+    found.value.args[0].apply_defaults()
+    told = found.value.args[0].arguments
+    assert {k: told[k] for k in ("trees", "rate", "depth", "leaf")} == {"trees": 150, "rate": 0.03, "depth": 2, "leaf": 100}
+
+
 def test_no_split_leaves_one_value(spark):
     train, _ = sp.standardised(frame(spark, made(30, folds=1)), NAMES, F.lit(True))
     nodes = sp.boosted_trees(train, NAMES, trees=1, leaf=16).orderBy("tree").collect()

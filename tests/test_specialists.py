@@ -148,7 +148,7 @@ def test_all_trees_of_the_policy_match_plain_boosting(spark, monkeypatch, parts,
     assert np.abs(np.array([got[i] for i in range(len(y))]) - plain_boosting(x, y, trees, 0.03, 10)).max() < 1e-11
 
 
-@pytest.mark.parametrize("query", ["arbitration_schedule", "fold_disagreement", "fold_entry_thresholds"])
+@pytest.mark.parametrize("query", ["arbitration_schedule", "fold_disagreement", "fold_entry_thresholds", "specialist_threshold_events"])
 def test_queries_of_the_bundle_grow_all_trees_of_the_policy(spark, monkeypatch, query):
     """150 of depth two at rate 0.03 with leaves of 100 rows; they grew 8."""
     import inspect

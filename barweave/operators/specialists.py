@@ -143,6 +143,10 @@ def linear_scores(rows: DataFrame, model: DataFrame, name: str = "score") -> Dat
 
 
 # Boosted trees --------------------------------------------------------------------------------------------------
+#: About as many rows make a task of a pass; fewer are one task.
+ROWS = 2**17
+
+
 def _cuts(train: DataFrame, width: int, bins: int) -> dict[int, list[np.ndarray]]:
     """For each fold and feature values that part its rows about evenly: folds x features x bins numbers."""
     at = [k / bins for k in range(1, bins)]
@@ -256,19 +260,21 @@ def boosted_trees(train: DataFrame, names: list[str], trees: int = 150, rate: fl
     Splits are between at most ``bins`` quantiles of a feature and need ``leaf`` rows on either side; each level is one pass.  Every
     ``every`` trees the rows' scores are written anew."""
     width = len(names)
-    starts = {r["fold"]: float(np.log(r["p"] / (1 - r["p"]))) for r in train.groupBy("fold").agg(F.avg(F.col("positive").cast("double")).alias("p")).collect()}
+    seen = train.groupBy("fold").agg(F.count("*").alias("n"), F.avg(F.col("positive").cast("double")).alias("p")).collect()
+    starts = {r["fold"]: float(np.log(r["p"] / (1 - r["p"]))) for r in seen}
+    tasks = max(1, -(-sum(r["n"] for r in seen) // ROWS))  # at most; whatever the session's number of shuffle partitions is
     cuts = _cuts(train, width, bins)
     first = F.element_at(F.create_map(*[F.lit(v) for item in starts.items() for v in item]), F.col("fold"))
     # side by side a task has few folds, and few histograms
-    binned = written(_binned(train.withColumn("score", first), cuts, width).repartitionByRange("fold", "bins").sortWithinPartitions("fold", "bins", "y"), "binned")
-    alone = binned.rdd.getNumPartitions() == 1
+    dealt = _binned(train.withColumn("score", first), cuts, width).repartitionByRange("fold", "bins").coalesce(tasks)
+    binned = written(dealt.sortWithinPartitions("fold", "bins", "y"), "binned").coalesce(tasks)
     nodes = [(f, -1, 0, None, None, None, start, 1.0) for f, start in starts.items()]
     grown: dict[int, list[tuple[dict, dict]]] = {f: [] for f in starts}
     for tree in range(trees):
         splits: dict[int, dict] = {f: {} for f in starts}
         values: dict[int, dict] = {f: {} for f in starts}
         for level in range(depth):
-            for f, found in _level(binned, grown, splits, level, width, bins, rate, leaf, alone).items():
+            for f, found in _level(binned, grown, splits, level, width, bins, rate, leaf, tasks == 1).items():
                 for at, told in found.items():
                     best = told["best"]
                     values[f][at] = told["r"] / told["h"] if told["h"] > 1e-150 else 0.0
@@ -282,8 +288,7 @@ def boosted_trees(train: DataFrame, names: list[str], trees: int = 150, rate: fl
             nodes += [(f, tree, at, i, names[i], float(cuts[f][i][b]), None, rate) for at, (i, b) in splits[f].items()]
             nodes += [(f, tree, at, None, None, None, float(v), rate) for at, v in values[f].items()]
         if (tree + 1) % every == 0 and tree + 1 < trees:
-            binned, grown = written(_rescored(binned, grown, width, rate), "binned"), {f: [] for f in starts}
-            alone = binned.rdd.getNumPartitions() == 1
+            binned, grown = written(_rescored(binned, grown, width, rate), "binned").coalesce(tasks), {f: [] for f in starts}
     schema = "fold bigint, tree int, node int, feature int, name string, threshold double, value double, rate double"
     return train.sparkSession.createDataFrame([(f, t, n, None if i is None else int(i), *rest) for f, t, n, i, *rest in nodes], schema)
 

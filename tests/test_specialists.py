@@ -134,6 +134,7 @@ def test_all_trees_of_the_policy_match_plain_boosting(spark, monkeypatch, parts,
     def dealt(made, label):
         return keep(made.repartition(parts), label) if label == "binned" else keep(made, label)
 
+    monkeypatch.setattr(sp, "ROWS", 150 // parts)
     monkeypatch.setattr(sp, "written", dealt)
     monkeypatch.setattr(sp, "_level", lambda *a: told.append(a[-1]) or real(*a))
     spark.conf.set("spark.sql.files.openCostInBytes", str(2**27))  # a file a partition
